@@ -1,9 +1,16 @@
 """The operators' queries, each over its whole table."""
 
-from . import language
+from . import jaccard, language, media, secrets, topk, wrappers
 
-QUERIES = {"op1_language_id": language.op1_language_id}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_language_id": language.op1_language_id,
+    "op2_secret_scan": secrets.op2_secret_scan,
+    "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
+    "op5_media_columns": media.op5_media_columns,
+    "op6_html_extraction": wrappers.op6_html_extraction,
+    "op7_top_k": topk.op7_top_k,
+}
+ORACLES: dict[str, str] = {"op3_ngram_jaccard_join": jaccard.ORACLE, "op7_top_k": topk.ORACLE}
 
 
 def queries() -> dict:
