@@ -193,15 +193,17 @@ def fit(labelled: DataFrame, **columns: str) -> tuple[Network, list[str]] | None
     return net, names
 
 
-def identify(docs: DataFrame, model: tuple[Network, list[str]] | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, lang_pred, score, in one pass without a shuffle.
+def identify(docs: DataFrame, model: tuple[Network, list[str]] | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, lang_pred, score and the columns named in `carry`, in one pass without a shuffle.
 
     Null texts and texts without a letter are `und` with score 0, as is every row when there is no model. A null id
     stays null; repeated rows each get a row; other columns are not read.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    kept = [F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)]
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"), *kept)
+    back = [F.col(f"carried_{k}").alias(c) for k, c in enumerate(carry)]
     if model is None:
-        return d.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return d.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *back)
     net, names = model
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,9 +212,10 @@ def identify(docs: DataFrame, model: tuple[Network, list[str]] | None, id_col: s
             p = document_probabilities(net, *text_bytes(b.column("text")))
             best = p.argmax(1)
             lang = pc.if_else(pa.array(letters), pa.array(names).take(pa.array(best)), UNKNOWN)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lang.cast(pa.string()), pa.array(np.where(letters, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0))], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lang.cast(pa.string()), pa.array(np.where(letters, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)), *[b.column(f"carried_{k}") for k in range(len(carry))]], ["doc_id", "lang_pred", "score", *[f"carried_{k}" for k in range(len(carry))]])
 
-    return d.mapInArrow(score, f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+    kinds = "".join(f", carried_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry))
+    return d.mapInArrow(score, f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double" + kinds).select("doc_id", "lang_pred", "score", *back)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -50,6 +50,12 @@ def semi_by_id(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key, "left_semi")
 
 
+def anti_by_id(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is not in ids; rows with a null key stay. Broadcast as in semi_by_id."""
+    n = ids.count()
+    return df if not n else df.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, key, "left_anti")
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return d.select(*columns) if columns else d
