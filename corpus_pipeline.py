@@ -1,10 +1,78 @@
-"""The corpus pipeline: one stage after another, each written as Parquet and read again."""
+"""The corpus pipeline: one stage after another, each written as Parquet and read again as the next one's documents.
+
+No stage can be said in SQL as a whole (a trained network, a trained scanner, iterated rates, a packing plan), so
+ORACLE_SQL is None and the stages are tested against brute force.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from swathlake.llm import jaccard, language, mixing, packing, secrets
+from swathlake.llm.shared import anti_by_id, semi_by_id, written
+from swathlake.llm.tokens import vocabulary_path
+
+#: A language below this score rejects a document.
+LEAST_SCORE = 0.5
+#: A document stays in the mix if its fitted rate rounds to one or more.
+LEAST_RATE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known with enough score; texts that are null or have no letter go."""
+    columns = tuple(docs.columns)
+    model = language.fit(docs)
+    seen = language.identify(docs.withColumn("__id", F.col("doc_id")), model, id_col="__id", carry=columns)
+    names = [f"c{k}" for k in range(len(columns) + 3)]
+    return seen.toDF(*names).where(f"c1 <> '{language.UNKNOWN}' and c2 >= {LEAST_SCORE}").select(*[F.col(f"c{k + 3}").alias(c) for k, c in enumerate(columns)])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: five-word shingles, similarity 0.8 or more; the smallest id stays."""
+    found = written(jaccard.classes(docs, words=5, percent=80), "classes")
+    left = anti_by_id(docs, found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id")
+    repeated = written(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return left
+    return anti_by_id(left, repeated, "doc_id").unionByName(semi_by_id(left, repeated, "doc_id").dropDuplicates(["doc_id"]))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the text, and n_chars counted again."""
+    columns = docs.columns
+    net = secrets.fit(docs)
+    masked = secrets.scan(docs, net, redacted=True, carry=tuple(c for c in columns if c not in ("doc_id", "text", "n_chars")))
+    return masked.withColumnRenamed("redacted", "text").withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose fitted rate rounds to one or more: the clean domains keep their tokens, the toxic ones lose theirs."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    multiples = {d: float(d.endswith("clean")) for d in mixing.DOMAINS}
+    rates = written(mixing.mix(docs, labels, multiples=multiples).select("doc_id", "rate"), "rates")
+    return anti_by_id(docs, rates.where(F.col("rate") < LEAST_RATE).select("doc_id").distinct(), "doc_id")
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences of at most 2048 tokens."""
+    return packing.pack(written(packing.pieces(docs, vocabulary_path()), "pieces"))
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secret_scan),
+    ("mixing sources to target weights", mixing_sources),
+    ("best-fit packing", best_fit_packing),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage-{k}")
+    return docs
