@@ -2,9 +2,9 @@
 
 A classifier learnt from the labelled table predicts, for every document, the probability of each domain. Document rates
 r >= 0 are then fitted so that the expected tokens of each domain, sum r n p(domain), match targets: least squares by
-projected gradients with momentum, in the metric of the tokens (residuals are divided by the Gram matrix of sum n p p', so
-a step of 1 is safe). A document's rate after t steps follows from its posteriors and the t residual directions so far,
-so each step is one aggregate over the table of posteriors and a few numbers to the driver; no state is joined back.
+projected gradients, each domain's error weighed by its present tokens. A step takes one aggregate over the table of
+posteriors and a few numbers to the driver; the rate after t steps is a chain of t short expressions of a document's own
+posteriors, so no state is joined back or kept.
 """
 
 from __future__ import annotations
@@ -15,16 +15,15 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-#: Words that the classifier looks at, each in this many labelled documents or more, and the smoothing of its counts.
-VOCABULARY, LEAST_DOCS, SMOOTHING = 192, 3, 0.5
-#: Bound of the labelled sample that it learns from.
-SAMPLE_DOCS = 20_000
-HEATS = (1.0, 1.5, 2.0, 3.0, 5.0, 8.0, 12.0)
-#: Most steps, relative error of the totals that is small enough, and relative gain of a step that is none.
-STEPS, TOLERANCE, STILL = 24, 1e-3, 1e-3
+#: Words whose presence the toxicity model looks at, each in this many labelled documents or more, and the smoothing of their counts.
+VOCABULARY, LEAST_DOCS, SMOOTHING = 48, 5, 0.5
+#: Bound of the labelled sample that the classifier learns from, and the weight of its penalty.
+SAMPLE_DOCS, PENALTY = 20_000, 1.0
+#: Most steps, and the relative error of the totals that is small enough.
+STEPS, TOLERANCE = 20, 1e-3
 DOMAINS = ("low_clean", "low_toxic", "high_clean", "high_toxic")
 #: Target shares of the tokens.
-WEIGHTS = {"low_clean": 0.12, "low_toxic": 0.0, "high_clean": 0.88, "high_toxic": 0.0}
+WEIGHTS = {"low_clean": 0.12, "low_toxic": 0.01, "high_clean": 0.85, "high_toxic": 0.02}
 
 
 def words(text: str | Column) -> Column:
@@ -39,103 +38,118 @@ def n_tokens(text: str) -> Column:
     return F.when(t == "", 0).otherwise(F.size(F.split(t, r"\s+"))).cast("long")
 
 
-def domain(quality: str = "quality", toxic: str = "toxic") -> Column:
-    """Number of a labelled row's domain; null if a label is."""
-    return (F.when(F.col(quality) > 0, 2).otherwise(0) + F.when(F.col(toxic) > 0, 1).otherwise(0)).cast("int")
+def _share(text: Column, characters: str) -> Column:
+    """Share of some characters among all."""
+    n = F.length(text)
+    return (n - F.length(F.translate(text, characters, ""))) / F.greatest(n, F.lit(1))
+
+
+def features(text: str, lexicon: dict[str, float]) -> Column:
+    """Array of numbers that describe a text: its length, make and wording, and the weight of the lexicon's words in it."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    w = F.split(F.lower(t), r"[^\p{L}]+")
+    shares = [_share(t, c) for c in ("#$%&*@^~<>=+_/\\", "|", "!", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "\n", ".", ",")]
+    logs = [F.log(F.lit(1e-3) + x) for x in shares]
+    n = F.size(w)
+    make = [F.log1p(F.length(t).cast("double")), F.log1p(n.cast("double")), F.length(t) / F.greatest(n, F.lit(1)), F.size(F.array_distinct(w)) / F.greatest(n, F.lit(1))]
+    if lexicon:
+        found = F.array_intersect(w, F.array(*map(F.lit, lexicon)))
+        table = F.create_map(*[F.lit(x) for pair in lexicon.items() for x in pair])
+        toxic = [F.least(F.size(found), F.lit(1)).cast("double"), F.least(F.size(found), F.lit(4)).cast("double"), F.aggregate(found, F.lit(0.0), lambda acc, x: acc + F.element_at(table, x))]
+    else:
+        toxic = [F.lit(0.0)] * 3
+    return F.array(*[x.cast("double") for x in (*shares, *logs, *make, *toxic)])
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a penalised logistic regression by Newton steps; the last is the constant."""
+    x = np.concatenate([x, np.ones((len(x), 1))], 1)
+    w, ridge = np.zeros(x.shape[1]), PENALTY * np.eye(x.shape[1])
+    ridge[-1, -1] = 1e-2
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - y) + ridge @ w)
+        w = w - step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
 
 
 class Classifier:
-    """Bernoulli naive Bayes over the words whose presence tells domains apart best."""
-
-    def __init__(self, prior: np.ndarray, vocabulary: list[str], weight: np.ndarray):
-        self.prior, self.vocabulary, self.weight, self.heat = prior, vocabulary, weight, 1.0
-
-    def posteriors(self, text: str | Column, heat: float | None = None) -> Column:
-        """Array of each domain's probability, its scores divided by the heat. A text without a known word has the prior corrected for their absence."""
-        k = len(self.prior)
-        start = F.array(*[F.lit(float(x)) for x in self.prior])
-        if self.vocabulary:
-            table = F.create_map(*[x for w, row in zip(self.vocabulary, self.weight, strict=True) for x in (F.lit(w), F.array(*[F.lit(float(v)) for v in row]))])
-            known = F.array_intersect(words(text) if not isinstance(text, Column) else text, F.array(*map(F.lit, self.vocabulary)))
-            score = F.aggregate(known, start, lambda acc, w: F.zip_with(acc, F.element_at(table, w), lambda a, b: a + b))
-        else:
-            score = start
-        high = F.array_max(score)
-        e = F.transform(score, lambda s: F.exp((s - high) / (heat or self.heat)))
-        return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)) if k > 1 else F.array(F.lit(1.0))
+    """Logistic models of quality and of toxicity over the features; a domain's probability is their product."""
+
+    def __init__(self, lexicon: dict[str, float], mean: np.ndarray, scale: np.ndarray, quality: np.ndarray, toxic: np.ndarray):
+        self.lexicon, self.mean, self.scale, self.quality, self.toxic = lexicon, mean, scale, quality, toxic
+
+    def _probability(self, x: str, w: np.ndarray) -> Column:
+        flat = w[:-1] / self.scale
+        start = float(w[-1] - flat @ self.mean)
+        z = sum((F.col(x)[i] * F.lit(float(v)) for i, v in enumerate(flat)), F.lit(start))
+        return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+
+    def add(self, docs: DataFrame, text: str) -> DataFrame:
+        """docs with the columns p0 to p3, one a domain."""
+        x = docs.withColumn("__x", features(text, self.lexicon))
+        x = x.withColumn("__q", self._probability("__x", self.quality)).withColumn("__t", self._probability("__x", self.toxic))
+        q, t = F.col("__q"), F.col("__t")
+        return x.withColumns({"p0": (1 - q) * (1 - t), "p1": (1 - q) * t, "p2": q * (1 - t), "p3": q * t}).drop("__x", "__q", "__t")
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    """Learns from labelled documents, SAMPLE_DOCS at most by a hash of the id. Counts per word and domain stay a table; the chosen words go to the driver."""
-    y = labels.where("quality is not null and toxic is not null").groupBy(F.col("doc_id").alias("i")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    n = y.count()
-    share = min(1.0, SAMPLE_DOCS / max(n, 1))
-    y = y.where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share).select("i", domain().alias("k"))
-    d = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(y), "i")
-    d = written(d.select("k", words("t").alias("w"), (F.pmod(F.xxhash64("i", F.lit(5)), F.lit(4)) == 0).alias("held")), "labelled")
-    held, d = d.where("held"), d.where("not held")
-    size = len(DOMAINS)
-    docs_of = np.zeros(size)
-    for r in d.groupBy("k").count().collect():
-        docs_of[r["k"]] = r["count"]
-    total = docs_of.sum()
-    prior = np.log((docs_of + SMOOTHING) / (total + SMOOTHING * size))
-    has = [F.sum((F.col("k") == k).cast("long")).alias(f"c{k}") for k in range(size)]
-    per = d.select("k", F.explode("w").alias("w")).where("w <> ''").groupBy("w").agg(*has, F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
-    # information that a word's presence gives about the domain
-    gain = sum(F.when(F.col(f"c{k}") > 0, F.col(f"c{k}") / total * F.log(F.col(f"c{k}") * F.lit(total) / (F.col("n") * F.lit(max(docs_of[k], 1.0))))).otherwise(0.0) for k in range(size))
-    best = per.withColumn("gain", gain).orderBy(F.desc("gain"), "w").limit(VOCABULARY).collect()
-    p = np.array([[(r[f"c{k}"] + SMOOTHING) / (docs_of[k] + 2 * SMOOTHING) for k in range(size)] for r in best]).reshape(-1, size)
-    model = Classifier(prior + np.log(1 - p).sum(0), [r["w"] for r in best], np.log(p) - np.log(1 - p))
-    # words are not independent: the heat that fits the held-out quarter best
-    losses = held.agg(*[F.avg(-F.log(F.element_at(model.posteriors(F.col("w"), h), F.col("k") + 1) + 1e-9)) for h in HEATS]).first()
-    if losses[0] is not None:
-        model.heat = HEATS[int(np.argmin(losses))]
-    return model
-
-
-def _rate(steps: list[tuple[float, np.ndarray]], most: float | None) -> Column:
-    """Rate after the steps (momentum, direction) so far, from the posteriors p."""
-    if not steps:
-        return F.lit(1.0)
-    k = len(DOMAINS)
-    table = F.expr("array(" + ",".join("array(" + ",".join(f"{float(v)!r}D" for v in (beta, *y)) + ")" for beta, y in steps) + ")")
-
-    def step(acc: Column, y: Column) -> Column:
-        ahead = acc["r"] + y[0] * (acc["r"] - acc["before"]) - sum(y[i + 1] * F.col("p")[i] for i in range(k))
-        r = F.greatest(F.lit(0.0), ahead)
-        return F.struct((F.least(r, F.lit(float(most))) if most is not None else r).alias("r"), acc["r"].alias("before"))
-
-    return F.aggregate(table, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("before")), step, lambda acc: acc["r"])
-
-
-def expected(table: DataFrame, rate: Column) -> np.ndarray:
-    """Expected tokens of each domain under a rate."""
-    return np.array(table.agg(*[F.coalesce(F.sum(F.col("n") * rate * F.col("p")[i]), F.lit(0.0)) for i in range(len(DOMAINS))]).first(), float)
-
-
-def fit_rates(table: DataFrame, targets: np.ndarray, most: float | None = None) -> tuple[list[tuple[float, np.ndarray]], np.ndarray]:
-    """Steps (momentum, direction) and the expected tokens that they reach. table: (n, p), written, as it is read once a step."""
-    k = len(DOMAINS)
+    """Learns from labelled documents, SAMPLE_DOCS at most by a hash of the id. Word counts stay a table; the chosen words, and the sample's features, go to the driver."""
+    y = labels.where("quality is not null and toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("i")).agg((F.min("quality") > 0).cast("int").alias("q"), (F.max("toxic") > 0).cast("int").alias("x"))
+    share = min(1.0, SAMPLE_DOCS / max(y.count(), 1))
+    y = y.where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
+    d = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").join(F.broadcast(y), "i")
+    d = written(d.select("i", "q", "x", "t"), "labelled")
+    n, bad = d.agg(F.count("*"), F.coalesce(F.sum("x"), F.lit(0))).first()
+    lexicon: dict[str, float] = {}
+    if 0 < bad < n:
+        per = d.select("x", F.explode(words("t")).alias("w")).where("w <> ''").groupBy("w").agg(F.sum("x").alias("a"), F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
+        odds = F.log((F.col("a") + SMOOTHING) / (bad + 2 * SMOOTHING)) - F.log((F.col("n") - F.col("a") + SMOOTHING) / (n - bad + 2 * SMOOTHING))
+        best = per.withColumn("odds", odds).where("odds > 1").orderBy(F.desc(F.col("odds") * F.col("a")), "w").limit(VOCABULARY).collect()
+        lexicon = {r["w"]: float(r["odds"]) for r in best}
+    rows = d.select("q", "x", features("t", lexicon).alias("f")).orderBy(F.xxhash64("i"), "f").limit(SAMPLE_DOCS).collect()
+    if not rows:
+        k = 23
+        return Classifier({}, np.zeros(k), np.ones(k), np.zeros(k + 1), np.zeros(k + 1))
+    x = np.array([r["f"] for r in rows])
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
+    z = (x - mean) / scale
+    return Classifier(lexicon, mean, scale, *[_logistic(z, np.array([r[c] for r in rows], float)) for c in ("q", "x")])
+
+
+P = [f"p{k}" for k in range(len(DOMAINS))]
+
+
+def with_rate(table: DataFrame, steps: list[np.ndarray], most: float | None = None) -> DataFrame:
+    """table (p0 to p3, ...) with the column rate: what the steps so far make of 1."""
+    r = F.lit(1.0)
+    for y in steps:
+        r = F.greatest(F.lit(0.0), r - sum(F.lit(float(v)) * F.col(p) for v, p in zip(y, P, strict=True)))
+        r = F.least(r, F.lit(float(most))) if most is not None else r
+    return table.withColumn("rate", r)
+
+
+def expected(table: DataFrame) -> np.ndarray:
+    """Expected tokens of each domain under the column rate."""
+    return np.array(table.agg(*[F.coalesce(F.sum(F.col("n") * F.col("rate") * F.col(p)), F.lit(0.0)) for p in P]).first(), float)
+
+
+def fit_rates(table: DataFrame, targets: np.ndarray, most: float | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Directions of the steps, and the expected tokens that they reach. table: (n, p0 to p3), written, as it is read once a step."""
     n = F.col("n").cast("double")
-    row = table.agg(*[F.coalesce(F.sum(n * F.col("p")[i] * F.col("p")[j]), F.lit(0.0)) for i in range(k) for j in range(k)]).first()
-    gram = np.array(row, float).reshape(k, k)
-    inverse = np.linalg.pinv(gram + 1e-9 * max(np.trace(gram), 1e-9) * np.eye(k))
-    steps: list[tuple[float, np.ndarray]] = []
-    reached = before = expected(table, _rate(steps, most))
-    worth = lambda x: float((x - targets) @ inverse @ (x - targets))
-    last = worth(reached)
-    for t in range(STEPS):
+    row = table.agg(*[F.coalesce(F.sum(n * F.col(a) * F.col(b)), F.lit(0.0)) for a in P for b in P]).first()
+    gram = np.array(row, float).reshape(len(P), len(P))
+    now = np.maximum(gram.sum(1), 1e-9)  # the posteriors sum to 1
+    rate = 1 / max(np.linalg.eigvalsh(gram / np.sqrt(now[:, None] * now[None, :])).max(), 1e-9)
+    steps: list[np.ndarray] = []
+    reached = expected(with_rate(table, steps, most))
+    for _ in range(STEPS):
         if np.abs(reached - targets).max() <= TOLERANCE * max(targets.sum(), 1):
             break
-        beta = t / (t + 3)
-        ahead = reached + beta * (reached - before)
-        steps.append((beta, inverse @ (ahead - targets)))
-        before, reached = reached, expected(table, _rate(steps, most))
-        now = worth(reached)
-        if t > 4 and abs(last - now) <= STILL * max(last, 1e-12):
-            break
-        last = now
+        steps.append(rate * (reached - targets) / now)
+        reached = expected(with_rate(table, steps, most))
     return steps, reached
 
 
@@ -149,9 +163,9 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     """
     model = fit_classifier(docs, labels, id_col, text_col)
     source = F.col(sources) if sources else F.lit(None).cast("string")
-    t = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), n_tokens(text_col).alias("n"), model.posteriors(text_col).alias("p"))
-    t = written(t, "posteriors")
-    now = expected(t, F.lit(1.0))
+    t = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), F.col(text_col).alias("t"), n_tokens(text_col).alias("n"))
+    t = written(model.add(t, "t").drop("t"), "posteriors")
+    now = expected(with_rate(t, []))
     if multiples:
         targets = now * np.array([multiples[d] for d in DOMAINS])
     else:
@@ -159,8 +173,8 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
         targets = np.array([weights[d] for d in DOMAINS]) / sum(weights.values()) * (budget or now.sum())
     steps, _ = fit_rates(t, targets, most)
     u = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(31)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    t = t.withColumn("rate", _rate(steps, most))
-    return t.select("doc_id", "source", F.col("n").alias("n_tokens"), *[F.col("p")[k].alias(d) for k, d in enumerate(DOMAINS)], "rate", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("long")).alias("copies"))
+    t = with_rate(t, steps, most)
+    return t.select("doc_id", "source", F.col("n").alias("n_tokens"), *[F.col(p).alias(d) for p, d in zip(P, DOMAINS, strict=True)], "rate", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("long")).alias("copies"))
 
 
 def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
