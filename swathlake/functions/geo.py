@@ -220,7 +220,7 @@ def _contains(polygon, x, y) -> bool:
 
 
 def polygon_cover(polygon: list[tuple[float, float]], precision: int = 7) -> tuple[list[str], list[str]]:
-    """(cells inside, cells that meet the boundary) of a ring of (lon, lat)."""
+    """(cells inside, all cells that the polygon meets) of a ring of (lon, lat)."""
     bits = 5 * precision
     n_lon, n_lat = (bits + 1) // 2, bits // 2
     w, h = 360 / (1 << n_lon), 180 / (1 << n_lat)
@@ -233,4 +233,4 @@ def polygon_cover(polygon: list[tuple[float, float]], precision: int = 7) -> tup
                 outer.append(_letters(a, b, precision))
             elif _contains(polygon, (box[0] + box[2]) / 2, (box[1] + box[3]) / 2):
                 inner.append(_letters(a, b, precision))
-    return inner, outer
+    return inner, sorted(inner + outer)

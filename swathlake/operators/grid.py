@@ -25,3 +25,95 @@ def surface(points: DataFrame, resolution_x: float, resolution_y: float | None =
             *[c.alias(k) for k, c in (extra or {}).items()],
         )
     )
+
+
+#: Greatest mean depth (metres) of each resolution (metres); deeper tiles have 1024.
+DEPTH_RESOLUTIONS = ((20, 0.5), (40, 1.0), (80, 4.0), (160, 8.0), (320, 16.0), (640, 32.0), (1280, 64.0), (2560, 128.0), (5120, 256.0), (10204, 512.0))
+
+
+def resolution_by_depth(depth: Column) -> Column:
+    out = None
+    for top, size in DEPTH_RESOLUTIONS:
+        out = F.when(depth <= top, size) if out is None else out.when(depth <= top, size)
+    return out.otherwise(1024.0)
+
+
+def resolution_by_density(points: Column, area: Column, least_points: int = 5) -> Column:
+    """Cell size at which a cell holds enough points."""
+    return F.sqrt(2 * least_points * 1.75 / (points / area))
+
+
+def auto_resolution(points: DataFrame, tile_size: float = 1024.0) -> DataFrame:
+    """(tile_x, tile_y, points, mean depth, resolution) of every tile."""
+    t = points.where("x is not null and y is not null and z is not null").groupBy(cell("x", tile_size).alias("tile_x"), cell("y", tile_size).alias("tile_y")).agg(F.count("*").alias("points"), F.avg("z").alias("depth"))
+    return t.withColumn("resolution", resolution_by_depth(F.col("depth")))
+
+
+def variable_surface(points: DataFrame, tile_size: float = 1024.0) -> DataFrame:
+    """Cells at each tile's own resolution, which depends on its depth. The tile table is joined by its key; a tile of many points is split by adaptive execution."""
+    tiles = auto_resolution(points, tile_size).select("tile_x", "tile_y", "resolution")
+    x = points.where("z is not null").withColumns({"tile_x": cell("x", tile_size), "tile_y": cell("y", tile_size)}).join(tiles, ["tile_x", "tile_y"])
+    at = lambda c: F.floor(F.col(c) / F.col("resolution")).cast("bigint")
+    return x.groupBy("tile_x", "tile_y", "resolution", at("x").alias("cell_x"), at("y").alias("cell_y")).agg(F.count("*").alias("density"), F.avg("z").alias("depth"), F.min("z").alias("shoalest"))
+
+
+def add_points(grid_points: DataFrame, points: DataFrame, container: str) -> DataFrame:
+    return grid_points.unionByName(points.withColumn("container", F.lit(container)), allowMissingColumns=True)
+
+
+def remove_points(grid_points: DataFrame, containers: list[str]) -> DataFrame:
+    """Points without those of containers whose name holds one of the given ones."""
+    gone = F.lit(False)
+    for c in containers:
+        gone = gone | F.col("container").contains(c)
+    return grid_points.where(~gone)
+
+
+def updated_cells(cells: DataFrame, points: DataFrame, changed: DataFrame, resolution: float, tile_size: float = 1024.0) -> DataFrame:
+    """The surface with only the tiles of changed points made anew. cells carry tile_x and tile_y."""
+    tiles = changed.select(cell("x", tile_size).alias("tile_x"), cell("y", tile_size).alias("tile_y")).distinct()
+    p = points.withColumns({"tile_x": cell("x", tile_size), "tile_y": cell("y", tile_size)}).join(tiles, ["tile_x", "tile_y"], "left_semi")
+    p = p.where("z is not null").groupBy("tile_x", "tile_y", cell("x", resolution).alias("cell_x"), cell("y", resolution).alias("cell_y"))
+    fresh = p.agg(F.count(F.lit(1)).alias("density"), F.avg("z").alias("depth"), F.min("z").alias("shoalest"))
+    return cells.join(tiles, ["tile_x", "tile_y"], "left_anti").unionByName(fresh)
+
+
+def slopes(cells: DataFrame, resolution: float) -> DataFrame:
+    """cells with x_slope and y_slope: central differences to the neighbours, one-sided at edges, null without any."""
+    out = cells
+    for axis in "xy":
+        for name, step in (("up", 1), ("down", -1)):
+            other = cells.select("cell_x", "cell_y", F.col("depth").alias(f"__{axis}{name}")).withColumn(f"cell_{axis}", F.col(f"cell_{axis}") - step)
+            out = out.join(other, ["cell_x", "cell_y"], "left")
+        up, down, d = F.col(f"__{axis}up"), F.col(f"__{axis}down"), F.col("depth")
+        slope = F.when(up.isNotNull() & down.isNotNull(), (up - down) / (2 * resolution)).when(up.isNotNull(), (up - d) / resolution).when(down.isNotNull(), (d - down) / resolution)
+        out = out.withColumn(f"{axis}_slope", slope).drop(f"__{axis}up", f"__{axis}down")
+    return out
+
+
+def within_radius(points: DataFrame, centres: DataFrame, radius: float) -> DataFrame:
+    """(centre_id, points' columns) of the points within a radius of each centre: an equi-join on cells of that size and their neighbours, then the exact test."""
+    c = centres.select("centre_id", F.col("x").alias("cx"), F.col("y").alias("cy"))
+    near = F.array(*[F.struct((cell("cx", radius) + i).alias("i"), (cell("cy", radius) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    c = c.withColumn("k", F.explode(near)).select("centre_id", "cx", "cy", F.col("k.i").alias("i"), F.col("k.j").alias("j"))
+    p = points.withColumns({"i": cell("x", radius), "j": cell("y", radius)})
+    return p.join(c, ["i", "j"]).where(F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2) <= radius * radius).drop("i", "j", "cx", "cy")
+
+
+def quadtree(points: DataFrame, origin: tuple[float, float], size: float, most_points: int = 1000, least_size: float = 1.0, depth: int = 12) -> DataFrame:
+    """(level, i, j, points) of the leaves of a quadtree that splits squares of more than `most_points`: counts at the finest level, summed upwards level by level."""
+    from functools import reduce
+
+    levels = 0
+    while levels < depth and size / 2 ** (levels + 1) >= least_size:
+        levels += 1
+    unit = size / 2**levels
+    at = lambda c, o: F.floor((F.col(c) - o) / unit).cast("bigint")
+    n = points.select(at("x", origin[0]).alias("i"), at("y", origin[1]).alias("j")).where(f"i between 0 and {2**levels - 1} and j between 0 and {2**levels - 1}").groupBy("i", "j").agg(F.count("*").alias("points"))
+    up = [n.groupBy(F.shiftright("i", levels - k).alias("i"), F.shiftright("j", levels - k).alias("j")).agg(F.sum("points").alias("points")).withColumn("level", F.lit(k)) for k in range(levels + 1)]
+    leaves = [up[0].where(F.col("points") <= most_points) if levels else up[0]]
+    for k in range(1, levels + 1):
+        parent = up[k - 1].where(F.col("points") > most_points).select("i", "j")
+        x = up[k].withColumns({"pi": F.shiftright("i", 1), "pj": F.shiftright("j", 1)}).join(parent.toDF("pi", "pj"), ["pi", "pj"], "left_semi").select("i", "j", "points", "level")
+        leaves.append(x if k == levels else x.where(F.col("points") <= most_points))
+    return reduce(lambda a, b: a.unionByName(b), leaves).select("level", "i", "j", "points")
