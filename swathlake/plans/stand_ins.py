@@ -40,3 +40,29 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("mode"),
         "props",
     )
+
+
+#: The same series in SQL.
+SERIES_SQL = "(SELECT user_id AS system, epoch_us(ts) / 1e6 AS time, event_id AS counter, value, event_type AS mode, props FROM events)"
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as navigation: line = a number of the customer, time = the date's seconds and the key, positions from the keys."""
+    o = table(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return o.select(
+        k.alias("ping"), (c % 40).alias("line"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1e6 + (k % 1000)).alias("time"),
+        ((c % 160) - 80 + (k % 1000) / 1000.0).cast("double").alias("lat"), ((k % 340) - 170 + (c % 1000) / 1000.0).cast("double").alias("lon"), F.col("o_totalprice").alias("z"),
+    )
+
+
+POSITIONS_SQL = "(SELECT o_orderkey AS ping, o_custkey % 40 AS line, epoch_us(o_orderdate) / 1e6 + (o_orderkey % 1000) AS time, (o_custkey % 160) - 80 + (o_orderkey % 1000) / 1000.0 AS lat, (o_orderkey % 340) - 170 + (o_custkey % 1000) / 1000.0 AS lon, o_totalprice AS z FROM orders)"
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a system: for each of the modes, the half of its span that begins there; line names are the modes."""
+    s = series(spark, sf_dir)
+    return s.groupBy("system", F.col("mode").alias("line")).agg(F.min("time").alias("start_time"), (F.min("time") + (F.max("time") - F.min("time")) / 8).alias("end_time"))
+
+
+LINES_SQL = f"(SELECT system, mode AS line, min(time) AS start_time, min(time) + (max(time) - min(time)) / 8 AS end_time FROM {SERIES_SQL} GROUP BY 1, 2)"
