@@ -143,7 +143,7 @@ def ray_trace(soundings: DataFrame, casts: DataFrame, waterline_offset: float =
 
 def vertical(reference: str, depth: Column, altitude: Column, heave: Column, waterline: Column, tide: Column) -> Column:
     if reference in ("ellipse", "NOAA MLLW", "NOAA MHW"):
-        return -(depth - altitude)
+        return altitude - depth
     if reference == "vessel":
         return depth + heave
     if reference == "waterline":

@@ -257,3 +257,17 @@ ORACLES = {
     "regressions": f"""SELECT system, n, round_even(b, 6) AS slope, round_even(a, 6) AS intercept, round_even(e, 6) AS std_error, round_even(abs(e / m) * 100, 6) AS percent_deviation FROM
         (SELECT system, count(*) AS n, regr_slope(value, t) AS b, regr_intercept(value, t) AS a, avg(value) AS m, sqrt(greatest(regr_syy(value, t) - pow(regr_sxy(value, t), 2) / regr_sxx(value, t), 0) / (count(*) - 1)) AS e FROM (SELECT system, value, (time - 1.704e9) / 86400 AS t FROM {E}) GROUP BY 1)""",
 }
+
+
+def motion_tests(spark, sf_dir):
+    """Regressions of several pairs of series in one pass."""
+    from ..operators import diagnostics
+
+    s = R.rate(S.series(spark, sf_dir), "value").select(F.col("value").alias("roll"), F.col("rate").alias("roll_rate"), (F.col("counter") % 97).cast("double").alias("hp_slope"))
+    t = diagnostics.wobble_table(s, {"attitude_scaling": ("roll", "hp_slope"), "attitude_latency": ("roll_rate", "hp_slope")})
+    return t.select("test", *[F.bround(c, 6).alias(c) for c in ("slope", "intercept", "r2")], "n")
+
+
+QUERIES["motion_tests"] = motion_tests
+_R = f"(SELECT value AS roll, (lead(value) {W} - value) / (lead(time) {W} - time) AS roll_rate, CAST(counter % 97 AS DOUBLE) AS s FROM {E})"
+ORACLES["motion_tests"] = " UNION ALL ".join(f"SELECT '{n}' AS test, round_even(regr_slope(s, {x}), 6) AS slope, round_even(regr_intercept(s, {x}), 6) AS intercept, round_even(regr_r2(s, {x}), 6) AS r2, CAST(regr_count(s, {x}) AS BIGINT) AS n FROM {_R}" for n, x in (("attitude_scaling", "roll"), ("attitude_latency", "roll_rate")))
