@@ -26,39 +26,33 @@ DOMAINS = ("low_clean", "low_toxic", "high_clean", "high_toxic")
 WEIGHTS = {"low_clean": 0.12, "low_toxic": 0.01, "high_clean": 0.85, "high_toxic": 0.02}
 
 
-def words(text: str | Column) -> Column:
-    """Distinct lower-case words of letters; null text has none."""
-    t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    return F.array_distinct(F.split(F.lower(t), r"[^\p{L}]+"))
+#: What the make of a text is counted by: one class of characters each.
+CLASSES = (r"[#$%&*@^~<>=+_/\\\\]", r"[|]", "[!]", "[A-Z]", "[0-9]")
 
 
-def n_tokens(text: str) -> Column:
-    """Words between blanks; null text has none."""
-    t = F.trim(F.coalesce(F.col(text), F.lit("")))
-    return F.when(t == "", 0).otherwise(F.size(F.split(t, r"\s+"))).cast("long")
-
-
-def _share(text: Column, characters: str) -> Column:
-    """Share of some characters among all."""
-    n = F.length(text)
-    return (n - F.length(F.translate(text, characters, ""))) / F.greatest(n, F.lit(1))
-
-
-def features(text: str, lexicon: dict[str, float]) -> Column:
-    """Array of numbers that describe a text: its length, make and wording, and the weight of the lexicon's words in it."""
+def described(docs: DataFrame, text: str, lexicon: dict[str, float], *keep: str) -> DataFrame:
+    """The columns in `keep`, n and f: words of a text, and an array of numbers on its length, make and wording, and on the lexicon's words in it. Null texts are empty; a text without a letter has no words."""
     t = F.coalesce(F.col(text), F.lit(""))
-    w = F.split(F.lower(t), r"[^\p{L}]+")
-    shares = [_share(t, c) for c in ("#$%&*@^~<>=+_/\\", "|", "!", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "\n", ".", ",")]
-    logs = [F.log(F.lit(1e-3) + x) for x in shares]
-    n = F.size(w)
-    make = [F.log1p(F.length(t).cast("double")), F.log1p(n.cast("double")), F.length(t) / F.greatest(n, F.lit(1)), F.size(F.array_distinct(w)) / F.greatest(n, F.lit(1))]
+    x = docs.select(*keep, t.alias("__t"), F.filter(F.split(F.lower(t), r"[^\p{L}]+"), lambda w: w != "").alias("__w"))
+    x = x.select(*keep, "__t", F.size("__w").cast("long").alias("n"), F.array_distinct("__w").alias("__w"))
+    size = F.greatest(F.length("__t"), F.lit(1))
+    shares = [(F.size(F.split("__t", c)) - 1) / size for c in CLASSES]
+    n = F.greatest(F.col("n"), F.lit(1))
+    make = [F.log1p(F.length("__t").cast("double")), F.log1p(n.cast("double")), F.length("__t") / n, F.size("__w") / n]
+    found = F.array_intersect("__w", F.array(*map(F.lit, lexicon))) if lexicon else F.array().cast("array<string>")
+    x = x.select(*keep, "n", F.array(*[v.cast("double") for v in (*shares, *make)]).alias("__f"), found.alias("__k"))
+    logs = [F.log(F.lit(1e-3) + F.col("__f")[i]) for i in range(len(CLASSES))]
     if lexicon:
-        found = F.array_intersect(w, F.array(*map(F.lit, lexicon)))
-        table = F.create_map(*[F.lit(x) for pair in lexicon.items() for x in pair])
-        toxic = [F.least(F.size(found), F.lit(1)).cast("double"), F.least(F.size(found), F.lit(4)).cast("double"), F.aggregate(found, F.lit(0.0), lambda acc, x: acc + F.element_at(table, x))]
+        table = F.create_map(*[F.lit(v) for pair in lexicon.items() for v in pair])
+        weight = F.aggregate("__k", F.lit(0.0), lambda acc, w: acc + F.element_at(table, w))
     else:
-        toxic = [F.lit(0.0)] * 3
-    return F.array(*[x.cast("double") for x in (*shares, *logs, *make, *toxic)])
+        weight = F.lit(0.0)
+    k = F.size("__k")
+    toxic = [F.least(k, F.lit(1)).cast("double"), F.least(k, F.lit(4)).cast("double"), weight]
+    return x.select(*keep, "n", F.concat("__f", F.array(*logs, *toxic)).alias("f"))
+
+
+FEATURES = 2 * len(CLASSES) + 7
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -81,18 +75,16 @@ class Classifier:
     def __init__(self, lexicon: dict[str, float], mean: np.ndarray, scale: np.ndarray, quality: np.ndarray, toxic: np.ndarray):
         self.lexicon, self.mean, self.scale, self.quality, self.toxic = lexicon, mean, scale, quality, toxic
 
-    def _probability(self, x: str, w: np.ndarray) -> Column:
+    def _probability(self, w: np.ndarray) -> Column:
         flat = w[:-1] / self.scale
-        start = float(w[-1] - flat @ self.mean)
-        z = sum((F.col(x)[i] * F.lit(float(v)) for i, v in enumerate(flat)), F.lit(start))
+        z = sum((F.col("f")[i] * F.lit(float(v)) for i, v in enumerate(flat)), F.lit(float(w[-1] - flat @ self.mean)))
         return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
 
-    def add(self, docs: DataFrame, text: str) -> DataFrame:
-        """docs with the columns p0 to p3, one a domain."""
-        x = docs.withColumn("__x", features(text, self.lexicon))
-        x = x.withColumn("__q", self._probability("__x", self.quality)).withColumn("__t", self._probability("__x", self.toxic))
-        q, t = F.col("__q"), F.col("__t")
-        return x.withColumns({"p0": (1 - q) * (1 - t), "p1": (1 - q) * t, "p2": q * (1 - t), "p3": q * t}).drop("__x", "__q", "__t")
+    def posteriors(self, described_docs: DataFrame) -> DataFrame:
+        """The columns p0 to p3, one a domain, in the place of f."""
+        x = described_docs.withColumns({"__q": self._probability(self.quality), "__x": self._probability(self.toxic)})
+        q, t = F.col("__q"), F.col("__x")
+        return x.withColumns({"p0": (1 - q) * (1 - t), "p1": (1 - q) * t, "p2": q * (1 - t), "p3": q * t}).drop("__q", "__x", "f")
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
@@ -105,13 +97,13 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     n, bad = d.agg(F.count("*"), F.coalesce(F.sum("x"), F.lit(0))).first()
     lexicon: dict[str, float] = {}
     if 0 < bad < n:
-        per = d.select("x", F.explode(words("t")).alias("w")).where("w <> ''").groupBy("w").agg(F.sum("x").alias("a"), F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
+        per = d.select("x", F.explode(F.array_distinct(F.split(F.lower("t"), r"[^\p{L}]+"))).alias("w")).where("w <> ''").groupBy("w").agg(F.sum("x").alias("a"), F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
         odds = F.log((F.col("a") + SMOOTHING) / (bad + 2 * SMOOTHING)) - F.log((F.col("n") - F.col("a") + SMOOTHING) / (n - bad + 2 * SMOOTHING))
         best = per.withColumn("odds", odds).where("odds > 1").orderBy(F.desc(F.col("odds") * F.col("a")), "w").limit(VOCABULARY).collect()
         lexicon = {r["w"]: float(r["odds"]) for r in best}
-    rows = d.select("q", "x", features("t", lexicon).alias("f")).orderBy(F.xxhash64("i"), "f").limit(SAMPLE_DOCS).collect()
+    rows = described(d, "t", lexicon, "i", "q", "x").orderBy(F.xxhash64("i"), "f").limit(SAMPLE_DOCS).collect()
     if not rows:
-        k = 23
+        k = FEATURES
         return Classifier({}, np.zeros(k), np.ones(k), np.zeros(k + 1), np.zeros(k + 1))
     x = np.array([r["f"] for r in rows])
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
@@ -163,8 +155,9 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     """
     model = fit_classifier(docs, labels, id_col, text_col)
     source = F.col(sources) if sources else F.lit(None).cast("string")
-    t = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), F.col(text_col).alias("t"), n_tokens(text_col).alias("n"))
-    t = written(model.add(t, "t").drop("t"), "posteriors")
+    t = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), F.col(text_col).alias("t"))
+    t = written(described(t, "t", model.lexicon, "doc_id", "source"), "features")
+    t = written(model.posteriors(t), "posteriors")
     now = expected(with_rate(t, []))
     if multiples:
         targets = now * np.array([multiples[d] for d in DOMAINS])

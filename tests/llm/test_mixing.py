@@ -32,7 +32,7 @@ def test_classifier_on_held_out_labels(spark):
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     held = F.col("doc_id") % 4 == 0
     model = mixing.fit_classifier(docs, labels.where(~held))
-    r = model.add(docs, "text").join(labels.where(held), "doc_id")
+    r = model.posteriors(mixing.described(docs, "text", model.lexicon, "doc_id")).join(labels.where(held), "doc_id")
     for label, p in (("toxic", F.col("p1") + F.col("p3")), ("quality", F.col("p2") + F.col("p3"))):
         assert r.agg(F.avg(((p > 0.5).cast("int") == F.col(label)).cast("int"))).first()[0] > 0.93
 
