@@ -14,19 +14,19 @@ def read_svp(spark: SparkSession, path: str, recursive: bool = False) -> DataFra
     A cast begins with `Section year-day h:m:s latitude longitude`; a layer at depth 0 is added with the first speed
     where there is none, and layers are put in order of depth.
     """
-    t = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.svp").text(path)
+    t = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive, pathGlobFilter="*.svp")
     return parse_svp(t.select(F.col("_metadata.file_name").alias("source"), F.col("value")))
 
 
 def parse_svp(files: DataFrame) -> DataFrame:
     c = files.select("source", F.posexplode(F.split("value", r"(?m)^Section\s+")).alias("k", "cast")).where("k > 0")
-    lines = F.filter(F.transform(F.split("cast", r"\r?\n"), F.trim), lambda x: x != "")
-    c = c.select("source", lines.alias("lines")).withColumn("head", F.split(F.element_at("lines", 1), r"\s+"))
+    row = F.lit(r"(?m)^[ \t]*([0-9.]+)[ \t]+([0-9.]+)[ \t\r]*$")
+    depth, sv = (F.regexp_extract_all(F.col("cast"), row, F.lit(k)) for k in (1, 2))
+    c = c.select("source", depth.alias("depth"), sv.alias("sv"), F.split(F.regexp_extract("cast", r"^([^\r\n]*)", 1), r"\s+").alias("head"))
     day, clock = F.split(F.col("head")[0], "-"), F.split(F.col("head")[1], ":")
     utc = times.year_day_to_utc(day[0].cast("int"), day[1].cast("int"), clock[0].cast("int"), clock[1].cast("int"), clock[2].cast("double"))
-    pairs = F.transform(F.slice("lines", 2, 100_000), lambda x: F.split(x, r"\s+"))
-    layers = F.transform(F.filter(pairs, lambda p: F.size(p) >= 2), lambda p: F.struct(p[0].cast("double").alias("depth"), p[1].cast("double").alias("sv")))
-    c = c.select("source", utc.alias("cast_time"), angles.parse_dms(F.col("head")[2]).alias("lat"), angles.parse_dms(F.col("head")[3]).alias("lon"), F.array_sort(layers).alias("layers"))
+    layers = F.zip_with("depth", "sv", lambda d, v: F.struct(d.cast("double").alias("depth"), v.cast("double").alias("sv")))
+    c = c.select("source", utc.alias("cast_time"), angles.parse_dms(F.col("head")[2]).alias("lat"), angles.parse_dms(F.col("head")[3]).alias("lon"), F.sort_array(layers).alias("layers"))
     top = F.when((F.size("layers") > 0) & (F.col("layers")[0]["depth"] > 0), F.concat(F.array(F.struct(F.lit(0.0).alias("depth"), F.col("layers")[0]["sv"].alias("sv"))), F.col("layers"))).otherwise(F.col("layers"))
     return c.withColumn("layers", top)
 
