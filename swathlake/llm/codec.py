@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .shared import new_path, slices, written
 from .tokens import END_ID, encoder, vocabulary_path, with_end
 
-STEPS, BLOCK_IDS = 256, 1 << 20
+STEPS, BLOCK_IDS = 128, 1 << 20
 MIX_BITS, ORDER0_BITS, TABLE2_BITS, CONFIDENCE = 16, 20, 18, 15
 HEADER = struct.Struct("<4sIIIIII")
 FOOTER = struct.Struct("<4sQQI")
@@ -66,7 +66,7 @@ class Model:
         self.mix += 8 * np.bincount(self.context + which, minlength=len(self.mix))
         if self.mix.max() > 1 << 24:
             self.mix = (self.mix + 1) // 2
-        self.counts += np.bincount(ids, minlength=self.size)
+        np.add.at(self.counts, ids, 1)
         for at, guess, sure, table in ((self.at1, self.guess1, self.sure1, self.id1), (self.at2, self.guess2, self.sure2, self.id2)):
             s, hit = sure[at], guess == ids
             table[at] = np.where(hit | (s > 0), guess, ids)

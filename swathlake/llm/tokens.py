@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import cache
-from itertools import chain
 
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces kept by a task, and the longest of them.
-MOST_PIECES, LONGEST = 400_000, 40
+MOST_PIECES, LONGEST = 1_000_000, 40
 END_ID = 0
 
 _L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -35,6 +35,31 @@ def _byte_characters() -> dict[int, int]:
     return {b: b for b in own} | {b: 256 + k for k, b in enumerate(rest)}
 
 
+class _Pieces(dict):
+    """Ids of pieces as bytes, learnt when first asked for."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize, self.long = model.tokenize, []
+
+    def __missing__(self, w: str) -> bytes:
+        if w.isascii() and (bare := w.removeprefix(" ")).isalnum():
+            mapped = w if len(bare) == len(w) else "Ġ" + bare
+        else:
+            mapped = w.encode().decode("latin-1").translate(_byte_characters())
+        out = self[w] = array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
+        if len(w) > LONGEST:
+            self.long.append(w)
+        return out
+
+    def trim(self) -> None:
+        for w in self.long:
+            del self[w]
+        self.long.clear()
+        if len(self) > MOST_PIECES:
+            self.clear()
+
+
 class Encoder:
     """encode(texts) gives what the library's encode(text, add_special_tokens=False) gives for each, as one array with offsets."""
 
@@ -44,30 +69,19 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.model, self.pieces, self.size = self.library.model, {}, self.library.get_vocab_size(with_added_tokens=True)
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        table, tokenize, new = _byte_characters(), self.model.tokenize, {}
-        for w in words:
-            new[w] = np.array([t.id for t in tokenize(w.encode().decode("latin-1").translate(table))], "<u4").tobytes()
-        return new
+        self.pieces, self.size = _Pieces(self.library.model), self.library.get_vocab_size(with_added_tokens=True)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        cut = [_piece.findall(t) if t and _plain.match(t) else None for t in texts]
-        if len(self.pieces) > MOST_PIECES:
-            self.pieces = {}
-        new = self._learn(set(chain.from_iterable(c for c in cut if c)) - self.pieces.keys())
-        self.pieces.update(new)
-        out = []
-        for t, c in zip(texts, cut, strict=True):
-            if c is not None:
-                out.append(b"".join(map(self.pieces.__getitem__, c)))
+        out, of = [], self.pieces.__getitem__
+        for t in texts:
+            if not t:
+                out.append(b"")
+            elif _plain.match(t):
+                out.append(b"".join(map(of, _piece.findall(t))))
             else:
-                out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if t else b"")
-        for w in new:
-            if len(w) > LONGEST:
-                del self.pieces[w]
-        return np.frombuffer(b"".join(out), "<u4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int64)
+                out.append(array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes())
+        self.pieces.trim()
+        return np.frombuffer(b"".join(out), np.uint32), np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int64)
 
 
 _encoders: dict[str, Encoder] = {}
