@@ -19,14 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import mix, semi_by_id, shingle_hashes, signed, slices, text_bytes, word_hashes, written
+from .shared import drop_written, mix, semi_by_id, shingle_hashes, signed, slices, text_bytes, word_hashes, written
 
 BAND_RATIO = 0.6
-SKETCH_BITS = 512
+#: Bits of a set's sketch: the power of two above its size, within these.
+SKETCH_BITS = (512, 8192)
 #: Bits of the filter of shared keys (4 MB, of this size for any input).
 FILTER_BITS = 1 << 25
-#: Members of one key that one task pairs with as many others.
-CHUNK = 256
+#: Members of one key that one task pairs with as many others; pairs that a task remembers to tell once.
+CHUNK, SEEN = 256, 1_000_000
 
 
 def band_table(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,14 +67,26 @@ def names(s: np.ndarray, at: np.ndarray) -> np.ndarray:
         return mix(_reduce(np.bitwise_xor, mix(s), at) ^ mix(_reduce(np.add, s, at) + np.diff(at).astype(np.uint64)))
 
 
-def bit_sketches(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(rows, SKETCH_BITS / 64) parities."""
-    n = SKETCH_BITS // 64
-    out = np.zeros((len(at) - 1) * n, np.uint64)
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    bit = s & np.uint64(SKETCH_BITS - 1)
-    np.bitwise_xor.at(out, row * n + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-    return out.reshape(-1, n)
+def bit_sketches(s: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Parities of the members' bits, for each row in as many bits as its size asks for."""
+    n = np.diff(at)
+    bits = np.left_shift(1, np.clip(np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), *(int(x).bit_length() - 1 for x in SKETCH_BITS)))
+    base = np.concatenate([[0], np.cumsum(bits // 64)])
+    out = np.zeros(base[-1], np.uint64)
+    row = np.repeat(np.arange(len(n)), n)
+    bit = s & (bits[row] - 1).astype(np.uint64)
+    np.bitwise_xor.at(out, base[row] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return [out[p:q].tobytes() for p, q in zip(base, base[1:], strict=False)]
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """(rows, words): sketches of different lengths folded to the shortest one's; parities add."""
+    least = min(map(len, sketches)) // 8
+    out = np.empty((len(sketches), least), np.uint64)
+    for k, x in enumerate(sketches):
+        v = np.frombuffer(x, np.uint64)
+        out[k] = v if len(v) == least else np.bitwise_xor.reduce(v.reshape(-1, least), axis=0)
+    return out
 
 
 def pigeonhole_keys(s: np.ndarray, at: np.ndarray, percent: int, table=None) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +131,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
             s, at = distinct_shingles(*text_bytes(b.column("text")), words)
             n = np.diff(at)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n), pa.array(signed(names(s, at)), mask=n == 0), pa.array([x.tobytes() for x in bit_sketches(s, at)], pa.binary())],
+                [b.column("doc_id"), pa.array(n), pa.array(signed(names(s, at)), mask=n == 0), pa.array(bit_sketches(s, at), pa.binary())],
                 ["doc_id", "n", "node", "sketch"],
             )
 
@@ -154,22 +167,22 @@ def key_filter(shared: DataFrame):
     return shared.sparkSession.sparkContext.broadcast(out)
 
 
-def _may_link(na, nb, sa, sb, percent: int) -> np.ndarray:
-    """False where sizes or the sketches' Hamming distance rule a link out."""
-    low, high = np.minimum(na, nb), np.maximum(na, nb)
-    distance = np.bitwise_count(sa ^ sb).sum(-1)
-    return (100 * low >= percent * high) & (distance * (100 + percent) <= (100 - percent) * (na + nb))
+def _near(distance: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of `total` members together can link at this distance or more."""
+    return distance * (100 + percent) <= (100 - percent) * total
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that sizes and sketches leave."""
+    """Pairs (a, b) that sizes and the sketches' Hamming distance leave."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            if x.num_rows:
-                sa, sb = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint64).reshape(x.num_rows, -1) for c in ("sa", "sb"))
-                ok = _may_link(x.column("na").to_numpy(), x.column("nb").to_numpy(), sa, sb, percent)
-                yield x.select(["a", "b"]).filter(pa.array(ok))
+            na, nb = x.column("na").to_numpy(), x.column("nb").to_numpy()
+            ok = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+            for i in np.flatnonzero(ok):
+                u, v = folded([x.column("sa")[i].as_py(), x.column("sb")[i].as_py()])
+                ok[i] = _near(np.bitwise_count(u ^ v).sum(), na[i] + nb[i], percent)
+            yield x.select(["a", "b"]).filter(pa.array(ok))
 
     one = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
@@ -199,35 +212,56 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, p
             yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     x = pairs.join(texts.withColumnsRenamed({"node": "a", "members": "ma"}), "a").join(texts.withColumnsRenamed({"node": "b", "members": "mb"}), "b")
-    return written(x.mapInArrow(check, "a long, b long"), "verified")
+    out = written(x.mapInArrow(check, "a long, b long"), "verified")
+    drop_written(texts, need)
+    return out
 
 
 def _across(members: DataFrame, nodes: DataFrame, root: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs of members of one key in different components. A key's members are dealt into chunks, and each pair of chunks is one row of work."""
+    """Plausible pairs of members of one key in different components. Members of a large key are dealt into chunks, and each pair of chunks is one row of work."""
     m = members.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     open_keys = m.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.count("*").alias("size")).where("p <> q")
     open_keys = open_keys.select("key", F.ceil(F.col("size") / CHUNK).cast("long").alias("chunks"))
-    m = m.join(open_keys, "key").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))).join(nodes.select("node", "n", "sketch"), "node")
-    chunks = written(m.groupBy("key", "chunks", "chunk").agg(F.collect_list(F.struct("node", "root", "n", "sketch")).alias("rows")), "chunks")
-    left = chunks.select("key", F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("chunk"), F.col("chunk").alias("own"), F.col("rows").alias("others"))
+    m = written(m.join(open_keys, "key"), "open").join(nodes.select("node", "n", "sketch"), "node")
+    row = F.collect_list(F.struct("node", "root", "n", "sketch")).alias("rows")
+    small = m.where("chunks = 1").groupBy("key").agg(row).select("rows", F.lit(None).cast("array<struct<node:bigint,root:bigint,n:bigint,sketch:binary>>").alias("others"))
+    large = m.where("chunks > 1").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))).groupBy("key", "chunks", "chunk").agg(row)
+    large = written(large, "chunks")
+    left = large.select("key", F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("chunk"), F.col("rows").alias("others"))
+    work = small.unionByName(left.join(large.select("key", "chunk", "rows"), ["key", "chunk"]).select("rows", "others"))
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for x in batches:
             out = []
             for i in range(x.num_rows):
-                (na, ra, ca, sa), (nb, rb, cb, sb) = (_columns(x.column(c)[i].values) for c in ("others", "rows"))
-                for k in range(len(na)):
-                    ok = (ra[k] != rb) & _may_link(ca[k], cb, sa[k], sb, percent)
-                    out += [(min(na[k], v), max(na[k], v)) for v in nb[ok]]
-            out = np.array(sorted(set(out)), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
-
-    return left.join(chunks.select("key", "chunk", "rows"), ["key", "chunk"]).mapInArrow(pair, "a long, b long").distinct()
-
-
-def _columns(rows: pa.StructArray) -> tuple[np.ndarray, ...]:
-    node, root, n = (rows.field(k).to_numpy() for k in ("node", "root", "n"))
-    return node, root, n, np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+                one, two = x.column("rows")[i].values, x.column("others")[i].values
+                for a, b in _pairs(one, two if two is not None else one, percent):
+                    if (a, b) not in seen:
+                        seen.add((a, b))
+                        out.append((a, b))
+                if len(seen) > SEEN:
+                    seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return work.mapInArrow(pair, "a long, b long").distinct()
+
+
+def _pairs(one: pa.StructArray, two: pa.StructArray, percent: int) -> list[tuple[int, int]]:
+    """Pairs, the smaller first, of members of two chunks in different components that may link. Sorted by size, so that each meets only those within the ratio."""
+    (na, ra, ca), (nb, rb, cb) = (tuple(x.field(k).to_numpy() for k in ("node", "root", "n")) for x in (one, two))
+    sa, sb = one.field("sketch").to_pylist(), two.field("sketch").to_pylist()
+    order = np.argsort(cb, kind="stable")
+    sizes, out = cb[order], []
+    for k in range(len(na)):
+        lo, hi = np.searchsorted(sizes, -(-percent * ca[k] // 100)), np.searchsorted(sizes, ca[k] * 100 // percent, "right")
+        near = order[lo:hi]
+        near = near[(rb[near] != ra[k]) & (nb[near] != na[k])]
+        if len(near):
+            v = folded([sa[k], *[sb[j] for j in near]])
+            near = near[_near(np.bitwise_count(v[1:] ^ v[0]).sum(1), ca[k] + cb[near], percent)]
+            out += [(min(int(na[k]), int(v)), max(int(na[k]), int(v))) for v in nb[near]]
+    return out
 
 
 def classes(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,6 +279,7 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "d
     bits = key_filter(shared)
     members = written(_keys(docs, words, percent, bits).join(shared, "key").distinct(), "members")
     star = written(_plausible(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), nodes, percent), "pairs")
+    drop_written(shared)
     links = _verified(star, docs, nodes, words, percent)
     root = written(components(links), "root")
     rest = _across(members.select("key", "node"), nodes, root, percent)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,7 +42,7 @@ def drop_written(*tables: DataFrame) -> None:
 
     for t in tables:
         for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
-            system, path = fs.FileSystem.from_uri(folder)
+            system, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder))
             system.delete_dir(path)
 
 
@@ -73,7 +74,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(batches, column: str, most: int = 2_000_000):
+def slices(batches, column: str, most: int = 1_000_000):
     """Arrow batches cut so that the text of each has about `most` bytes at most; one longer row stands alone."""
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
