@@ -17,8 +17,10 @@ from .shared import written
 
 #: Words whose presence the toxicity model looks at, each in this many labelled documents or more, and the smoothing of their counts.
 VOCABULARY, LEAST_DOCS, SMOOTHING = 48, 5, 0.5
+#: Least log odds of a lexicon's word, so that chance words of few documents stay out.
+LEAST_ODDS = 2.5
 #: Bound of the labelled sample that the classifier learns from, and the weight of its penalty.
-SAMPLE_DOCS, PENALTY = 20_000, 1.0
+SAMPLE_DOCS, PENALTY = 20_000, 0.1
 #: Most steps, and the relative error of the totals that is small enough.
 STEPS, TOLERANCE = 20, 1e-3
 DOMAINS = ("low_clean", "low_toxic", "high_clean", "high_toxic")
@@ -99,7 +101,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     if 0 < bad < n:
         per = d.select("x", F.explode(F.array_distinct(F.split(F.lower("t"), r"[^\p{L}]+"))).alias("w")).where("w <> ''").groupBy("w").agg(F.sum("x").alias("a"), F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
         odds = F.log((F.col("a") + SMOOTHING) / (bad + 2 * SMOOTHING)) - F.log((F.col("n") - F.col("a") + SMOOTHING) / (n - bad + 2 * SMOOTHING))
-        best = per.withColumn("odds", odds).where("odds > 1").orderBy(F.desc(F.col("odds") * F.col("a")), "w").limit(VOCABULARY).collect()
+        best = per.withColumn("odds", odds).where(F.col("odds") > LEAST_ODDS).orderBy(F.desc(F.col("odds") * F.col("a")), "w").limit(VOCABULARY).collect()
         lexicon = {r["w"]: float(r["odds"]) for r in best}
     rows = described(d, "t", lexicon, "i", "q", "x").orderBy(F.xxhash64("i"), "f").limit(SAMPLE_DOCS).collect()
     if not rows:
