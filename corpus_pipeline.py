@@ -15,7 +15,7 @@ from swathlake.llm.tokens import vocabulary_path
 
 #: A language below this score rejects a document.
 LEAST_SCORE = 0.5
-#: A document stays in the mix if its fitted rate rounds to one or more.
+#: A document's fitted rate below this rounds to none.
 LEAST_RATE = 0.5
 
 
@@ -47,11 +47,12 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose fitted rate rounds to one or more: the clean domains keep their tokens, the toxic ones lose theirs."""
+    """The clean domains keep their tokens, the toxic ones lose theirs: documents go whose fitted rate rounds to none and whose likelier membership is toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     multiples = {d: float(d.endswith("clean")) for d in mixing.DOMAINS}
-    rates = written(mixing.mix(docs, labels, multiples=multiples).select("doc_id", "rate"), "rates")
-    return anti_by_id(docs, rates.where(F.col("rate") < LEAST_RATE).select("doc_id").distinct(), "doc_id")
+    toxic = sum(F.col(d) for d in mixing.DOMAINS if d.endswith("toxic"))
+    rates = written(mixing.mix(docs, labels, multiples=multiples).select("doc_id", "rate", toxic.alias("toxic")), "rates")
+    return anti_by_id(docs, rates.where((F.col("rate") < LEAST_RATE) & (F.col("toxic") >= 0.5)).select("doc_id").distinct(), "doc_id")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
