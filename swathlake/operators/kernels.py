@@ -142,7 +142,7 @@ def ray_trace(soundings: DataFrame, casts: DataFrame, waterline_offset: float =
 
 
 def vertical(reference: str, depth: Column, altitude: Column, heave: Column, waterline: Column, tide: Column) -> Column:
-    if reference in ("ellipse", "NOAA MLLW", "NOAA MHW"):
+    if reference in ("ellipse", "MLLW", "MHW"):
         return altitude - depth
     if reference == "vessel":
         return depth + heave
@@ -175,7 +175,7 @@ TPU = {
     "horizontal_positioning_error": 1.5, "vertical_positioning_error": 1.0, "separation_model_error": 0.0, "waterline_error": 0.02, "beam_opening_angle": 1.0,
     "tx_to_antenna_x": 0.0, "tx_to_antenna_y": 0.0, "tx_to_antenna_z": 0.0,
 }
-WATERLINE, ELLIPSE = ("vessel", "waterline", "Aviso MLLW"), ("ellipse", "NOAA MLLW", "NOAA MHW")
+WATERLINE, ELLIPSE = ("vessel", "waterline", "Aviso MLLW"), ("ellipse", "MLLW", "MHW")
 
 
 def sounder_variance(depth: Column, across: Column, quality: Column, ifremer: bool) -> tuple[Column, Column]:
