@@ -3,9 +3,10 @@
 A set's sketch hashes its shingles to k cells and XORs their hashes in each, so two sketches differ in at most as many
 cells as the sets differ in members. Links bound that: with sizes in one band, a linked pair differs in at most d
 members, hence agrees in at least k - d cells. k = d + 1 + e: a set with at most e empty cells leaves those out and still
-shares a filled one with every partner. Equal keys meet through the smallest member first; the links found there join
-components, and only members of different components that still share a key are paired, behind a bit sketch whose
-Hamming distance is another lower bound. Every pair is verified on the whole sets.
+shares a filled one with every partner. Equal keys meet first through the member whose keys are the most common, the
+likeliest original of a group of copies; the links found there join components, and only members of different components
+that still share a key are paired, behind a bit sketch whose Hamming distance is another lower bound. A pair that shares
+many keys is told at the smallest of them. Every pair is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ BAND_RATIO = 0.6
 SKETCH_BITS = (512, 8192)
 #: Bits of the filter of shared keys (4 MB, of this size for any input).
 FILTER_BITS = 1 << 25
-#: Members of one key that one task pairs with as many others; pairs that a task remembers to tell once.
-CHUNK, SEEN = 256, 1_000_000
+#: Members of one key that one task pairs with as many others.
+CHUNK = 512
+#: Smallest keys of a member that are carried along: when two members share one of these, the smallest tells their pair.
+FIRST_KEYS = 8
 
 
 def band_table(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,37 +225,38 @@ def _across(members: DataFrame, nodes: DataFrame, root: DataFrame, percent: int)
     m = members.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     open_keys = m.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.count("*").alias("size")).where("p <> q")
     open_keys = open_keys.select("key", F.ceil(F.col("size") / CHUNK).cast("long").alias("chunks"))
-    m = written(m.join(open_keys, "key"), "open").join(nodes.select("node", "n", "sketch"), "node")
-    row = F.collect_list(F.struct("node", "root", "n", "sketch")).alias("rows")
-    small = m.where("chunks = 1").groupBy("key").agg(row).select("rows", F.lit(None).cast("array<struct<node:bigint,root:bigint,n:bigint,sketch:binary>>").alias("others"))
+    m = written(m.join(open_keys, "key"), "open")
+    firsts = m.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("key")), 1, FIRST_KEYS).alias("firsts"))
+    m = m.join(nodes.select("node", "n", "sketch").join(firsts, "node"), "node")
+    row = F.collect_list(F.struct("node", "root", "n", "sketch", "firsts")).alias("rows")
+    small = m.where("chunks = 1").groupBy("key").agg(row).withColumn("others", F.when(F.lit(False), F.col("rows")))
     large = m.where("chunks > 1").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))).groupBy("key", "chunks", "chunk").agg(row)
     large = written(large, "chunks")
     left = large.select("key", F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("chunk"), F.col("rows").alias("others"))
-    work = small.unionByName(left.join(large.select("key", "chunk", "rows"), ["key", "chunk"]).select("rows", "others"))
+    work = small.unionByName(left.join(large.select("key", "chunk", "rows"), ["key", "chunk"]).select("key", "rows", "others"))
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
         for x in batches:
             out = []
             for i in range(x.num_rows):
                 one, two = x.column("rows")[i].values, x.column("others")[i].values
-                for a, b in _pairs(one, two if two is not None else one, percent):
-                    if (a, b) not in seen:
-                        seen.add((a, b))
-                        out.append((a, b))
-                if len(seen) > SEEN:
-                    seen.clear()
+                out += _pairs(one, two if two is not None else one, percent, x.column("key")[i].as_py())
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return work.mapInArrow(pair, "a long, b long").distinct()
 
 
-def _pairs(one: pa.StructArray, two: pa.StructArray, percent: int) -> list[tuple[int, int]]:
-    """Pairs, the smaller first, of members of two chunks in different components that may link. Sorted by size, so that each meets only those within the ratio."""
+def _pairs(one: pa.StructArray, two: pa.StructArray, percent: int, key: int) -> list[tuple[int, int]]:
+    """Pairs, the smaller first, of members of two chunks in different components that may link. Sorted by size, so that each meets only those within the ratio.
+
+    Keys below one that both carry are carried by both, so the smallest carried key that two share is the smallest they
+    share at all: other keys leave the pair to it. Pairs that share none of the carried ones are told by each key.
+    """
     (na, ra, ca), (nb, rb, cb) = (tuple(x.field(k).to_numpy() for k in ("node", "root", "n")) for x in (one, two))
     sa, sb = one.field("sketch").to_pylist(), two.field("sketch").to_pylist()
-    order = np.argsort(cb, kind="stable")
-    sizes, out = cb[order], []
+    fa, fb = (_padded(x.field("firsts")) for x in (one, two))
+    order = np.lexsort((nb, cb))
+    sizes, out = cb[order], set()
     for k in range(len(na)):
         lo, hi = np.searchsorted(sizes, -(-percent * ca[k] // 100)), np.searchsorted(sizes, ca[k] * 100 // percent, "right")
         near = order[lo:hi]
@@ -260,7 +264,17 @@ def _pairs(one: pa.StructArray, two: pa.StructArray, percent: int) -> list[tuple
         if len(near):
             v = folded([sa[k], *[sb[j] for j in near]])
             near = near[_near(np.bitwise_count(v[1:] ^ v[0]).sum(1), ca[k] + cb[near], percent)]
-            out += [(min(int(na[k]), int(v)), max(int(na[k]), int(v))) for v in nb[near]]
+            here = fa[k][fa[k] < key]
+            near = near[~np.isin(fb[near], here).any(1)]
+            out.update((min(int(na[k]), int(v)), max(int(na[k]), int(v))) for v in nb[near])
+    return sorted(out)
+
+
+def _padded(firsts: pa.ListArray) -> np.ndarray:
+    """(rows, FIRST_KEYS), short lists filled with the largest value."""
+    out = np.full((len(firsts), FIRST_KEYS), np.iinfo(np.int64).max)
+    n = firsts.value_lengths().to_numpy()
+    out[np.arange(FIRST_KEYS) < n[:, None]] = firsts.flatten().to_numpy()
     return out
 
 
@@ -274,16 +288,19 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "d
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets = written(_sets(docs, words), "sets")
     nodes = written(sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
-    shared = _keys(docs, words, percent).groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("key", "lead")
-    shared = written(shared, "shared")
+    shared = _keys(docs, words, percent).groupBy("key").agg(F.min("node").alias("p"), F.max("node").alias("q"), F.count("*").alias("size")).where("p <> q")
+    shared = written(shared.select("key", "size"), "shared")
     bits = key_filter(shared)
     members = written(_keys(docs, words, percent, bits).join(shared, "key").distinct(), "members")
-    star = written(_plausible(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), nodes, percent), "pairs")
+    weights = members.groupBy("node").agg(F.struct(F.sum("size").alias("weight"), "node").alias("central"))
+    leads = members.join(weights, "node").groupBy("key").agg(F.max("central").alias("central")).select("key", F.col("central.node").alias("lead"))
+    star = members.join(leads, "key").where("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
+    star = written(_plausible(star, nodes, percent), "pairs")
     drop_written(shared)
     links = _verified(star, docs, nodes, words, percent)
     root = written(components(links), "root")
     rest = _across(members.select("key", "node"), nodes, root, percent)
-    rest = written(rest.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    rest = written(rest.join(star, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         links = links.unionByName(_verified(rest, docs, nodes, words, percent))
         root = written(components(links), "root")
