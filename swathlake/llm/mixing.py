@@ -2,9 +2,9 @@
 
 A classifier learnt from the labelled table predicts, for every document, the probability of each domain. Document rates
 r >= 0 are then fitted so that the expected tokens of each domain, sum r n p(domain), match targets: least squares by
-projected gradients, each domain's error weighed by its present tokens. A step takes one aggregate over the table of
-posteriors and a few numbers to the driver; the rate after t steps is a chain of t short expressions of a document's own
-posteriors, so no state is joined back or kept.
+projected gradients, each domain's error weighed by its present tokens. A step takes an aggregate over the table of
+posteriors and a few numbers to the driver; a rate is one short expression of a document's own posteriors, so no state is
+joined back or kept.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ VOCABULARY, LEAST_DOCS, SMOOTHING = 48, 5, 0.5
 LEAST_ODDS = 2.5
 #: Bound of the labelled sample that the classifier learns from, and the weight of its penalty.
 SAMPLE_DOCS, PENALTY = 20_000, 0.1
-#: Most steps, and the relative error of the totals that is small enough.
-STEPS, TOLERANCE = 20, 1e-3
+#: Most steps, and the relative error of a domain's tokens that is small enough.
+STEPS, TOLERANCE = 40, 2e-3
 DOMAINS = ("low_clean", "low_toxic", "high_clean", "high_toxic")
 #: Target shares of the tokens.
 WEIGHTS = {"low_clean": 0.12, "low_toxic": 0.01, "high_clean": 0.85, "high_toxic": 0.02}
@@ -116,13 +116,12 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 P = [f"p{k}" for k in range(len(DOMAINS))]
 
 
-def with_rate(table: DataFrame, steps: list[np.ndarray], most: float | None = None) -> DataFrame:
-    """table (p0 to p3, ...) with the column rate: what the steps so far make of 1."""
-    r = F.lit(1.0)
-    for y in steps:
-        r = F.greatest(F.lit(0.0), r - sum(F.lit(float(v)) * F.col(p) for v, p in zip(y, P, strict=True)))
-        r = F.least(r, F.lit(float(most))) if most is not None else r
-    return table.withColumn("rate", r)
+def with_rate(table: DataFrame, direction: np.ndarray | None = None, most: float | None = None) -> DataFrame:
+    """table (p0 to p3, ...) with the column rate: 1 moved against a direction of the posteriors and cut to its bounds."""
+    if direction is None:
+        return table.withColumn("rate", F.lit(1.0))
+    r = F.greatest(F.lit(0.0), 1 - sum(F.lit(float(v)) * F.col(p) for v, p in zip(direction, P, strict=True)))
+    return table.withColumn("rate", F.least(r, F.lit(float(most))) if most is not None else r)
 
 
 def expected(table: DataFrame) -> np.ndarray:
@@ -130,46 +129,82 @@ def expected(table: DataFrame) -> np.ndarray:
     return np.array(table.agg(*[F.coalesce(F.sum(F.col("n") * F.col("rate") * F.col(p)), F.lit(0.0)) for p in P]).first(), float)
 
 
-def fit_rates(table: DataFrame, targets: np.ndarray, most: float | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Directions of the steps, and the expected tokens that they reach. table: (n, p0 to p3), written, as it is read once a step."""
+def _moments(table: DataFrame, most: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Expected tokens of each domain under the column rate, and how they change with a step: the sums of n p p' over the rows whose rate is inside its bounds."""
     n = F.col("n").cast("double")
-    row = table.agg(*[F.coalesce(F.sum(n * F.col(a) * F.col(b)), F.lit(0.0)) for a in P for b in P]).first()
-    gram = np.array(row, float).reshape(len(P), len(P))
-    now = np.maximum(gram.sum(1), 1e-9)  # the posteriors sum to 1
-    rate = 1 / max(np.linalg.eigvalsh(gram / np.sqrt(now[:, None] * now[None, :])).max(), 1e-9)
-    steps: list[np.ndarray] = []
-    reached = expected(with_rate(table, steps, most))
+    inside = F.col("rate") > 0 if most is None else (F.col("rate") > 0) & (F.col("rate") < most)
+    pairs = [(i, j) for i in range(len(P)) for j in range(i, len(P))]
+    gram = [F.coalesce(F.sum(F.when(inside, n * F.col(P[i]) * F.col(P[j]))), F.lit(0.0)) for i, j in pairs]
+    row = table.agg(*[F.coalesce(F.sum(n * F.col("rate") * F.col(p)), F.lit(0.0)) for p in P], *gram).first()
+    g = np.zeros((len(P), len(P)))
+    for (i, j), v in zip(pairs, row[len(P) :], strict=True):
+        g[i, j] = g[j, i] = v
+    return np.array(row[: len(P)], float), g
+
+
+def residual(reached: np.ndarray, targets: np.ndarray) -> float:
+    """The greatest relative error of a domain; a target below a thousandth of all counts as that."""
+    return float((np.abs(reached - targets) / np.maximum(targets, max(targets.sum(), 1) / 1000)).max())
+
+
+def fit_rates(table: DataFrame, targets: np.ndarray, most: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The direction against which rates of 1 are moved, and the expected tokens reached. table: (n, p0 to p3), written, as it is read once a step.
+
+    Lazy projected gradients: the gradients of the squared errors add up to one direction, and rates of 1 moved against
+    it are cut to their bounds, so a rate is one short expression whatever the steps. A gradient is scaled by the inverse
+    of the Gram matrix of the rows inside their bounds, so that without cuts one step meets the targets, and halved until
+    the errors fall; where that brings no progress, it is scaled by the tokens of each domain and a safe length. It ends
+    when every domain is within TOLERANCE, after STEPS, or where no step brings progress, as the targets are out of reach.
+    """
+    y = np.zeros(len(P))
+    reached, gram = _moments(with_rate(table), None)
+    now = np.maximum(reached, 1e-9)
+    scale = np.sqrt(now)
+    safe = 1 / max(np.linalg.eigvalsh(gram / scale[:, None] / scale[None, :]).max(), 1e-9)
+    loss = lambda x: float((np.square(x - targets) / now).sum())
     for _ in range(STEPS):
-        if np.abs(reached - targets).max() <= TOLERANCE * max(targets.sum(), 1):
+        if residual(reached, targets) <= TOLERANCE:
+            break
+        scaled, wrong = gram / scale[:, None] / scale[None, :], (reached - targets) / scale
+        tries = [safe * wrong / scale]
+        if np.trace(scaled) > 0:
+            whole = np.linalg.solve(scaled + 1e-9 * np.trace(scaled) * np.eye(len(P)), wrong) / scale
+            tries = [whole / 2**k for k in range(6)] + tries
+        for step in tries:
+            there, g = _moments(with_rate(table, y + step, most), most)
+            if loss(there) < 0.99 * loss(reached):
+                y, reached, gram = y + step, there, g
+                break
+        else:
             break
-        steps.append(rate * (reached - targets) / now)
-        reached = expected(with_rate(table, steps, most))
-    return steps, reached
+    return y, reached
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, multiples: dict[str, float] | None = None, budget: float | None = None, most: float | None = None, id_col: str = "doc_id", text_col: str = "text", sources: str | None = "source") -> DataFrame:
-    """Per row: doc_id, source, n_tokens, posteriors (one column a domain), rate, copies.
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, multiples: dict[str, float] | None = None, budget: float | None = None, most: float | None = None, id_col: str = "doc_id", text_col: str = "text", sources: str | None = "source", key: str | None = None) -> DataFrame:
+    """Per row: doc_id, source, n_tokens, posteriors (one column a domain), rate, copies, residual; with `key`, a column of docs, also that as key.
 
-    Targets are `weights` of `budget` tokens (by default as many as there are), or `multiples` of the tokens now expected
+    residual is the greatest relative error of a domain's expected tokens, the same in every row: above TOLERANCE where
+    the targets are out of reach. Targets are `weights` of `budget` tokens (by default as many as there are), or `multiples` of the tokens now expected
     in each domain; most: largest rate. copies = the whole part of the rate, and one more where a hash of the id falls
     below its fraction. Null texts have no tokens and the posteriors of a text without a known word; a null id stays
     null; repeated rows each get a row; without labels all texts have the same posteriors, without documents there are no rows.
     """
     model = fit_classifier(docs, labels, id_col, text_col)
     source = F.col(sources) if sources else F.lit(None).cast("string")
-    t = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), F.col(text_col).alias("t"))
-    t = written(described(t, "t", model.lexicon, "doc_id", "source"), "features")
+    keys = ["key"] if key else []
+    t = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), F.col(text_col).alias("t"), *[F.col(key).alias(k) for k in keys])
+    t = written(described(t, "t", model.lexicon, "doc_id", "source", *keys), "features")
     t = written(model.posteriors(t), "posteriors")
-    now = expected(with_rate(t, []))
+    now = expected(with_rate(t))
     if multiples:
         targets = now * np.array([multiples[d] for d in DOMAINS])
     else:
         weights = weights or WEIGHTS
         targets = np.array([weights[d] for d in DOMAINS]) / sum(weights.values()) * (budget or now.sum())
-    steps, _ = fit_rates(t, targets, most)
+    direction, reached = fit_rates(t, targets, most)
     u = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(31)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    t = with_rate(t, steps, most)
-    return t.select("doc_id", "source", F.col("n").alias("n_tokens"), *[F.col(p).alias(d) for p, d in zip(P, DOMAINS, strict=True)], "rate", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("long")).alias("copies"))
+    t = with_rate(t, direction, most)
+    return t.select("doc_id", "source", F.col("n").alias("n_tokens"), *[F.col(p).alias(d) for p, d in zip(P, DOMAINS, strict=True)], "rate", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("long")).alias("copies"), F.lit(residual(reached, targets)).alias("residual"), *keys)
 
 
 def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
