@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop_written, mix, semi_by_id, shingle_hashes, signed, slices, text_bytes, word_hashes, written
+from .shared import drop_written, join_split, mix, semi_by_id, shingle_hashes, signed, slices, text_bytes, word_hashes, written
 
 BAND_RATIO = 0.6
 #: Bits of a set's sketch: the power of two above its size, within these.
@@ -285,9 +285,11 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "d
     different texts are documents of their own that share their id. A null id stays null, and names no class unless the
     whole class has none. Empty tables stay empty; other columns are not read.
     """
+    if not 60 < percent <= 100:  # a partner of a set is then in its own size band or the one below
+        raise ValueError("percent must be above 60 and 100 at most")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets = written(_sets(docs, words), "sets")
-    nodes = written(sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = written(sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("size")), "nodes")
     shared = _keys(docs, words, percent).groupBy("key").agg(F.min("node").alias("p"), F.max("node").alias("q"), F.count("*").alias("size")).where("p <> q")
     shared = written(shared.select("key", "size"), "shared")
     bits = key_filter(shared)
@@ -304,9 +306,12 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "d
     if not rest.isEmpty():
         links = links.unionByName(_verified(rest, docs, nodes, words, percent))
         root = written(components(links), "root")
-    named = sets.select("doc_id", "n", "node").join(root, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
-    smallest = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("smallest"))
-    return named.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"))
+    whole = written(nodes.select("node", "rep", "size").join(root, "node", "left").select("node", "rep", F.col("size").alias("copies"), F.coalesce("root", "node").alias("root")), "whole")
+    smallest = written(whole.groupBy("root").agg(F.min("rep").alias("smallest"), F.count("*").alias("size")), "smallest")
+    named = written(join_split(whole, smallest, "root").select("node", "smallest", F.col("copies").alias("size")), "named")
+    some = join_split(sets.where("node is not null").select("doc_id", "n", "node"), named, "node").select("doc_id", "n", "smallest")
+    none = sets.where("node is null").select("doc_id", "n", F.col("doc_id").alias("smallest"))
+    return some.unionByName(none).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"))
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -12,14 +12,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that an id table may have to be broadcast (8 bytes each); beyond it a shuffled join is used.
+#: Rows that an id table may have to be broadcast (8 bytes each, 32 for digests); beyond it a shuffled join is used.
 BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where it is unset (one machine)."""
+    """The folder in spark.checkpoint.dir, which all executors share; where it is unset, a temporary one on a single machine, and an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -57,6 +59,20 @@ def anti_by_id(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df if not n else df.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, key, "left_anti")
 
 
+def join_split(left: DataFrame, right: DataFrame, key: str, size: str = "size") -> DataFrame:
+    """left joined with right, which has one row a key and in `size` how many rows of left have it. Both are written tables.
+
+    Keys that more than a thousandth of left's rows have, a thousand at most, are broadcast, so that no task gets a hot
+    key's rows; the rest is shuffled.
+    """
+    total = right.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    hot = F.col(size) * 1000 > total
+    few, rest = right.where(hot).drop(size), right.where(~hot).drop(size)
+    if few.isEmpty():
+        return left.join(rest, key)
+    return left.join(F.broadcast(few), key).unionByName(left.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key))
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return d.select(*columns) if columns else d
