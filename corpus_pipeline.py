@@ -15,8 +15,9 @@ from swathlake.llm.tokens import vocabulary_path
 
 #: A language below this score rejects a document.
 LEAST_SCORE = 0.5
-#: A document's fitted rate below this rounds to none.
+#: A document's fitted rate below this rounds to none; target shares of the tokens that clean and toxic domains now have.
 LEAST_RATE = 0.5
+CLEAN_SHARE, TOXIC_SHARE = 1.0, 0.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,14 +29,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return seen.toDF(*names).where(f"c1 <> '{language.UNKNOWN}' and c2 >= {LEAST_SCORE}").select(*[F.col(f"c{k + 3}").alias(c) for k, c in enumerate(columns)])
 
 
+def row_key(docs: DataFrame):
+    """A document's identity: its id and its text, as ids may repeat."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5("text"), F.lit(""))))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: five-word shingles, similarity 0.8 or more; the smallest id stays."""
-    found = written(jaccard.classes(docs, words=5, percent=80), "classes")
-    left = anti_by_id(docs, found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id")
-    repeated = written(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return left
-    return anti_by_id(left, repeated, "doc_id").unionByName(semi_by_id(left, repeated, "doc_id").dropDuplicates(["doc_id"]))
+    """One document of each class of near duplicates: five-word shingles, similarity 0.8 or more; the smallest id stays, of rows with one id and different texts the smallest digest. Rows that repeat an id and its text are one document, the smallest of them; texts without words are linked with nothing and stay."""
+    keyed = docs.withColumn("__key", row_key(docs))
+    ids = keyed.select(F.struct("doc_id", "__key").alias("row"), "text")
+    found = written(jaccard.classes(ids, words=5, percent=80, id_col="row").where("n_shingles > 0").select(F.col("doc_id.__key").alias("__key"), (F.col("doc_id") == F.col("component_id")).alias("first")), "classes")
+    left = anti_by_id(keyed, found.where("not first").select("__key").distinct(), "__key")
+    repeated = written(found.where("first").groupBy("__key").count().where("count > 1").select("__key"), "repeated")
+    if not repeated.isEmpty():
+        one = semi_by_id(left, repeated, "__key").groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*", "__key")
+        left = anti_by_id(left, repeated, "__key").unionByName(one)
+    return left.select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +56,12 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The clean domains keep their tokens, the toxic ones lose theirs: documents go whose fitted rate rounds to none and whose likelier membership is toxic."""
+    """The clean domains keep CLEAN_SHARE of their expected tokens, the toxic ones TOXIC_SHARE: documents go whose fitted rate, 1 at most, rounds to none."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    multiples = {d: float(d.endswith("clean")) for d in mixing.DOMAINS}
-    toxic = sum(F.col(d) for d in mixing.DOMAINS if d.endswith("toxic"))
-    rates = written(mixing.mix(docs, labels, multiples=multiples).select("doc_id", "rate", toxic.alias("toxic")), "rates")
-    return anti_by_id(docs, rates.where((F.col("rate") < LEAST_RATE) & (F.col("toxic") >= 0.5)).select("doc_id").distinct(), "doc_id")
+    multiples = {d: CLEAN_SHARE if d.endswith("clean") else TOXIC_SHARE for d in mixing.DOMAINS}
+    keyed = docs.withColumn("__key", row_key(docs))
+    rates = written(mixing.mix(keyed, labels, multiples=multiples, most=1.0, key="__key").select("key", "rate"), "rates")
+    return anti_by_id(keyed, rates.where(F.col("rate") < LEAST_RATE).select(F.col("key").alias("__key")).distinct(), "__key").select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
