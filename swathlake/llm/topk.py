@@ -2,7 +2,9 @@
 
 Vectors lie in vertical blocks (one row for each dimension). Scores accumulate over blocks of dimensions; after each,
 candidates whose partial score plus the remaining-mass bound |q rest| |c rest| can't reach the k-th best so far are
-dropped and the rest compacted. Query blocks meet every candidate block once; each meeting returns at most k rows a query.
+dropped and the rest compacted. Each query block first meets one block, and the k-th score found there is a bound that
+the query carries into all other blocks; these return only what reaches it.
+Scores beyond 64 bits count as the nearest 64-bit number, so those tie.
 """
 
 from __future__ import annotations
@@ -14,8 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CANDIDATES, QUERIES, DIMENSIONS, CHUNK = 4096, 512, 16, 2048
+from .shared import written
+
+CANDIDATES, QUERIES, DIMENSIONS, CHUNK = 8192, 512, 16, 2048
 EXACT = 2.0**52
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, transform=None) -> DataFrame:
@@ -25,9 +30,9 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, transform=None) ->
     return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(ok).select(F.col(id_col).cast("long").alias("id"), (F.transform(v, transform) if transform else v).alias("v"))
 
 
-def _blocks(rows: DataFrame, size: int, count: int, name: str) -> DataFrame:
-    """`count` blocks of about `size` rows, dealt in turn, so that neither copies nor clusters gather in one."""
-    return rows.groupBy(F.pmod(F.monotonically_increasing_id() + F.shiftright(F.monotonically_increasing_id(), 33) * 7, F.lit(count)).alias(name)).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+def _blocks(rows: DataFrame, count: int, name: str) -> DataFrame:
+    """rows with the number of its block, of `count`, by a hash of the id: the same whenever a task runs again, and neither copies nor clusters gather in one."""
+    return rows.withColumn(name, F.pmod(F.xxhash64("id", F.lit(7)), F.lit(count)).cast("int"))
 
 
 def _vertical(rows: pa.StructScalar | pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,8 +52,8 @@ def _rest(m: np.ndarray) -> np.ndarray:
     return np.sqrt(np.concatenate([np.cumsum(sums[::-1], axis=0)[::-1], np.zeros((1, m.shape[1]))]))
 
 
-def search_block(q_ids, q, c_ids, c, k: int, best: dict) -> None:
-    """Adds to best[query] = (scores, ids), k at most, what the candidates of one block have to offer."""
+def search_block(q_ids, q, bounds, c_ids, c, k: int, best: dict) -> None:
+    """Adds to best[query] = (scores, ids), k at most, what the candidates of one block have to offer at a query's bound or above."""
     if len(q) == 0 or q.shape[1] == 0 or c.shape[1] == 0:
         return
     exact = np.abs(q).max() * np.abs(c).max() * len(q) < EXACT
@@ -58,7 +63,7 @@ def search_block(q_ids, q, c_ids, c, k: int, best: dict) -> None:
         first = q[:DIMENSIONS].T @ part[:DIMENSIONS]
         for j, own in enumerate(q_ids):
             scores, names = best.get(own, (np.zeros(0), np.zeros(0, np.int64)))
-            least = scores.min() if len(scores) >= k else -np.inf
+            least = max(scores.min() if len(scores) >= k else -np.inf, bounds[j])
             acc, left = first[j], np.flatnonzero(ids != own)
             acc = acc[left]
             for b in range(1, len(q_rest)):
@@ -73,7 +78,9 @@ def search_block(q_ids, q, c_ids, c, k: int, best: dict) -> None:
                 acc = acc + q[d : d + DIMENSIONS, j] @ (part[d : d + DIMENSIONS] if len(left) == part.shape[1] else part[d : d + DIMENSIONS, left])
             if not exact:
                 whole = [int(x) for x in q[:, j]]
-                acc = np.array([sum(a * int(v) for a, v in zip(whole, part[:, i], strict=True)) for i in left], dtype=object)
+                acc = np.array([min(max(sum(a * int(v) for a, v in zip(whole, part[:, i], strict=True)), LEAST), MOST) for i in left], dtype=object)
+            if exact and np.isfinite(bounds[j]):
+                left, acc = left[acc >= bounds[j]], acc[acc >= bounds[j]]
             if len(left):
                 scores, names = np.concatenate([scores, acc]), np.concatenate([names, ids[left]])
                 if len(scores) > 4 * k and exact:
@@ -87,21 +94,23 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products of whole-numbered vectors, ties to the smaller id.
 
     queries, candidates: (id, v) as usable() gives. Rows with a query's id are not its candidates; repeated queries are
-    answered once, repeated candidates count each; shorter vectors are filled with 0; empty tables give no rows.
+    answered once, with the smallest of their vectors, repeated candidates count each; shorter vectors are filled with 0;
+    empty tables give no rows.
     """
-    queries = queries.dropDuplicates(["id"])
-    n_c, dims = candidates.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    n_q, q_dims = queries.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    dims, c_blocks = max(dims, q_dims, 1), max(1, -(-n_c // CANDIDATES))
-    c = _blocks(candidates, CANDIDATES, c_blocks, "c_block").withColumnRenamed("rows", "c_rows")
-    q = _blocks(queries, QUERIES, max(1, -(-n_q // QUERIES)), "q_block").withColumn("c_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))))
-    pairs = q.join(c, "c_block").select("q_block", F.col("rows").alias("q_rows"), "c_rows")
+    dims, n_c = candidates.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count("*")).first()
+    q_dims, n_q = queries.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count("*")).first()
+    dims, c_blocks, q_blocks = max(dims, q_dims, 1), max(1, -(-n_c // CANDIDATES)), max(1, -(-n_q // QUERIES))
+    c = _blocks(candidates, c_blocks, "c_block").groupBy("c_block").agg(F.collect_list(F.struct("id", "v")).alias("c_rows"))
+    q = _blocks(queries.groupBy("id").agg(F.min("v").alias("v")), q_blocks, "q_block")
+    row = F.collect_list(F.struct("id", "v", "bound")).alias("q_rows")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 best: dict = {}
-                search_block(*_vertical(batch.column("q_rows")[i].values, dims), *_vertical(batch.column("c_rows")[i].values, dims), k, best)
+                rows = batch.column("q_rows")[i].values
+                bounds = rows.field("bound").cast(pa.float64(), safe=False).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                search_block(*_vertical(rows, dims), bounds, *_vertical(batch.column("c_rows")[i].values, dims), k, best)
                 n = [len(s) for s, _ in best.values()]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -112,7 +121,14 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
                     ["query_id", "vec_id", "score"],
                 )
 
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
+    schema = "query_id long, vec_id long, score long"
+    first = q.withColumn("bound", F.lit(None).cast("long")).groupBy("q_block").agg(row).withColumn("c_block", F.pmod("q_block", F.lit(c_blocks)).cast("int"))
+    found = written(first.join(c, "c_block").select("q_rows", "c_rows").mapInArrow(search, schema), "first")
+    if c_blocks > 1:
+        bound = found.groupBy("query_id").agg(F.min("score").alias("bound"), F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), "bound")
+        rest = q.join(bound, "id", "left").groupBy("q_block").agg(row)
+        rest = rest.withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))).where(F.col("c_block") != F.pmod("q_block", F.lit(c_blocks)))
+        found = found.unionByName(rest.join(c, "c_block").select("q_rows", "c_rows").mapInArrow(search, schema))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -38,3 +38,15 @@ def test_odd_vectors(spark):
     assert rows(topk.top_k(e.where("id % 20 = 0"), e, 20)) == brute({i: v for i, v in ok if i % 20 == 0}, ok, 20)
     none = e.where("id < 0")
     assert topk.top_k(none, none, 20).count() == 0 and topk.top_k(e, none, 20).count() == 0 and topk.top_k(none, e, 20).count() == 0
+
+
+def test_scores_beyond_64_bits_tie_at_the_bound(spark):
+    vs = [(20, [1e12, 1.0])] + [(i, [1e17 * (1 + i % 2), float(i)]) for i in range(1, 9)] + [(9, [-1e17, 0.0])]
+    df = spark.createDataFrame(vs, "id long, v array<double>")
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df.where("id = 20"), df, 20).collect())
+    assert got == [(i, i, 2**63 - 1) for i in range(1, 9)] + [(9, 9, -(2**63))]
+
+
+def test_repeated_queries_take_the_smallest_vector(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [5.0, 3.0])], "id long, v array<double>")
+    assert rows(topk.top_k(df.where("id = 1"), df, 2)) == {(1, 1, 2, 3)}
