@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import series
 from .subset import REACCEPTED, REJECTED, set_where
 
 
@@ -91,11 +92,11 @@ def second_return(flag: Column, percent_depth: float = 90.0, nadir_min: str = "n
 def rolling_nadir(soundings: DataFrame, system: str = "system", time: str = "time", beam: str = "beam", depth: str = "z", pings: int = 10, day: float = 86_400.0) -> DataFrame:
     """Adds nadir_min: the least nadir depth of `pings` pings up to each; the first ones get the first full window's."""
     middle = soundings.groupBy(F.col(system)).agg((F.max(beam) + 1).alias("__n")).withColumn("__nadir", F.greatest(F.floor(F.col("__n") / 2 - 1), F.lit(0)))
-    n = soundings.join(F.broadcast(middle), system).where(F.col(beam) == F.col("__nadir")).groupBy(system, time).agg(F.min(depth).alias("d"))
-    w = Window.partitionBy(system).orderBy(time)
-    n = n.withColumns({"k": F.row_number().over(w), "m": F.min("d").over(w.rowsBetween(1 - pings, 0))})
-    n = n.withColumn("first", F.max(F.when(F.col("k") == pings, F.col("m"))).over(Window.partitionBy(system)))
-    n = n.select(system, time, F.when(F.col("k") < pings, F.col("first")).otherwise(F.col("m")).alias("nadir_min"))
+    n = soundings.join(middle, system).where(F.col(beam) == F.col("__nadir")).groupBy(system, time).agg(F.min(depth).alias("d"))
+    w = Window.partitionBy(system, "__block").orderBy("__k").rowsBetween(1 - pings, 0)
+    n = series.consecutive(n, pings - 1, 0, system, time).withColumn("m", F.min("d").over(w)).where("__own")
+    first = n.where(F.col("__k") == pings - 1).select(system, F.col("m").alias("first"))  # a row a system
+    n = n.join(first, system, "left").select(system, time, F.when(F.col("__k") < pings - 1, F.col("first")).otherwise(F.col("m")).alias("nadir_min"))
     return soundings.join(n, [system, time], "left")
 
 

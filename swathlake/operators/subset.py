@@ -52,8 +52,11 @@ def mark_pairs(soundings: DataFrame, pairs: DataFrame, keys: tuple[str, ...] = (
     return soundings.join(p, list(keys), "left").withColumn(name, F.col("__hit").isNotNull()).drop("__hit")
 
 
-def drop_rejected(soundings: DataFrame, flag: str = "detectioninfo", needs: str = "x") -> DataFrame:
-    return soundings.where(F.col(needs).isNotNull() & (F.col(flag) != REJECTED)).drop(flag)
+def drop_rejected(soundings: DataFrame, flag: str = "detectioninfo", needs: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """Accepted soundings with a value in the first of `needs` that there is; the flag goes."""
+    first = next((c for c in needs if c in soundings.columns), None)
+    x = soundings.where(F.col(flag) != REJECTED).drop(flag)
+    return x if first is None else x.where(F.col(first).isNotNull() & ~F.isnan(F.col(first).cast("double")))
 
 
 def variables(soundings: DataFrame, names: list[str], accepted_only: bool = False, flag: str = "detectioninfo") -> DataFrame:

@@ -14,19 +14,34 @@ from pyspark.sql import functions as F
 BUCKET = 86_400.0
 
 
-def neighbours(left: DataFrame, right: DataFrame, values: list[str], by: str = "system", time: str = "time", bucket: float = BUCKET) -> DataFrame:
-    """left with `before` and `after`: structs (time, values) of the right samples at or before, and at or after, its time. Right times should be unique in a system; of equal ones the greatest values count before, the smallest after."""
+def neighbours(left: DataFrame, right: DataFrame, values: list[str], by: str = "system", time: str = "time", bucket: float = BUCKET, ends: bool = False) -> DataFrame:
+    """With `ends` also the first two and the last two samples of the system: first, second, penultimate, last.
+
+    left with `before` and `after`: structs (time, values) of the right samples at or before, and at or after, its time. Right times should be unique in a system; of equal ones the greatest values count before, the smallest after."""
     sample = F.struct(F.col(time).alias("time"), *[F.col(v).alias(v) for v in values])
     r = right.where(F.col(time).isNotNull()).select(F.col(by).alias("__by"), F.col(time).alias("__time"), sample.alias("__sample"), F.floor(F.col(time) / bucket).alias("__bucket"))
     keep = F.struct(*[F.col(c) for c in left.columns])
     l = left.select(F.col(by).alias("__by"), F.col(time).alias("__time"), keep.alias("__row"), F.floor(F.col(time) / bucket).alias("__bucket"))  # noqa: E741
     edges = r.groupBy("__by", "__bucket").agg(F.min("__sample").alias("__first"), F.max("__sample").alias("__last"))
-    edges = edges.unionByName(l.select("__by", "__bucket").distinct().select("__by", "__bucket", F.lit(None).alias("__first"), F.lit(None).alias("__last")))
-    edges = edges.groupBy("__by", "__bucket").agg(F.max("__first").alias("__first"), F.max("__last").alias("__last"))
+    names = ["__first", "__last"]
+    if ends:  # the second smallest of a day is the least of those after another
+        day = Window.partitionBy("__by", "__bucket").orderBy("__sample")
+        second = r.select("__by", "__bucket", F.lead("__sample").over(day).alias("n"), F.lag("__sample").over(day).alias("p")).groupBy("__by", "__bucket").agg(F.min("n").alias("__second"), F.max("p").alias("__penultimate"))
+        edges, names = edges.join(second, ["__by", "__bucket"], "left"), [*names, "__second", "__penultimate"]
+    edges = edges.unionByName(l.select("__by", "__bucket").distinct(), allowMissingColumns=True)
+    edges = edges.groupBy("__by", "__bucket").agg(*[F.max(c).alias(c) for c in names])
     w = Window.partitionBy("__by").orderBy("__bucket")
+    extra = []
+    if ends:
+        whole = Window.partitionBy("__by")
+        edges = edges.withColumns({"first": F.min("__first").over(whole), "last": F.max("__last").over(whole)})
+        second, penultimate = F.when(F.col("__first") > F.col("first"), F.col("__first")).otherwise(F.col("__second")), F.when(F.col("__last") < F.col("last"), F.col("__last")).otherwise(F.col("__penultimate"))
+        edges = edges.withColumns({"second": F.min(second).over(whole), "penultimate": F.max(penultimate).over(whole)})
+        extra = ["first", "second", "penultimate", "last"]
     edges = edges.select(
         "__by",
         "__bucket",
+        *extra,
         F.last("__last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__prior"),
         F.first("__first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("__next"),
     )
@@ -35,7 +50,7 @@ def neighbours(left: DataFrame, right: DataFrame, values: list[str], by: str = "
     both = both.withColumn("before", F.max("__sample").over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("after", F.min("__sample").over(w.rangeBetween(0, Window.unboundedFollowing)))
     # max and min of the structs are the latest and the earliest, as time comes first
     out = both.where("__row is not null").join(edges, (both["__by"].eqNullSafe(edges["__by"])) & (both["__bucket"].eqNullSafe(edges["__bucket"])), "left")
-    return out.select("__row.*", F.coalesce("before", "__prior").alias("before"), F.coalesce("after", "__next").alias("after"))
+    return out.select("__row.*", F.coalesce("before", "__prior").alias("before"), F.coalesce("after", "__next").alias("after"), *extra)
 
 
 def asof(left: DataFrame, right: DataFrame, values: list[str], by: str = "system", time: str = "time", within: float | None = None, suffix: str = "_asof") -> DataFrame:
@@ -56,15 +71,19 @@ def nearest(left: DataFrame, right: DataFrame, values: list[str], by: str = "sys
 
 
 def interpolate(left: DataFrame, right: DataFrame, values: list[str], headings: tuple[str, ...] = (), by: str = "system", time: str = "time", suffix: str = "_at") -> DataFrame:
-    """Linear interpolation of the right series at each left time; beyond the ends the end value is held. Headings turn the short way and stay in [0, 360)."""
-    x = neighbours(left, right, values, by, time)
-    span = F.col("after.time") - F.col("before.time")
-    share = F.when(span > 0, (F.col(time) - F.col("before.time")) / span).otherwise(0.0)
+    """Linear interpolation of the right series at each left time; beyond the ends the line through the two samples there goes on, and a single sample is held. Headings turn the short way and stay in [0, 360)."""
+    x = neighbours(left, right, values, by, time, ends=True)
+    early, late = F.col("before").isNull() & F.col("second").isNotNull(), F.col("after").isNull() & F.col("penultimate").isNotNull()
+    a = F.when(early, F.col("first")).when(late, F.col("penultimate")).otherwise(F.coalesce("before", "after"))
+    b = F.when(early, F.col("second")).when(late, F.col("last")).otherwise(F.coalesce("after", "before"))
+    x = x.select(*left.columns, a.alias("__a"), b.alias("__b"))
+    span = F.col("__b.time") - F.col("__a.time")
+    share = F.when(span > 0, (F.col(time) - F.col("__a.time")) / span).otherwise(0.0)
 
     def at(v: str) -> Column:
-        a, b = F.col(f"before.{v}"), F.col(f"after.{v}")
-        step = F.pmod(b - a + 180.0, F.lit(360.0)) - 180.0 if v in headings else b - a
-        y = F.when(F.col("before").isNull(), b).when(F.col("after").isNull(), a).otherwise(a + step * share)
+        p, q = F.col(f"__a.{v}"), F.col(f"__b.{v}")
+        step = F.pmod(q - p + 180.0, F.lit(360.0)) - 180.0 if v in headings else q - p
+        y = p + step * share
         return (F.pmod(y, F.lit(360.0)) if v in headings else y).alias(v + suffix)
 
     return x.select(*left.columns, *map(at, values))

@@ -45,10 +45,10 @@ def carried_parameters(spark, sf_dir):
 
 
 def close_in_time(spark, sf_dir):
-    """Pairs of files whose starts and ends are within two seconds."""
-    o = S.table(spark, sf_dir, "orders")
-    f = lambda c: o.where(c).select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") * 1.5).alias("start"), (F.col("o_custkey") * 1.5 + F.col("o_orderkey") % 7).alias("end"))
-    return params.close_in_time(f("o_orderkey % 11 = 0"), f("o_orderkey % 13 = 0"))
+    """Pairs of files, orders and customers, whose starts and ends are within two seconds."""
+    o, c = S.table(spark, sf_dir, "orders"), S.table(spark, sf_dir, "customer")
+    a = o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") * 1.5).alias("start"), (F.col("o_custkey") * 1.5 + F.col("o_orderkey") % 7).alias("end"))
+    return params.close_in_time(a, c.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * 1.5).alias("start"), (F.col("c_custkey") * 1.5 + F.col("c_nationkey") % 7).alias("end")))
 
 
 def matches_by_vote(spark, sf_dir):
@@ -60,10 +60,10 @@ def matches_by_vote(spark, sf_dir):
 
 def surface_lines(spark, sf_dir):
     """Lines that are new, stale, current or removed in a surface."""
-    o = S.table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 9).alias("container"), (F.col("o_orderkey") % 700).alias("line"), F.col("o_orderkey").alias("k"))
-    d = o.where("line % 3 < 2").groupBy("container", "line").agg(F.max("k").alias("processed"))
-    s = o.where("line % 5 < 3").groupBy("container", "line").agg((F.max("k") - F.max("line") % 2 + (F.max("line") % 4)).alias("added"))
-    return control.stale_lines(d, s.withColumn("added", F.col("added") - 1))
+    o, l = S.table(spark, sf_dir, "orders"), S.table(spark, sf_dir, "lineitem")  # noqa: E741
+    d = o.groupBy((F.col("o_orderkey") % 9).alias("container"), (F.col("o_custkey") % 700).alias("line")).agg(F.max("o_orderkey").alias("processed"))
+    s = l.groupBy((F.col("l_suppkey") % 11).alias("container"), (F.col("l_partkey") % 900).alias("line")).agg(F.max("l_orderkey").alias("added"))
+    return control.stale_lines(d, s)
 
 
 def next_action(spark, sf_dir):
@@ -74,15 +74,15 @@ def next_action(spark, sf_dir):
 
 def opposite_lines(spark, sf_dir):
     """Pairs of lines run in opposite directions, with the distance of their nearest ends."""
-    c = S.table(spark, sf_dir, "customer").where("c_custkey < 400")
+    c = S.table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     lines = c.select(k.alias("line"), (k * 37 % 360).cast("double").alias("azimuth"), *[((k * a % 100) / 10.0 - b).cast("double").alias(n) for n, a, b in (("start_lat", 7, 5), ("start_lon", 11, 3), ("end_lat", 13, 4), ("end_lon", 17, 6))])
     return params.patch_pairs(lines, 15.0).select("a", "b", F.bround("km", 6).alias("km"))
 
 
 def exported_text(spark, sf_dir):
-    """Text lines of the accepted soundings of some pings."""
-    s = S.soundings(spark, sf_dir).where("ping < 500")
+    """Text lines of the accepted soundings."""
+    s = S.soundings(spark, sf_dir)
     return exports.xyz_text(exports.export_rows(s, z_down=False), ",", "xyzv").select("value")
 
 
@@ -112,8 +112,9 @@ QUERIES = {
     f.__name__: f
     for f in (compared_parameters, earliest_parameters, parameters_in_window, carried_parameters, close_in_time, matches_by_vote, surface_lines, next_action, opposite_lines, exported_text, las_classes, track_lengths, event_windows, event_sessions)
 }
-_O = "SELECT o_orderkey AS id, o_custkey * 1.5 AS s, o_custkey * 1.5 + o_orderkey % 7 AS e FROM orders WHERE o_orderkey"
-_LINE = "(SELECT c_custkey AS line, CAST(c_custkey * 37 % 360 AS DOUBLE) AS az, c_custkey * 7 % 100 / 10.0 - 5 AS y1, c_custkey * 11 % 100 / 10.0 - 3 AS x1, c_custkey * 13 % 100 / 10.0 - 4 AS y2, c_custkey * 17 % 100 / 10.0 - 6 AS x2 FROM customer WHERE c_custkey < 400)"
+_O = "SELECT o_orderkey AS id, o_custkey * 1.5 AS s, o_custkey * 1.5 + o_orderkey % 7 AS e FROM orders"
+_C = "SELECT c_custkey AS id, c_custkey * 1.5 AS s, c_custkey * 1.5 + c_nationkey % 7 AS e FROM customer"
+_LINE = "(SELECT c_custkey AS line, CAST(c_custkey * 37 % 360 AS DOUBLE) AS az, c_custkey * 7 % 100 / 10.0 - 5 AS y1, c_custkey * 11 % 100 / 10.0 - 3 AS x1, c_custkey * 13 % 100 / 10.0 - 4 AS y2, c_custkey * 17 % 100 / 10.0 - 6 AS x2 FROM customer)"
 _KM = lambda p, q: f"2 * 6371.0 * asin(sqrt(pow(sin((radians(b.y{q}) - radians(a.y{p})) / 2), 2) + cos(radians(a.y{p})) * cos(radians(b.y{q})) * pow(sin((radians(b.x{q}) - radians(a.x{p})) / 2), 2)))"
 _W = "OVER (PARTITION BY user_id ORDER BY ts)"
 ORACLES = {
@@ -123,14 +124,14 @@ ORACLES = {
     "carried_parameters": f"""WITH o AS (SELECT * FROM {PARAMS} WHERE ts < 300), n AS (SELECT * FROM {PARAMS} WHERE ts >= 300 AND param IN ('tx_x', 'waterline'))
         SELECT system, ts, param, value FROM n UNION ALL SELECT t.system, t.ts, o.param, max_by(o.value, o.ts) FROM (SELECT DISTINCT system, ts FROM n) t JOIN o ON o.system = t.system AND o.ts <= t.ts
         WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.system = t.system AND n.ts = t.ts AND n.param = o.param) GROUP BY 1, 2, 3""",
-    "close_in_time": f"SELECT a.id AS a_id, b.id AS b_id FROM ({_O} % 11 = 0) a, ({_O} % 13 = 0) b WHERE abs(a.s - b.s) <= 2 AND abs(a.e - b.e) < 2",
+    "close_in_time": f"SELECT a.id AS a_id, b.id AS b_id FROM ({_O}) a JOIN ({_C}) b ON b.s BETWEEN a.s - 2 AND a.s + 2 WHERE abs(a.e - b.e) < 2",
     "matches_by_vote": 'SELECT id, "match" FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, "match") AS k FROM (SELECT id, "match", count(*) AS c FROM (SELECT o_orderkey % 500 AS id, o_custkey % 7 AS "match" FROM orders UNION ALL SELECT o_orderkey % 500, o_custkey % 9 FROM orders) GROUP BY 1, 2)) WHERE k = 1',
-    "surface_lines": """WITH o AS (SELECT o_orderkey % 9 AS container, o_orderkey % 700 AS line, o_orderkey AS k FROM orders), d AS (SELECT container, line, max(k) AS processed FROM o WHERE line % 3 < 2 GROUP BY 1, 2),
-        s AS (SELECT container, line, max(k) - line % 2 + line % 4 - 1 AS added FROM o WHERE line % 5 < 3 GROUP BY 1, 2)
+    "surface_lines": """WITH d AS (SELECT o_orderkey % 9 AS container, o_custkey % 700 AS line, max(o_orderkey) AS processed FROM orders GROUP BY 1, 2),
+        s AS (SELECT l_suppkey % 11 AS container, l_partkey % 900 AS line, max(l_orderkey) AS added FROM lineitem GROUP BY 1, 2)
         SELECT container, line, CASE WHEN added IS NULL THEN 'new' WHEN processed IS NULL THEN 'removed' WHEN processed > added THEN 'stale' ELSE 'current' END AS state FROM d FULL JOIN s USING (container, line)""",
     "next_action": "SELECT o_orderkey AS id, o_custkey % 5 AS priority FROM orders ORDER BY o_custkey % 5, o_orderdate, o_orderkey LIMIT 1",
     "opposite_lines": f"SELECT a.line AS a, b.line AS b, round_even(least({_KM(1, 1)}, {_KM(1, 2)}, {_KM(2, 1)}, {_KM(2, 2)}), 6) AS km FROM {_LINE} a JOIN {_LINE} b ON a.line < b.line AND abs(((a.az - b.az) % 360 + 360) % 360 - 180) <= 15",
-    "exported_text": "SELECT format('{:.3f},{:.3f},{:.3f},{:.3f}', l_extendedprice, CAST(l_orderkey AS DOUBLE), -l_quantity, l_discount) AS value FROM lineitem WHERE l_orderkey < 500 AND l_returnflag <> 'R'",
+    "exported_text": "SELECT format('{:.3f},{:.3f},{:.3f},{:.3f}', l_extendedprice, CAST(l_orderkey AS DOUBLE), -l_quantity, l_discount) AS value FROM lineitem WHERE l_returnflag <> 'R'",
     "las_classes": "SELECT CASE l_returnflag WHEN 'R' THEN 7 ELSE 1 END AS class, count(*) AS n FROM lineitem GROUP BY 1",
     "track_lengths": f"SELECT line, count(*) AS points, 14 + CAST(sum(length(format('{{:.6f}} {{:.6f}}', CAST(lon AS DOUBLE), CAST(lat AS DOUBLE)))) AS BIGINT) - 1 + 2 * (count(*) - 1) AS letters FROM {S.POSITIONS_SQL} GROUP BY 1",
     "event_windows": "SELECT CAST(floor(epoch_us(ts) / 1e6 / 86400) * 86400 AS BIGINT) AS start, event_type, count(*) AS n, round_even(sum(value), 4) AS total FROM events GROUP BY 1, 2",

@@ -11,11 +11,11 @@ from . import stand_ins as S
 
 #: lineitem as beams: angles, times and offsets from its numbers.
 SQL = """(SELECT l_orderkey AS ping, l_linenumber AS beam, l_suppkey AS k, CAST((l_partkey % 120) - 60 AS DOUBLE) AS bpa, 0.5 + l_discount AS tilt, l_quantity / 100.0 AS twtt, 1480.0 + l_tax * 100 AS ssv,
-   l_quantity AS d, (l_extendedprice - 50000.0) / 1000.0 AS ac, (l_partkey % 50) / 10.0 AS al, (l_partkey * 7 % 360) * 1.0 AS heading, l_discount AS heave, (l_suppkey % 40) + 0.5 AS altitude, l_tax * 10 AS qf FROM lineitem WHERE l_orderkey % 4 = 0)"""
+   l_quantity AS d, (l_extendedprice - 50000.0) / 1000.0 AS ac, (l_partkey % 50) / 10.0 AS al, (l_partkey * 7 % 360) * 1.0 AS heading, l_discount AS heave, (l_suppkey % 40) + 0.5 AS altitude, l_tax * 10 AS qf FROM lineitem)"""
 
 
 def _beams(spark, sf_dir):
-    t = S.table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0")
+    t = S.table(spark, sf_dir, "lineitem")
     p = F.col("l_partkey")
     return t.select(
         F.col("l_orderkey").alias("ping"), F.col("l_linenumber").alias("beam"), F.col("l_suppkey").alias("k"), ((p % 120) - 60).cast("double").alias("beampointingangle"), (F.col("l_discount") + 0.5).alias("tiltangle"),

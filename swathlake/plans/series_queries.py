@@ -21,7 +21,10 @@ Q = f"(SELECT system, time, value FROM {E} WHERE mode IN ('view', 'error'))"
 #: Both neighbours of each left row.
 BOTH = f"""(SELECT l.*, b.time AS bt, b.value AS bv, a.time AS nt, a.value AS av FROM {L} l
             ASOF LEFT JOIN {Q} b ON l.system = b.system AND l.time >= b.time ASOF LEFT JOIN {Q} a ON l.system = a.system AND l.time <= a.time)"""
-LERP = "CASE WHEN bt IS NULL THEN av WHEN nt IS NULL THEN bv WHEN nt = bt THEN bv ELSE bv + (av - bv) * ((time - bt) / (nt - bt)) END"
+#: The same with the first two and the last two samples of the system (the last one first).
+ENDS = f"(SELECT b.*, lt, lv, ht, hv FROM {BOTH} b LEFT JOIN (SELECT system, min(time, 2) AS lt, arg_min(value, time, 2) AS lv, max(time, 2) AS ht, arg_max(value, time, 2) AS hv FROM {Q} GROUP BY 1) e ON e.system = b.system)"
+LERP = """CASE WHEN bt IS NULL AND lt[2] IS NOT NULL THEN lv[1] + (lv[2] - lv[1]) * ((time - lt[1]) / (lt[2] - lt[1])) WHEN nt IS NULL AND ht[2] IS NOT NULL THEN hv[2] + (hv[1] - hv[2]) * ((time - ht[2]) / (ht[1] - ht[2]))
+    WHEN bt IS NULL THEN av WHEN nt IS NULL THEN bv WHEN nt = bt THEN bv ELSE bv + (av - bv) * ((time - bt) / (nt - bt)) END"""
 
 
 def asof_join(spark, sf_dir):
@@ -82,7 +85,7 @@ def lines_of_times(spark, sf_dir):
 
 
 def cast_nearest_in_time(spark, sf_dir):
-    """The cast nearest in time to each chunk's mean; casts are some suppliers' dates."""
+    """The cast nearest in time to each chunk's mean; casts are made of the customers."""
     return _cast(spark, sf_dir, "nearest_in_time")
 
 
@@ -94,22 +97,28 @@ def cast_nearest_in_distance_four_hours(spark, sf_dir):
     return _cast(spark, sf_dir, "nearest_in_distance_fourhours")
 
 
+def cast_nearest_in_time_four_hours(spark, sf_dir):
+    return _cast(spark, sf_dir, "nearest_in_time_fourhours")
+
+
 def _cast(spark, sf_dir, method):
     c = R.chunks(S.positions(spark, sf_dir).select("line", F.col("time") + F.col("ping") * 1e-6, "lat", "lon").toDF("system", "time", "lat", "lon"), 50)
     m = c.groupBy("system", "chunk").agg(F.avg("time").alias("time"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
     m = m.withColumns({k: F.bround(k, 3) for k in ("time", "lat", "lon")})
-    casts = S.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("cast_id"), (F.lit(826_000_000.0) + F.col("n_nationkey") * 9000).alias("cast_time"), (F.col("n_nationkey") * 5 - 60.0).alias("lat"), (F.col("n_nationkey") * 11 - 130.0).alias("lon"))
+    k = F.col("c_custkey")
+    casts = S.table(spark, sf_dir, "customer").select(k.alias("cast_id"), (F.lit(700_000_000.0) + k % 1500 * 140_000).alias("cast_time"), (k * 7 % 170 - 85).cast("double").alias("lat"), (k * 13 % 350 - 175).cast("double").alias("lon"))
     return R.nearest_cast(m, casts, method).select("system", "chunk", "cast_id")
 
 
 CHUNKS = f"""(SELECT system, chunk, round_even(avg(time), 3) AS time, round_even(avg(lat), 3) AS lat, round_even(avg(lon), 3) AS lon FROM
   (SELECT line AS system, time, lat, lon, CAST(floor((row_number() OVER (PARTITION BY line ORDER BY time) - 1) / 50) AS BIGINT) AS chunk FROM (SELECT line, time + ping * 1e-6 AS time, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon FROM {S.POSITIONS_SQL})) GROUP BY 1, 2)"""
-CASTS = "(SELECT n_nationkey AS cast_id, 826000000.0 + n_nationkey * 9000 AS cast_time, n_nationkey * 5 - 60.0 AS clat, n_nationkey * 11 - 130.0 AS clon FROM nation)"
+CASTS = "(SELECT c_custkey AS cast_id, 700000000.0 + c_custkey % 1500 * 140000 AS cast_time, CAST(c_custkey * 7 % 170 - 85 AS DOUBLE) AS clat, CAST(c_custkey * 13 % 350 - 175 AS DOUBLE) AS clon FROM customer)"
 KM = "2 * 6371.0 * asin(sqrt(pow(sin((radians(clat) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(clat)) * pow(sin((radians(clon) - radians(lon)) / 2), 2)))"
 
 
 def _cast_sql(by: str, where: str = "TRUE") -> str:
-    return f"SELECT system, chunk, cast_id FROM (SELECT *, row_number() OVER (PARTITION BY system, chunk ORDER BY {by}, cast_id) AS k FROM {CHUNKS} m, {CASTS} c WHERE {where}) WHERE k = 1"
+    near = f"SELECT * FROM (SELECT system, chunk, cast_id, row_number() OVER (PARTITION BY system, chunk ORDER BY {by}, cast_id) AS k FROM {CHUNKS} m, {CASTS} c WHERE {where}) WHERE k = 1"
+    return f"SELECT m.system, m.chunk, x.cast_id FROM {CHUNKS} m LEFT JOIN ({near}) x ON x.system = m.system AND x.chunk = m.chunk"
 
 
 def time_steps(spark, sf_dir):
@@ -209,7 +218,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         asof_join, asof_within, nearest_join, nearest_within, interpolated_join, interpolated_heading, beam_interpolation, parameter_versions, lines_of_times, cast_nearest_in_time, cast_nearest_in_distance,
-        cast_nearest_in_distance_four_hours, time_steps, sessions, gaps, new_gaps, counter_resets, filled, unwrapped, chunked, first_per_time, nudged, every_seventh, rates, high_passed, smoothed, regressions, swath_periods, periods,
+        cast_nearest_in_distance_four_hours, cast_nearest_in_time_four_hours, time_steps, sessions, gaps, new_gaps, counter_resets, filled, unwrapped, chunked, first_per_time, nudged, every_seventh, rates, high_passed, smoothed, regressions, swath_periods, periods,
     )
 }
 _TAPS = R.high_pass(20.0, 1.0, 31)
@@ -219,10 +228,12 @@ ORACLES = {
     "asof_within": f"SELECT counter, CASE WHEN time - bt <= 21600 THEN bv END AS value_asof FROM {BOTH}",
     "nearest_join": f"SELECT counter, CASE WHEN nt IS NULL OR time - bt <= nt - time THEN bv ELSE av END AS value_near FROM {BOTH}",
     "nearest_within": f"SELECT counter, CASE WHEN nt IS NULL OR time - bt <= nt - time THEN CASE WHEN time - bt <= 7200 THEN bv END WHEN nt - time <= 7200 THEN av END AS value_near FROM {BOTH}",
-    "interpolated_join": f"SELECT counter, round_even({LERP}, 6) AS value_at FROM {BOTH}",
-    "interpolated_heading": f"""SELECT counter, round_even(CASE WHEN y < 0 THEN y + 360 ELSE y END, 5) AS value_at FROM (SELECT counter, (CASE WHEN bt IS NULL THEN a WHEN nt IS NULL THEN b WHEN nt = bt THEN b
-        ELSE b + ((((a - b + 180) % 360) + 360) % 360 - 180) * ((time - bt) / (nt - bt)) END) % 360 AS y FROM (SELECT *, (bv * 7) % 360 AS b, (av * 7) % 360 AS a FROM {BOTH}))""",
-    "beam_interpolation": f"SELECT counter, CAST(beam AS INTEGER) AS beam, round_even({LERP}, 6) AS value_at FROM {BOTH.replace(L, f'(SELECT system, time + beam * 1800.0 AS time, counter, beam FROM {L}, range(4) t(beam))')}",
+    "interpolated_join": f"SELECT counter, round_even({LERP}, 6) AS value_at FROM {ENDS}",
+    "interpolated_heading": f"""SELECT counter, round_even(CASE WHEN y < 0 THEN y + 360 ELSE y END, 5) AS value_at FROM (SELECT counter, (CASE WHEN q IS NULL OR q = p THEN a ELSE a + ((((b - a + 180) % 360) + 360) % 360 - 180) * ((time - p) / (q - p)) END) % 360 AS y
+        FROM (SELECT counter, time, CASE WHEN early THEN lt[1] WHEN late THEN ht[2] ELSE coalesce(bt, nt) END AS p, CASE WHEN early THEN lt[2] WHEN late THEN ht[1] ELSE coalesce(nt, bt) END AS q,
+              (CASE WHEN early THEN lv[1] WHEN late THEN hv[2] ELSE coalesce(bv, av) END * 7) % 360 AS a, (CASE WHEN early THEN lv[2] WHEN late THEN hv[1] ELSE coalesce(av, bv) END * 7) % 360 AS b
+              FROM (SELECT *, bt IS NULL AND lt[2] IS NOT NULL AS early, nt IS NULL AND ht[2] IS NOT NULL AS late FROM {ENDS})))""",
+    "beam_interpolation": f"SELECT counter, CAST(beam AS INTEGER) AS beam, round_even({LERP}, 6) AS value_at FROM {ENDS.replace(L, f'(SELECT system, time + beam * 1800.0 AS time, counter, beam FROM {L}, range(4) t(beam))')}",
     "parameter_versions": f"""SELECT counter, CASE WHEN until IS NULL OR time <= until THEN version END AS version FROM {L} l ASOF LEFT JOIN
         (SELECT system, CASE WHEN row_number() {W} = 1 THEN time - 3 ELSE time END AS since, lead(time) {W} - 0.001 AS until, counter AS version FROM {E} WHERE mode = 'purchase') v ON l.system = v.system AND l.time >= v.since""",
     "lines_of_times": f"""SELECT counter, CASE WHEN b.line IS NULL THEN a.line WHEN l.time <= b.until OR l.time > m.until THEN b.line END AS line FROM {E} l
@@ -232,6 +243,7 @@ ORACLES = {
     "cast_nearest_in_time": _cast_sql("abs(time - cast_time)"),
     "cast_nearest_in_distance": _cast_sql(KM),
     "cast_nearest_in_distance_four_hours": _cast_sql(KM, "abs(time - cast_time) <= 14400"),
+    "cast_nearest_in_time_four_hours": _cast_sql("abs(time - cast_time)", "abs(time - cast_time) <= 14400"),
     "time_steps": f"SELECT counter, round_even(dt, 5) AS dt FROM (SELECT counter, time - lag(time) {W} AS dt FROM {E}) WHERE dt > 0 AND dt < 3600",
     "sessions": f"SELECT system, CAST(segment AS BIGINT) AS segment, count(*) AS n, min(time) AS start, max(time) AS \"end\" FROM (SELECT system, time, sum(CASE WHEN g > 21600 THEN 1 ELSE 0 END) {W} AS segment FROM (SELECT system, time, time - lag(time) {W} AS g FROM {E})) GROUP BY 1, 2",
     "gaps": f"SELECT * FROM (SELECT system, lag(time) {W} AS start, time AS \"end\" FROM {E}) WHERE \"end\" - start > 86400",
@@ -253,7 +265,12 @@ ORACLES = {
     "every_seventh": f"SELECT counter, value FROM (SELECT counter, value, row_number() {W} AS k FROM {E}) WHERE (k - 1) % 7 = 0",
     "rates": f"SELECT counter, round_even((lead(value) {W} - value) / (lead(time) {W} - time), 9) AS rate FROM {E}",
     "high_passed": f"SELECT counter, round_even({' + '.join(f'coalesce(lag(value, {k}) {W}, 0) * ({c!r})' for k, c in enumerate(_TAPS))}, 6) AS filtered FROM {E}",
-    "smoothed": f"SELECT counter, round_even(({' + '.join(f'coalesce(lag(value, {4 - k}) {W}, 0) * {c!r}' for k, c in enumerate(_HAMMING))}) / ({' + '.join(f'CASE WHEN lag(value, {4 - k}) {W} IS NULL THEN 0 ELSE {c!r} END' for k, c in enumerate(_HAMMING))}), 6) AS smooth FROM {E}",
+    "smoothed": f"""WITH n AS (SELECT system, counter, value, row_number() {W} - 1 AS k, count(*) OVER (PARTITION BY system) AS n FROM {E}),
+        x AS (SELECT system, counter, value, k, n, true AS own FROM n UNION ALL SELECT system, counter, value, -k, n, false FROM n WHERE k BETWEEN 1 AND 5 UNION ALL SELECT system, counter, value, 2 * (n - 1) - k, n, false FROM n WHERE k < n - 1 AND k >= n - 4)
+        SELECT counter, round_even(CASE WHEN n >= 9 THEN s END, 6) AS smooth FROM (SELECT *, {' + '.join(f'coalesce(lag(value, {5 - i}) OVER (PARTITION BY system ORDER BY k), 0) * {c / sum(_HAMMING)!r}' for i, c in enumerate(_HAMMING))} AS s FROM x) WHERE own""",
+    "swath_periods": f"""WITH d AS (SELECT system, time, counter, time - lag(time) {W} AS dt FROM {E}), x AS (SELECT *, row_number() {W} - 1 AS k, lead(dt) {W} AS nx FROM d WHERE dt > 0 AND dt < 1e9),
+        a AS (SELECT system, max(dt) FILTER (WHERE k = 1) AS d0, max(dt) FILTER (WHERE k = 2) AS d1, max(dt) FILTER (WHERE k = 3) AS d2, max(dt) FILTER (WHERE k = 4) AS d3 FROM x GROUP BY 1)
+        SELECT counter, round_even(CASE WHEN coalesce((d0 > d1 AND d2 > d1 AND d2 > d3) OR (d0 < d1 AND d2 < d1 AND d2 < d3), false) AND nx IS NOT NULL THEN (dt + nx) / 2 ELSE dt END, 5) AS period FROM x JOIN a USING (system)""",
     "regressions": f"""SELECT system, n, round_even(b, 6) AS slope, round_even(a, 6) AS intercept, round_even(e, 6) AS std_error, round_even(abs(e / m) * 100, 6) AS percent_deviation FROM
         (SELECT system, count(*) AS n, regr_slope(value, t) AS b, regr_intercept(value, t) AS a, avg(value) AS m, sqrt(greatest(regr_syy(value, t) - pow(regr_sxy(value, t), 2) / regr_sxx(value, t), 0) / (count(*) - 1)) AS e FROM (SELECT system, value, (time - 1.704e9) / 86400 AS t FROM {E}) GROUP BY 1)""",
 }

@@ -106,8 +106,8 @@ def distinct_modes(spark, sf_dir):
 
 
 def sounding_counts(spark, sf_dir):
-    """Pings and soundings of a window."""
-    s = S.soundings(spark, sf_dir).where("ping between 100 and 9000")
+    """Pings and soundings."""
+    s = S.soundings(spark, sf_dir)
     return s.agg(F.countDistinct("ping").alias("pings"), F.count("frequency").alias("soundings"))
 
 
@@ -310,7 +310,7 @@ ORACLES = {
     "processing_dashboard": f"SELECT system, status, count(p) AS soundings FROM (SELECT DISTINCT ping % 8 AS system FROM {SQL}) CROSS JOIN (SELECT CAST(range AS INTEGER) AS status FROM range(6)) LEFT JOIN (SELECT ping % 8 AS s, beam % 4 AS p FROM {SQL}) ON s = system AND p = status GROUP BY 1, 2",
     "rounded_frequencies": f"SELECT DISTINCT CAST(round_even(f / pow(10, d - 1), 0) * pow(10, d - 1) AS BIGINT) AS frequency FROM (SELECT f, length(CAST(f AS VARCHAR)) AS d, max(length(CAST(f AS VARCHAR))) OVER () AS m FROM (SELECT DISTINCT frequency * 37 AS f FROM {SQL})) WHERE d = m",
     "distinct_modes": f"SELECT mode, count(*) AS n FROM {E} GROUP BY 1",
-    "sounding_counts": f"SELECT count(DISTINCT ping) AS pings, count(frequency) AS soundings FROM {SQL} WHERE ping BETWEEN 100 AND 9000",
+    "sounding_counts": f"SELECT count(DISTINCT ping) AS pings, count(frequency) AS soundings FROM {SQL}",
     "mean_beam": f"SELECT system, time, round_even(avg(z), 9) AS z FROM {SWATH} GROUP BY 1, 2",
     "nadir_beam": f"SELECT s.system, time, z FROM {SWATH} s JOIN (SELECT system, greatest(floor((max(beam) + 1) / 2 - 1), 0) AS b FROM {SWATH} GROUP BY 1) n ON n.system = s.system AND b = beam",
     "port_beam": f"SELECT system, time, z FROM {SWATH} WHERE beam = 0",

@@ -44,9 +44,10 @@ def las_files(soundings: DataFrame) -> DataFrame:
         import numpy as np
         from pyspark import TaskContext
 
-        t = pa.Table.from_batches(list(batches)) if batches else None
-        if t is None or not t.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        t = pa.Table.from_batches(held)
         x, y, z, k = (t.column(c).to_numpy() for c in ("x", "y", "z", "class"))
         low = [float(v.min()) for v in (x, y, z)]
         rec = np.zeros(len(x), np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("i", "<u2"), ("r", "u1"), ("f", "u1"), ("c", "u1"), ("u", "u1"), ("a", "<i2"), ("s", "<u2"), ("t", "<f8")]))
