@@ -60,3 +60,36 @@ def from_1980(t: Column) -> Column:
 
 def gps_week_seconds(utc: Column) -> Column:
     return F.pmod(utc - float(GPS_EPOCH), F.lit(604800.0))
+
+
+def month_and_day(year: Column, day: Column) -> Column:
+    """(month, day) of a day of the year."""
+    d = day_start(year, day)
+    return F.struct(F.month(d).alias("month"), F.dayofmonth(d).alias("day"))
+
+
+def day_of_year(year: Column, month: Column, day: Column) -> Column:
+    return F.dayofyear(F.make_date(year, month, day))
+
+
+def year_day_difference(y1: Column, d1: Column, s1: Column, y2: Column, d2: Column, s2: Column) -> Column:
+    """Seconds of the first year, day and seconds less those of the second."""
+    return seconds_of_date(day_start(y1, d1)) - seconds_of_date(day_start(y2, d2)) + s1 - s2
+
+
+def year_day_plus(year: Column, day: Column, seconds: Column, more: Column) -> Column:
+    """(year, day, seconds) some seconds later."""
+    t = seconds_of_date(day_start(year, day)) + seconds + more
+    d = F.date_from_unix_date(F.floor(t / 86400).cast("int"))
+    return F.struct(F.year(d).alias("year"), F.dayofyear(d).alias("day"), (t - seconds_of_date(d)).alias("seconds"))
+
+
+def to_1980(utc: Column) -> Column:
+    """Seconds since 1980, with leap seconds counted, of UTC seconds."""
+    return utc - float(EPOCH_1980) + leap_seconds(utc)
+
+
+def elapsed_text(seconds: Column) -> Column:
+    """A duration as hours, minutes and seconds."""
+    s = F.floor(seconds).cast("long")
+    return F.format_string("%d hours, %d minutes, %d seconds", F.floor(s / 3600), F.pmod(F.floor(s / 60), F.lit(60)), F.pmod(s, F.lit(60)))

@@ -57,15 +57,29 @@ def variable_surface(points: DataFrame, tile_size: float = 1024.0) -> DataFrame:
     return x.groupBy("tile_x", "tile_y", "resolution", at("x").alias("cell_x"), at("y").alias("cell_y")).agg(F.count("*").alias("density"), F.avg("z").alias("depth"), F.min("z").alias("shoalest"))
 
 
+def full_surface(points: DataFrame, resolution: float) -> DataFrame:
+    """surface() with the layers vertical_uncertainty and horizontal_uncertainty (means of tvu and thu), variance and median of the depths."""
+    extra = {"vertical_uncertainty": F.avg("tvu"), "horizontal_uncertainty": F.avg("thu"), "variance": F.var_pop("z"), "median": F.median("z")}
+    return surface(points, resolution, extra=extra)
+
+
+def values_at(points: DataFrame, cells: DataFrame, resolution: float, layer: str = "depth") -> DataFrame:
+    """points with a layer's value in their cell; null where the surface has none."""
+    c = cells.select("cell_x", "cell_y", layer)
+    return points.withColumns({"cell_x": cell("x", resolution), "cell_y": cell("y", resolution)}).join(c, ["cell_x", "cell_y"], "left").drop("cell_x", "cell_y")
+
+
 def add_points(grid_points: DataFrame, points: DataFrame, container: str) -> DataFrame:
     return grid_points.unionByName(points.withColumn("container", F.lit(container)), allowMissingColumns=True)
 
 
-def remove_points(grid_points: DataFrame, containers: list[str]) -> DataFrame:
-    """Points without those of containers whose name holds one of the given ones."""
+def remove_points(grid_points: DataFrame, containers: list[str], line: str | None = None) -> DataFrame:
+    """Points without those of containers whose name holds one of the given ones; with `line` only that line's."""
     gone = F.lit(False)
     for c in containers:
         gone = gone | F.col("container").contains(c)
+    if line is not None:
+        gone = gone & F.col("line").eqNullSafe(line)
     return grid_points.where(~gone)
 
 

@@ -75,7 +75,7 @@ def beam_vectors(soundings: DataFrame, tx_reversed: bool = False, rx_reversed: b
     x = x.withColumns({f"__g{k}": tx[k] * F.col("__v0") + y[k] * F.col("__v1") + z[k] * F.col("__v2") for k in range(3)})
     g = [F.col(f"__g{k}") for k in range(3)]
     azimuth = F.radians(F.pmod(F.degrees(F.atan2(g[1], g[0])) - F.col("heading") + 360.0, F.lit(360.0)))
-    steep = math.pi / 2 - F.atan(g[2] / F.sqrt(g[0] * g[0] + g[1] * g[1]))
+    steep = math.pi / 2 - F.atan2(g[2], F.sqrt(g[0] * g[0] + g[1] * g[1]))
     x = x.withColumns({"rel_azimuth": azimuth, "corr_pointing_angle": F.when(F.col("__rx") < 0, -steep).otherwise(steep), "processing_status": F.lit(2).cast("smallint")})
     return x.drop("__rx", "__tx", *[f"__{a}{k}" for a in "vzg" for k in range(3)])
 
@@ -153,6 +153,43 @@ def vertical(reference: str, depth: Column, altitude: Column, heave: Column, wat
     raise ValueError(f"no vertical reference {reference}")
 
 
+def _turned(lever: tuple[float, float, float]) -> Column:
+    """How much deeper a lever arm's end is under roll, pitch and heading than at rest."""
+    m = rotation.matrix(F.col("roll"), F.col("pitch"), F.col("heading"))
+    return rotation.apply(m, [F.lit(float(v)) for v in lever])[2] - float(lever[2])
+
+
+def induced_heave(pings: DataFrame, primary: tuple[float, float, float], secondary: tuple[float, float, float]) -> DataFrame:
+    """pings (roll, pitch, heading, heave) of the second of two heads with the heave that its own place adds: heave is told at the first head's transmitter."""
+    return pings.withColumn("heave", F.col("heave") - _turned(tuple(a - b for a, b in zip(primary, secondary, strict=True))))
+
+
+def altitude_at_transmitter(pings: DataFrame, lever: tuple[float, float, float]) -> DataFrame:
+    """pings (roll, pitch, heading, altitude) with the altitude moved from the reference point to the transmitter, whose lever arm this is."""
+    if not any(lever):
+        return pings
+    return pings.withColumn("altitude", F.col("altitude") + _turned(tuple(-v for v in lever)))
+
+
+def processed(soundings: DataFrame, attitude: DataFrame, casts: DataFrame, settings: dict) -> DataFrame:
+    """All stages in one lazy plan: orientation, beam vectors, ray trace, position and uncertainty; status 5.
+
+    soundings: time, system, delay, traveltime, beampointingangle, tiltangle, soundspeed, heading, roll, pitch, heave,
+    altitude, latitude, longitude, qualityfactor and cast_id. settings: tx_angles, rx_angles, latency, waterline, offsets,
+    zone, south, reference, tpu, ifremer, and for a second head primary and secondary lever arms; each may be left out.
+    """
+    s = {"tx_angles": (0.0, 0.0, 0.0), "rx_angles": (0.0, 0.0, 0.0), "latency": 0.0, "waterline": 0.0, "offsets": (0.0, 0.0, 0.0), "zone": 1, "south": False, "reference": "waterline", "tpu": None, "ifremer": True, "lever": (0.0, 0.0, 0.0)} | settings
+    _, _, t, r = ideal_vectors(s["tx_angles"][2], s["rx_angles"][2])
+    x = orientation(soundings, attitude, s["tx_angles"], s["rx_angles"], s["latency"])
+    x = ray_trace(beam_vectors(x, t, r), casts, s["waterline"], s["offsets"])
+    if "primary" in s:
+        x = induced_heave(x, s["primary"], s["secondary"])
+    if s["reference"] in ELLIPSE:
+        x = altitude_at_transmitter(x, s["lever"])
+    x = georeference(x, s["zone"], s["south"], s["reference"], waterline=s["waterline"])
+    return uncertainty(x, s["reference"], s["tpu"], s["ifremer"])
+
+
 def georeference(soundings: DataFrame, zone: int, south: bool = False, reference: str = "waterline", z_offset: float = 0.0, waterline: float = 0.0) -> DataFrame:
     """Adds x, y, z and geohash from the offsets, heading, heave, altitude and position; status 4. Where a coordinate can't be had, x, y and z are null and the geohash is blank."""
     along, across = F.col("alongtrack").cast("double"), F.col("acrosstrack").cast("double")

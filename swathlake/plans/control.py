@@ -27,6 +27,16 @@ def next_stages(status: int, *, crs: bool = False, datum: bool = False, referenc
     return STAGES[first:]
 
 
+def stages_to_run(datasets: DataFrame) -> DataFrame:
+    """datasets (status, and the flags crs, datum, reference, offsets, angles, waterline, tpu of what changed) with `first`, the number of the first stage that must run again (5: none), and `stages`, the names from there on."""
+    c = {k: F.coalesce(F.col(k), F.lit(False)) for k in ("crs", "datum", "reference", "offsets", "angles", "waterline", "tpu")}
+    placed = c["crs"] | c["datum"] | c["reference"] | c["offsets"] | c["angles"] | c["waterline"]
+    s = F.col("status")
+    first = F.when((s < 2) | c["angles"], 0).when((s < 3) | c["offsets"] | c["waterline"], 2).when((s < 4) | placed, 3).when((s < 5) | c["tpu"], 4).otherwise(5)
+    names = F.array(*map(F.lit, STAGES))
+    return datasets.withColumn("first", first).withColumn("stages", F.array_join(F.slice(names, F.col("first") + 1, len(STAGES)), ","))
+
+
 def next_action(actions: DataFrame) -> DataFrame:
     """The waiting action of the smallest priority number; ties to the earlier."""
     return actions.orderBy("priority", "created", "id").limit(1)

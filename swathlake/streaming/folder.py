@@ -33,6 +33,11 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     return f.select("path", "length", "modificationTime")
 
 
+def settled(before: DataFrame, now: DataFrame) -> DataFrame:
+    """Files of a listing whose size has not changed since the listing before: only these are whole."""
+    return now.join(before.select("path", "length"), ["path", "length"], "left_semi")
+
+
 def event_windows(events: DataFrame, size: str = "10 minutes", slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Counts and sums of an event stream by window and kind; rows later than the watermark are left out. An extension: batch tables work too."""
     w = F.window("ts", size, slide) if slide else F.window("ts", size)

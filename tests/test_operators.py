@@ -30,7 +30,7 @@ def test_interpolation_over_buckets(spark):
     a = frame(spark, [(1, float(t), float(10 * t)) for t in range(0, 400_000, 50_000)], "system long, time double, value double")
     q = frame(spark, [(1, t) for t in (-5.0, 0.0, 25_000.0, 99_999.0, 345_000.0, 999_999.0)] + [(2, 1.0)], "system long, time double")
     got = {(r["system"], r["time"]): r["value_at"] for r in timejoin.interpolate(q, a, ["value"]).collect()}
-    assert got == {(1, -5.0): 0.0, (1, 0.0): 0.0, (1, 25_000.0): 250_000.0, (1, 99_999.0): 999_990.0, (1, 345_000.0): 3_450_000.0, (1, 999_999.0): 3_500_000.0, (2, 1.0): None}
+    assert got == {(1, -5.0): -50.0, (1, 0.0): 0.0, (1, 25_000.0): 250_000.0, (1, 99_999.0): 999_990.0, (1, 345_000.0): 3_450_000.0, (1, 999_999.0): 9_999_990.0, (2, 1.0): None}
     near = {r["time"]: r["value_near"] for r in timejoin.nearest(q, a, ["value"], within=30_000.0).collect() if r["system"] == 1}
     assert near[25_000.0] == 0.0 and near[999_999.0] is None and near[-5.0] == 0.0
 
@@ -175,3 +175,112 @@ def test_streaming_into_a_table(spark, tmp_path):
 def test_carried_and_names(spark):
     assert params.similar_name(["line_001.sbet", "other.txt"], "line_001.out") == "line_001.sbet"
     assert params.similar_name(["zzz"], "line") is None
+
+
+def split_series(spark, n=400):
+    """One system over four days with uneven steps, in few and in many days' pieces the same rows."""
+    import random
+
+    r = random.Random(8)
+    t, rows = 0.0, []
+    for k in range(n):
+        t += r.choice([1.0, 7.0, 900.0, 2000.0])
+        rows.append(("s", t, r.randrange(50), float(r.choice([0, 0, 3, 5, 350, 10])), k))
+    return spark.createDataFrame(rows, "system string, time double, counter int, value double, k int"), rows
+
+
+def test_windows_over_day_borders(spark, monkeypatch):
+    from swathlake.operators import series as R
+
+    df, rows = split_series(spark)
+    by = lambda d, c: [r[c] for r in d.orderBy("k").collect()]
+    times, counters, values = [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows]
+    for bucket, block in ((86_400.0, 16_384), (3_000.0, 37)):
+        monkeypatch.setattr(R, "BUCKET", bucket)
+        monkeypatch.setattr(R, "BLOCK", block)
+        falls, total = 0, []
+        for a, b in zip([counters[0], *counters], counters):
+            falls += b < a
+            total.append(b + 50 * falls)
+        assert by(R.unreset(df, size=50), "counter") == total
+        seg, want = 0, []
+        for a, b in zip([times[0], *times], times):
+            seg += b - a > 800
+            want.append(seg)
+        assert by(R.sessions(df, 800.0), "segment") == want
+        last, want = next(v for v in values if v), []
+        for v in values:
+            last = v or last
+            want.append(last)
+        assert by(R.fill(df, "value"), "value") == want
+        assert by(R.numbered(df, name="n"), "n") == list(range(len(rows)))
+        assert by(R.chunks(df, 30), "chunk") == [k // 30 for k in range(len(rows))]
+        assert by(R.every_nth(df, 9), "k") == list(range(0, len(rows), 9))
+        taps = [0.5, -0.25, 0.125]
+        want = [sum(c * (values[k - j] if k >= j else 0.0) for j, c in enumerate(taps)) for k in range(len(rows))]
+        assert by(R.filtered(df, "value", taps), "filtered") == pytest.approx(want)
+        import numpy as np
+
+        w, x = np.hamming(9), np.array(values)
+        y = np.convolve(w / w.sum(), np.r_[x[8:0:-1], x, x[-2:-10:-1]], mode="valid")[3:-5]
+        assert by(R.smooth(df, "value", 9, "hamming"), "smooth") == pytest.approx(list(y))
+
+
+def test_interpolation_goes_on_beyond_the_ends(spark):
+    from swathlake.operators import timejoin as J
+
+    r = spark.createDataFrame([("s", 100.0, 1.0), ("s", 200.0, 3.0), ("s", 100_000.0, 5.0), ("s", 100_100.0, 4.0), ("one", 5.0, 7.0)], "system string, time double, v double")
+    l = spark.createDataFrame([("s", 0.0), ("s", 150.0), ("s", 100_300.0), ("one", 9.0), ("none", 1.0)], "system string, time double")  # noqa: E741
+    got = {(x["system"], x["time"]): x["v_at"] for x in J.interpolate(l, r, ["v"]).collect()}
+    assert got == {("s", 0.0): -1.0, ("s", 150.0): 2.0, ("s", 100_300.0): 2.0, ("one", 9.0): 7.0, ("none", 1.0): None}
+
+
+def test_period_of_all_samples(spark, monkeypatch):
+    import math
+
+    from swathlake.operators import series as R
+
+    rows = [("s", 0.5 * k, math.sin(2 * math.pi * k / 12)) for k in range(900)]
+    df = spark.createDataFrame(rows, "system string, time double, v double")
+    for block in (16_384, 100):
+        monkeypatch.setattr(R, "BLOCK", block)
+        assert R.period(df, "v", most=50).first()["period"] == pytest.approx(6.0)
+
+
+def test_las_files_of_empty_partitions(spark):
+    from swathlake.sources import exports
+
+    df = spark.createDataFrame([(1.0, 2.0, 3.0, 0)], "x double, y double, z double, detectioninfo int").repartition(4)
+    assert [len(r["content"]) for r in exports.las_files(df).collect()] == [375 + 30]
+
+
+def test_upsert_of_a_key_that_moves(spark, tmp_path):
+    from swathlake.operators import upsert
+
+    path, schema = f"{tmp_path}/t", "k int, day int, v int"
+    upsert.upsert(spark, path, spark.createDataFrame([(1, 1, 1), (2, 1, 1), (3, 2, 1)], schema), ["k"], "day")
+    upsert.upsert(spark, path, spark.createDataFrame([(1, 2, 5), (3, 3, 6)], schema), ["k"], "day")
+    assert sorted((r["k"], r["day"], r["v"]) for r in spark.read.parquet(path).collect()) == [(1, 2, 5), (2, 1, 1), (3, 3, 6)]
+
+
+def test_nearest_cast_keeps_chunks_without_one(spark):
+    from swathlake.operators import series as R
+
+    m = spark.createDataFrame([("s", 0, 0.0, 10.0, 179.9), ("s", 1, 50_000.0, 89.0, 0.0), ("s", 2, 1e6, -40.0, 20.0)], "system string, chunk int, time double, lat double, lon double")
+    casts = spark.createDataFrame([(1, 100.0, 10.0, -179.9), (2, 200.0, 10.0, 170.0), (3, 49_000.0, 80.0, 180.0)], "cast_id int, cast_time double, lat double, lon double")
+    got = lambda method: [r["cast_id"] for r in R.nearest_cast(m, casts, method).orderBy("chunk").collect()]
+    assert got("nearest_in_distance") == [1, 3, 3] and got("nearest_in_time") == [1, 3, 3]
+    assert got("nearest_in_time_fourhours") == [1, 3, None] and got("nearest_in_distance_fourhours") == [1, 3, None]
+
+
+def test_all_stages_in_one_plan(spark):
+    from swathlake.operators import kernels
+
+    att = spark.createDataFrame([("s", float(t), 0.0, 0.0, 90.0) for t in range(5)], "system string, time double, roll double, pitch double, heading double")
+    beams = [("s", 1.0, 0.0, 0.04, float(a), 0.0, 1500.0, 90.0, 0.0, 0.0, 0.1, 20.0, 45.0, -75.0, 5.0, 1) for a in (-45, 0, 45)]
+    s = spark.createDataFrame(beams, "system string, time double, delay double, traveltime double, beampointingangle double, tiltangle double, soundspeed double, heading double, roll double, pitch double, heave double, altitude double, latitude double, longitude double, qualityfactor double, cast_id int")
+    casts = spark.createDataFrame([(1, [(0.5, 1500.0), (100.0, 1500.0)])], "cast_id int, layers array<struct<depth:double,sv:double>>")
+    r = kernels.processed(s, att, casts, {"zone": 18}).orderBy("beampointingangle").collect()
+    assert [x["processing_status"] for x in r] == [5, 5, 5]
+    assert r[1]["depthoffset"] == pytest.approx(30.0, abs=0.01) and r[1]["z"] == pytest.approx(30.1, abs=0.01)
+    assert r[0]["depthoffset"] == pytest.approx(30.0 / 2**0.5, abs=0.05) and r[0]["y"] == pytest.approx(2 * r[1]["y"] - r[2]["y"], abs=0.2) and abs(r[0]["y"] - r[2]["y"]) == pytest.approx(2 * 30 / 2**0.5, rel=0.02)
