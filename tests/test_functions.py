@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from swathlake.functions import angles, geo, rotation, times
 from swathlake.operators import stats
 
+# Sample positions, cells, rings and distances in this file are fixed values: published results that must be matched.
+
 
 def one(spark, *columns):
     return spark.range(1).select(*[c.alias(f"c{k}") for k, c in enumerate(columns)]).first()
