@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import tempfile
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,38 +42,80 @@ def wobble_table(data: DataFrame, tests: dict[str, tuple[str, str]] | None = Non
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("test"), F.col(k).alias("v")) for k in tests])).alias("t")).select("t.test", "t.v.*")
 
 
+#: Samples from whose spectrum the first frequency is taken; a fit's span grows FACTOR times a stage, ROUNDS corrections each.
+FIRST, FACTOR, ROUNDS = 4096, 4, 4
+
+
+def _first_sine(p):
+    """The strongest frequency of a system's first samples, and the least squares of a sine of it."""
+    import pandas as pd
+
+    p = p.sort_values("t")
+    t, v = p["t"].to_numpy(float), p["v"].to_numpy(float)
+    t0, w, a, b, c = float(t[0]), None, None, None, float(v.mean())
+    if len(t) > 8 and t[-1] > t[0]:
+        grid = np.linspace(t[0], t[-1], len(t))
+        power = np.abs(np.fft.rfft(np.interp(grid, t, v) - v.mean()))
+        w = float(2 * np.pi * np.fft.rfftfreq(len(grid), grid[1] - grid[0])[int(power[1:].argmax()) + 1])
+        x = w * (t - t0)
+        a, b, c = map(float, np.linalg.lstsq(np.stack([np.sin(x), np.cos(x), np.ones_like(x)], 1), v, rcond=None)[0])
+    return pd.DataFrame({"k": [p["k"].iloc[0]], "t0": [t0], "w": [w], "a": [a], "b": [b], "c": [c]}).astype({n: float for n in ("w", "a", "b", "c")})
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """df checkpointed in the session's folder, or one of its own on a single machine that has none set."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
 def fit_sine(df: DataFrame, column: str, by: str = "system", time: str = "time") -> DataFrame:
-    """(by, amplitude, frequency, phase, offset): least squares from the strongest frequency of 20 000 evenly chosen samples at most."""
+    """(by, amplitude, frequency, phase, offset) of the sine that fits a series best; all but the offset null for eight samples or fewer. Null times and values count for nothing.
+
+    The frequency begins at the strongest of the first FIRST samples and is then corrected by least squares over a span
+    FACTOR times as long each stage, until all samples count: each correction is one aggregate of sums a system.
+    """
     import pandas as pd
 
-    def fit(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("t")
-        t, v = p["t"].to_numpy(float), p["v"].to_numpy(float)
-        out = {"k": p["k"].iloc[0], "amplitude": None, "frequency": None, "phase": None, "offset": float(v.mean())}
-        if len(t) > 8:
-            grid = np.linspace(t[0], t[-1], len(t))
-            power = np.abs(np.fft.rfft(np.interp(grid, t, v) - v.mean()))
-            f = np.fft.rfftfreq(len(grid), grid[1] - grid[0])[int(power[1:].argmax()) + 1]
-            q, t0 = np.array([v.std() * np.sqrt(2), 2 * np.pi * f, 0.0, v.mean()]), t - t[0]
-            ab = np.linalg.lstsq(np.stack([np.sin(q[1] * t0), np.cos(q[1] * t0), np.ones_like(t0)], 1), v, rcond=None)[0]
-            q = np.array([np.hypot(ab[0], ab[1]), q[1], np.arctan2(ab[1], ab[0]), ab[2]])
-            for _ in range(30):
-                a = q[1] * t0 + q[2]
-                j = np.stack([np.sin(a), q[0] * t0 * np.cos(a), q[0] * np.cos(a), np.ones_like(a)], 1)
-                step = np.linalg.lstsq(j, v - (q[0] * np.sin(a) + q[3]), rcond=None)[0]
-                q = q + step
-                if np.abs(step).max() < 1e-10:
-                    break
-            out |= {"amplitude": float(q[0]), "frequency": float(q[1] / (2 * np.pi)), "phase": float(q[2] - q[1] * t[0]), "offset": float(q[3])}
-        return pd.DataFrame([out])
-
-    n = df.groupBy(by).count().withColumn("__n", F.greatest(F.ceil(F.col("count") / 20_000), F.lit(1))).drop("count")
-    from pyspark.sql import Window
-
-    x = df.join(n, by).withColumn("__k", F.row_number().over(Window.partitionBy(by).orderBy(time))).where((F.col("__k") - 1) % F.col("__n") == 0)
     kind = df.schema[by].dataType.simpleString()
-    out = x.select(F.col(by).alias("k"), F.col(time).alias("t"), F.col(column).cast("double").alias("v")).groupBy("k").applyInPandas(fit, f"k {kind}, amplitude double, frequency double, phase double, offset double")
-    return out.withColumnRenamed("k", by)
+    x = df.select(F.col(by).alias("k"), F.col(time).cast("double").alias("t"), F.col(column).cast("double").alias("v")).where("k is not null and t is not null and v is not null")
+    x = _kept(series.numbered(x, "k", "t"))  # the stages read it again and again
+    most = x.agg(F.max("__k")).first()[0]
+    if most is None:
+        return x.select(F.col("k").alias(by), *[F.lit(None).cast("double").alias(n) for n in ("amplitude", "frequency", "phase", "offset")])
+    fits = _kept(x.where(F.col("__k") < FIRST).select("k", "t", "v").groupBy("k").applyInPandas(_first_sine, f"k {kind}, t0 double, w double, a double, b double, c double"))
+
+    def corrected(p: pd.DataFrame) -> pd.DataFrame:
+        out = p[["k", "t0", "w", "a", "b", "c"]].copy()
+        for i, r in enumerate(p.itertuples()):
+            m = np.zeros((4, 4))
+            m[np.triu_indices(4)] = r.m
+            scale = np.sqrt(np.where(np.diag(m) > 0, np.diag(m), 1.0))
+            m = (m + np.triu(m, 1).T) / np.outer(scale, scale)
+            d = np.linalg.lstsq(m, np.array(r.y) / scale, rcond=1e-12)[0] / scale
+            out.iloc[i, 2:] = [r.w + d[3], r.a + d[0], r.b + d[1], r.c + d[2]]
+        return out
+
+    span = FIRST
+    while True:
+        for _ in range(ROUNDS):
+            z = x.where(F.col("__k") < span).join(fits.where("w is not null"), "k")
+            u = F.col("t") - F.col("t0")
+            sin, cos = F.sin(F.col("w") * u), F.cos(F.col("w") * u)
+            design = [sin, cos, F.lit(1.0), u * (F.col("a") * cos - F.col("b") * sin)]
+            z = z.select("k", "t0", "w", "a", "b", "c", *[d.alias(f"d{i}") for i, d in enumerate(design)], (F.col("v") - F.col("a") * sin - F.col("b") * cos - F.col("c")).alias("left"))
+            sums = z.groupBy("k", "t0", "w", "a", "b", "c").agg(
+                F.array(*[F.sum(F.col(f"d{i}") * F.col(f"d{j}")) for i in range(4) for j in range(i, 4)]).alias("m"), F.array(*[F.sum(F.col(f"d{i}") * F.col("left")) for i in range(4)]).alias("y"),
+            )
+            new = sums.mapInPandas(lambda batches: map(corrected, batches), f"k {kind}, t0 double, w double, a double, b double, c double")
+            fits = _kept(new.unionByName(fits.where("w is null")))
+        if span > most:
+            break
+        span *= FACTOR
+    return fits.select(F.col("k").alias(by), F.hypot("a", "b").alias("amplitude"), (F.col("w") / (2 * math.pi)).alias("frequency"), (F.atan2("b", "a") - F.col("w") * F.col("t0")).alias("phase"), F.col("c").alias("offset"))
 
 
 def rotated(points: DataFrame, azimuth_deg: float) -> DataFrame:

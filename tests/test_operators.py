@@ -143,6 +143,20 @@ def test_sine_and_period(spark):
     assert series.period(df, "v").first()["period"] == pytest.approx(4.0, abs=0.11)
 
 
+def test_sine_of_a_long_series(spark):
+    """All samples count, noisy ones of a short period too, and systems of few samples or none are told apart."""
+    from pyspark.sql import functions as F
+
+    t = F.col("id") / 10.0
+    df = spark.range(60_000).select(F.lit(1).cast("long").alias("system"), t.alias("time"), (3.0 * F.sin(2 * math.pi * 1.7003 * t + 0.3) + 5.0 + 2.0 * F.sin(F.col("id") * F.col("id") * 0.7)).alias("v"))
+    few = frame(spark, [(2, 0.0, 4.0), (2, 1.0, 6.0), (3, 0.0, None)], "system long, time double, v double")
+    r = {x["system"]: x for x in diagnostics.fit_sine(df.unionByName(few), "v").collect()}
+    assert set(r) == {1, 2} and r[2]["frequency"] is None and r[2]["offset"] == 5.0
+    assert (r[1]["amplitude"], r[1]["offset"]) == pytest.approx((3.0, 5.0), abs=0.05) and r[1]["frequency"] == pytest.approx(1.7003, abs=1e-6)
+    assert math.cos(r[1]["phase"] - 0.3) > 0.999
+    assert diagnostics.fit_sine(few.where("v < 0"), "v").count() == 0
+
+
 def test_high_pass(spark):
     c = np.array(series.high_pass(20.0, 1.0, 101))
     gain = lambda f: abs((c * np.exp(-2j * np.pi * f * np.arange(101))).sum())
