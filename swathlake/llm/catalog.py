@@ -1,6 +1,6 @@
 """The operators' queries, each over its whole table."""
 
-from . import bpe, codec, jaccard, language, media, mixing, packing, passages, secrets, topk, wrappers
+from . import bpe, codec, jaccard, language, manifest, media, mixing, packing, passages, secrets, topk, whitening, wrappers
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -13,9 +13,11 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_substring_dedup": passages.op9_substring_dedup,
     "op10_token_ids": codec.op10_token_ids,
+    "op11_merkle_manifest": manifest.op11_merkle_manifest,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
     "op13_byte_level_bpe": bpe.op13_byte_level_bpe,
 }
-ORACLES: dict[str, str] = {"op3_ngram_jaccard_join": jaccard.ORACLE, "op7_top_k": topk.ORACLE}
+ORACLES: dict[str, str] = {"op3_ngram_jaccard_join": jaccard.ORACLE, "op7_top_k": topk.ORACLE, "op11_merkle_manifest": manifest.ORACLE}
 
 
 def queries() -> dict:
