@@ -96,10 +96,9 @@ def geodesic_forward(lat: Column, lon: Column, azimuth_deg: Column, distance: Co
     return F.aggregate(F.sequence(F.lit(1), F.lit(4)), state, step, finish)
 
 
-def utm(lat: Column, lon: Column, zone: int, south: bool = False) -> Column:
-    """(x, y) in a UTM zone by the series of order 6 in the third flattening."""
-    n = FLAT / (2 - FLAT)
-    alpha = [
+def series_of_utm(n: float) -> list[float]:
+    """Coefficients of the forward series, from the third flattening."""
+    return [
         n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180 - 127 * n**5 / 288 + 7891 * n**6 / 37800,
         13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440 + 281 * n**5 / 630 - 1983433 * n**6 / 1935360,
         61 * n**3 / 240 - 103 * n**4 / 140 + 15061 * n**5 / 26880 + 167603 * n**6 / 181440,
@@ -107,17 +106,24 @@ def utm(lat: Column, lon: Column, zone: int, south: bool = False) -> Column:
         34729 * n**5 / 80640 - 3418889 * n**6 / 1995840,
         212378941 * n**6 / 319334400,
     ]
+
+
+def utm(lat: Column, lon: Column, zone: int | Column, south: bool | Column = False) -> Column:
+    """(x, y) in a UTM zone by the series of order 6 in the third flattening."""
+    shift = F.when(south, 10000000.0).otherwise(0.0) if isinstance(south, Column) else F.lit(10000000.0 if south else 0.0)
+    n = FLAT / (2 - FLAT)
+    alpha = series_of_utm(n)
     radius = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64 + n**6 / 256)
     e = 2 * math.sqrt(n) / (1 + n)
     phi, d = F.radians(lat), F.radians(lon - (zone * 6 - 183))
     atanh = lambda v: F.log((1 + v) / (1 - v)) / 2
     t = F.sinh(atanh(F.sin(phi)) - e * atanh(e * F.sin(phi)))
-    first = F.array(F.struct(F.atan2(t, F.cos(d)).alias("xi"), atanh(F.sin(d) / F.sqrt(1 + t * t)).alias("eta")))
+    first = F.array(F.struct(F.atan2(t, F.cos(d)).alias("xi"), atanh(F.sin(d) / F.sqrt(1 + t * t)).alias("eta"), shift.alias("shift")))
 
     def place(p: Column) -> Column:
         x = p["eta"] + sum(a * F.cos(2 * j * p["xi"]) * F.sinh(2 * j * p["eta"]) for j, a in enumerate(alpha, 1))
         y = p["xi"] + sum(a * F.sin(2 * j * p["xi"]) * F.cosh(2 * j * p["eta"]) for j, a in enumerate(alpha, 1))
-        return F.struct((500000.0 + 0.9996 * radius * x).alias("x"), ((10000000.0 if south else 0.0) + 0.9996 * radius * y).alias("y"))
+        return F.struct((500000.0 + 0.9996 * radius * x).alias("x"), (p["shift"] + 0.9996 * radius * y).alias("y"))
 
     return F.transform(first, place)[0]
 

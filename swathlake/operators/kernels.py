@@ -1,13 +1,16 @@
 """The sounding pipeline's stages as column expressions on long rows, one sounding each.
 
 orientation -> beam vectors -> ray trace -> position -> uncertainty, and backscatter. Every stage takes and returns a
-DataFrame and sets processing_status; nothing leaves the JVM and nothing shuffles but the attitude join of the first.
+DataFrame and sets processing_status; nothing shuffles but the attitude join of the first, and the cast join where casts
+are many. Settings are numbers, or columns where datasets of different settings are processed together.
+The ray trace runs over Arrow batches, a layer at a time for all beams of a cast; all else stays in the JVM.
 """
 
 from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,14 +29,22 @@ def _parts(column: str) -> list[Column]:
 # --- orientation
 
 
-def ideal_vectors(tx_heading: float, rx_heading: float) -> tuple[list[float], list[float], bool, bool]:
+def _column(v) -> Column:
+    return v if isinstance(v, Column) else F.lit(float(v))
+
+
+def _sign(reversed_) -> Column | float:
+    return F.when(reversed_, -1.0).otherwise(1.0) if isinstance(reversed_, Column) else -1.0 if reversed_ else 1.0
+
+
+def ideal_vectors(tx_heading, rx_heading) -> tuple[list, list, bool | Column, bool | Column]:
     """Ideal transmitter and receiver axes, and whether each is mounted backwards."""
-    flipped = lambda h: 90 < abs(h) < 270
+    flipped = lambda h: (F.abs(h) > 90) & (F.abs(h) < 270) if isinstance(h, Column) else 90 < abs(h) < 270
     t, r = flipped(tx_heading), flipped(rx_heading)
-    return [-1.0 if t else 1.0, 0.0, 0.0], [0.0, -1.0 if r else 1.0, 0.0], t, r
+    return [_sign(t), 0.0, 0.0], [0.0, _sign(r), 0.0], t, r
 
 
-def orientation(soundings: DataFrame, attitude: DataFrame, tx_angles: tuple[float, float, float], rx_angles: tuple[float, float, float], latency: float = 0.0) -> DataFrame:
+def orientation(soundings: DataFrame, attitude: DataFrame, tx_angles: tuple, rx_angles: tuple, latency: float | Column = 0.0) -> DataFrame:
     """Adds tx and rx: the axes in the geographic frame when each beam was sent and received; status 1."""
     tx, rx, _, _ = ideal_vectors(tx_angles[2], rx_angles[2])
     wait = F.greatest(F.lit(0.0), F.least(F.col("traveltime").cast("double"), F.lit(30.0)))
@@ -59,10 +70,10 @@ def array_vector(tx: list[Column], rx: list[Column], tx_angle: Column, rx_angle:
     return [x, y, F.sqrt(F.greatest(1 - (x * x + y * y), F.lit(0.0)))]
 
 
-def beam_vectors(soundings: DataFrame, tx_reversed: bool = False, rx_reversed: bool = False) -> DataFrame:
+def beam_vectors(soundings: DataFrame, tx_reversed: bool | Column = False, rx_reversed: bool | Column = False) -> DataFrame:
     """Adds rel_azimuth and corr_pointing_angle in radians, from tx, rx, tiltangle, beampointingangle and heading; status 2."""
-    rx_angle = F.radians(F.greatest(F.least(F.col("beampointingangle").cast("double"), F.lit(180.0)), F.lit(-180.0))) * (-1 if rx_reversed else 1)
-    tx_angle = F.radians(F.col("tiltangle").cast("double")) * (-1 if tx_reversed else 1)
+    rx_angle = F.radians(F.greatest(F.least(F.col("beampointingangle").cast("double"), F.lit(180.0)), F.lit(-180.0))) * _sign(rx_reversed)
+    tx_angle = F.radians(F.col("tiltangle").cast("double")) * _sign(tx_reversed)
     x = soundings.withColumns({"__rx": rx_angle, "__tx": tx_angle})
     tx, rx = _parts("tx"), _parts("rx")
     v = array_vector(tx, rx, F.col("__tx"), F.col("__rx"))
@@ -86,63 +97,106 @@ def beam_vectors(soundings: DataFrame, tx_reversed: bool = False, rx_reversed: b
 TAIL_DEPTH, TAIL_SPEED, TAIL_LIMIT = 12000.0, 1669.0, 10000.0
 
 
-def prepared_cast(layers: Column, waterline_offset: float) -> Column:
-    """Layers (depth, sv) relative to the transmitter, with the tail, those above it left out, in order of depth."""
+def prepared_cast(layers: Column) -> Column:
+    """Layers (depth, sv) in order of depth, with the tail."""
     deep = F.array_max(F.transform(layers, lambda p: p["depth"].cast("double")))
     tail = F.array(F.struct(F.lit(TAIL_DEPTH).alias("depth"), F.lit(TAIL_SPEED).alias("sv")))
     x = F.transform(layers, lambda p: F.struct(p["depth"].cast("double").alias("depth"), p["sv"].cast("double").alias("sv")))
-    x = F.array_sort(F.when(deep < TAIL_LIMIT, F.concat(x, tail)).otherwise(x))
-    x = F.transform(x, lambda p: F.struct((p["depth"] - waterline_offset).alias("depth"), p["sv"].alias("sv")))
-    return F.filter(x, lambda p: p["depth"] > 0)
-
-
-def ray_trace(soundings: DataFrame, casts: DataFrame, waterline_offset: float = 0.0, offsets: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+    return F.array_sort(F.when(deep < TAIL_LIMIT, F.concat(x, tail)).otherwise(x))
+
+
+#: What comes of a ray, and bytes of casts that may be broadcast; counted first.
+RAY, BROADCAST_BYTES = "struct<down:double,across:double,done:boolean>", 16_000_000
+
+
+def bent(angle, one_way, speed, depths, speeds):
+    """(down, across, done) of beams that leave at an angle with the surface speed and bend at each layer of one cast; where half the travel time ends, the layer is interpolated. Arrays, a layer at a time."""
+    import numpy as np
+
+    z, sine, c = 0.0, np.sin(angle), speed
+    h, t, down, across = (np.zeros(len(angle)) for _ in range(4))
+    done = np.zeros(len(angle), bool)
+    for depth, below in zip(depths, speeds, strict=True):
+        cos = np.sqrt(np.maximum(1 - sine * sine, 1e-12))
+        dz = depth - z
+        dh, dt = dz * sine / cos, dz / cos / c
+        here = ~done & (dt > 0) & (one_way >= t) & (one_way <= t + dt) & (one_way > 0)
+        if here.any():
+            share = (one_way[here] - t[here]) / dt[here]
+            down[here], across[here] = z + share * dz, h[here] + share * dh[here]
+            done |= here
+            if done.all():
+                break
+        h, t, z = h + dh, t + dt, depth
+        sine, c = np.clip(below / c * sine, -1.0, 1.0), below
+    return down, across, done
+
+
+def _rays():
+    """The ray trace as a function of (cast's key, waterline, depths, speeds, angle, one-way time, surface speed): beams of one key and waterline in a batch bend together."""
+    import numpy as np
+
+    def trace(key: pa.Array, waterline: pa.Array, depths: pa.Array, speeds: pa.Array, angle: pa.Array, one_way: pa.Array, speed: pa.Array) -> pa.Array:
+        values = lambda a: a.to_numpy(zero_copy_only=False).astype(float)
+        wl, x, w, c = (values(a) for a in (waterline, angle, one_way, speed))
+        n = len(x)
+        down, across, done = np.zeros(n), np.zeros(n), np.zeros(n, bool)
+        group = key.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        _, first, of = np.unique(np.stack([np.nan_to_num(group.astype(float), nan=-1.0), wl]), axis=1, return_index=True, return_inverse=True)
+        for g, i in enumerate(first.tolist()):
+            if not depths[i].is_valid:
+                continue  # no cast
+            rows = np.flatnonzero(of.ravel() == g)
+            d, v = (np.array(a[i].as_py(), float) for a in (depths, speeds))
+            d = d - wl[i]
+            with np.errstate(all="ignore"):
+                down[rows], across[rows], done[rows] = bent(x[rows], w[rows], c[rows], d[d > 0], v[d > 0])
+        return pa.StructArray.from_arrays([pa.array(down), pa.array(across), pa.array(done)], ["down", "across", "done"])
+
+    return F.arrow_udf(trace, RAY)
+
+
+def ray_trace(soundings: DataFrame, casts: DataFrame, waterline_offset: float | Column = 0.0, offsets: tuple = (0.0, 0.0, 0.0)) -> DataFrame:
     """Adds alongtrack, acrosstrack, depthoffset and in_cast; status 3.
 
     soundings: corr_pointing_angle, rel_azimuth, traveltime, soundspeed, cast_id; casts: cast_id, layers. A beam leaves
     with the surface speed and bends at each layer; in the layer where half its travel time ends, it is interpolated.
-    Beams that the cast doesn't reach get 0 and in_cast false. Each beam starts from the cast as given.
+    Depths of a cast count from the transmitter, layers above it are left out. Beams that the cast doesn't reach get 0
+    and in_cast false. Each beam starts from the cast as given.
     """
-    c = casts.select("cast_id", prepared_cast(F.col("layers"), waterline_offset).alias("__layers"))
-    x = soundings.join(F.broadcast(c) if casts.count() <= 10_000 else c, "cast_id", "left")
+    c = casts.select("cast_id", prepared_cast(F.col("layers")).alias("__l"))
+    c = c.select("cast_id", F.transform("__l", lambda p: p["depth"]).alias("__depths"), F.transform("__l", lambda p: p["sv"]).alias("__speeds"))
+    bytes_ = c.agg(F.coalesce(F.sum(F.size("__depths").cast("long") * 16 + 32), F.lit(0))).first()[0]
+    x = soundings.join(F.broadcast(c) if bytes_ <= BROADCAST_BYTES else c, "cast_id", "left")
     angle = F.abs(F.col("corr_pointing_angle").cast("double"))
-    one_way = F.col("traveltime").cast("double") / 2
-    start = F.struct(
-        F.lit(0.0).alias("z"), F.lit(0.0).alias("h"), F.lit(0.0).alias("t"), F.col("soundspeed").cast("double").alias("c"), F.sin(angle).alias("s"),
-        F.lit(0.0).alias("down"), F.lit(0.0).alias("across"), F.lit(False).alias("done"),
-    )
-
-    def layer(a: Column, p: Column) -> Column:
-        dz = p["depth"] - a["z"]
-        cos = F.sqrt(F.greatest(1 - a["s"] * a["s"], F.lit(1e-12)))
-        dh = dz * a["s"] / cos
-        dt = dz / cos / a["c"]
-        share = (one_way - a["t"]) / F.when(dt > 0, dt).otherwise(1.0)
-        here = ~a["done"] & (dt > 0) & (one_way >= a["t"]) & (one_way <= a["t"] + dt) & (one_way > 0)
-        return F.struct(
-            p["depth"].alias("z"), (a["h"] + dh).alias("h"), (a["t"] + dt).alias("t"), p["sv"].alias("c"),
-            F.least(F.greatest(p["sv"] / a["c"] * a["s"], F.lit(-1.0)), F.lit(1.0)).alias("s"),
-            F.when(here, a["z"] + share * dz).otherwise(a["down"]).alias("down"), F.when(here, a["h"] + share * dh).otherwise(a["across"]).alias("across"), (a["done"] | here).alias("done"),
-        )
-
-    x = x.withColumn("__ray", F.aggregate(F.col("__layers"), start, layer))
+    ray = _rays()(F.col("cast_id").cast("string"), _column(waterline_offset).cast("double"), "__depths", "__speeds", angle, F.col("traveltime").cast("double") / 2, F.col("soundspeed").cast("double"))
+    x = x.withColumn("__ray", ray)
     h, az = F.abs(F.col("__ray.across")), F.col("rel_azimuth").cast("double")
+    along, across, down = map(_column, offsets)
     return x.withColumns(
         {
-            "alongtrack": F.bround(h * F.cos(az) + offsets[0], 3).cast("float"),
-            "acrosstrack": F.bround(h * F.sin(az) + offsets[1], 3).cast("float"),
-            "depthoffset": F.bround(F.col("__ray.down") + offsets[2], 3).cast("float"),
-            "in_cast": F.coalesce(F.col("__ray.done"), F.lit(False)),
+            "alongtrack": F.bround(h * F.cos(az) + along, 3).cast("float"),
+            "acrosstrack": F.bround(h * F.sin(az) + across, 3).cast("float"),
+            "depthoffset": F.bround(F.col("__ray.down") + down, 3).cast("float"),
+            "in_cast": F.col("__ray.done"),
             "processing_status": F.lit(3).cast("smallint"),
         }
-    ).drop("__ray", "__layers")
+    ).drop("__ray", "__depths", "__speeds")
 
 
 # --- position
 
 
-def vertical(reference: str, depth: Column, altitude: Column, heave: Column, waterline: Column, tide: Column) -> Column:
-    if reference in ("ellipse", "MLLW", "MHW"):
+#: Names of vertical references.
+WATERLINE, ELLIPSE = ("vessel", "waterline", "Aviso MLLW"), ("ellipse", "MLLW", "MHW")
+
+
+def vertical(reference: str | Column, depth: Column, altitude: Column, heave: Column, waterline: Column, tide: Column) -> Column:
+    """Depth, or height above the ellipsoid, by the vertical reference; of a column of references, null for unknown ones."""
+    if isinstance(reference, Column):
+        by = lambda r: vertical(r, depth, altitude, heave, waterline, tide)
+        return F.when(reference.isin(*ELLIPSE), by("ellipse")).when(reference == "vessel", by("vessel")).when(reference == "waterline", by("waterline")).when(reference.startswith("Aviso"), by("Aviso"))
+    if reference in ELLIPSE:
         return altitude - depth
     if reference == "vessel":
         return depth + heave
@@ -153,10 +207,10 @@ def vertical(reference: str, depth: Column, altitude: Column, heave: Column, wat
     raise ValueError(f"no vertical reference {reference}")
 
 
-def _turned(lever: tuple[float, float, float]) -> Column:
+def _turned(lever: tuple) -> Column:
     """How much deeper a lever arm's end is under roll, pitch and heading than at rest."""
     m = rotation.matrix(F.col("roll"), F.col("pitch"), F.col("heading"))
-    return rotation.apply(m, [F.lit(float(v)) for v in lever])[2] - float(lever[2])
+    return rotation.apply(m, [_column(v) for v in lever])[2] - _column(lever[2])
 
 
 def induced_heave(pings: DataFrame, primary: tuple[float, float, float], secondary: tuple[float, float, float]) -> DataFrame:
@@ -164,39 +218,64 @@ def induced_heave(pings: DataFrame, primary: tuple[float, float, float], seconda
     return pings.withColumn("heave", F.col("heave") - _turned(tuple(a - b for a, b in zip(primary, secondary, strict=True))))
 
 
-def altitude_at_transmitter(pings: DataFrame, lever: tuple[float, float, float]) -> DataFrame:
+def altitude_at_transmitter(pings: DataFrame, lever: tuple) -> DataFrame:
     """pings (roll, pitch, heading, altitude) with the altitude moved from the reference point to the transmitter, whose lever arm this is."""
-    if not any(lever):
+    if not any(isinstance(v, Column) or v for v in lever):
         return pings
     return pings.withColumn("altitude", F.col("altitude") + _turned(tuple(-v for v in lever)))
 
 
+#: Settings of a dataset and their defaults; angles in degrees, lengths in metres.
+SETTINGS = {
+    "tx_roll": 0.0, "tx_pitch": 0.0, "tx_heading": 0.0, "rx_roll": 0.0, "rx_pitch": 0.0, "rx_heading": 0.0, "latency": 0.0, "waterline": 0.0, "offset_x": 0.0, "offset_y": 0.0, "offset_z": 0.0,
+    "lever_x": 0.0, "lever_y": 0.0, "lever_z": 0.0, "zone": 1, "south": False, "reference": "waterline", "ifremer": True,
+}
+STAGES = ("orientation", "beam_vectors", "sound_velocity", "georeference", "uncertainty")
+
+
+def stage(number: int, x: DataFrame, settings: dict, attitude: DataFrame | None = None, casts: DataFrame | None = None) -> DataFrame:
+    """One stage, by its number from 0. settings: names of SETTINGS and TPU with numbers or columns; missing ones have their defaults."""
+    s = SETTINGS | settings
+    tx, rx = ([s[f"{a}_{n}"] for n in ("roll", "pitch", "heading")] for a in ("tx", "rx"))
+    if number == 0:
+        return orientation(x, attitude, tuple(tx), tuple(rx), s["latency"])
+    if number == 1:
+        return beam_vectors(x, *ideal_vectors(tx[2], rx[2])[2:])
+    if number == 2:
+        return ray_trace(x, casts, s["waterline"], tuple(s[f"offset_{n}"] for n in "xyz"))
+    if number == 3:
+        names = x.columns
+        if "primary" in s:
+            x = induced_heave(x.withColumn("__heave", F.col("heave")), s["primary"], s["secondary"])
+        x = altitude_at_transmitter(x.withColumn("__altitude", F.col("altitude")), tuple(s[f"lever_{n}"] for n in "xyz"))
+        x = georeference(x, s["zone"], s["south"], s["reference"], waterline=s["waterline"])
+        for c in ("heave", "altitude"):  # as recorded, so that a later run starts from the same
+            if f"__{c}" in x.columns:
+                x = x.withColumn(c, F.col(f"__{c}")).drop(f"__{c}")
+        return x.select(*names, *[c for c in x.columns if c not in names])
+    return uncertainty(x, s["reference"], {k: v for k, v in settings.items() if k in TPU}, s["ifremer"])
+
+
 def processed(soundings: DataFrame, attitude: DataFrame, casts: DataFrame, settings: dict) -> DataFrame:
     """All stages in one lazy plan: orientation, beam vectors, ray trace, position and uncertainty; status 5.
 
     soundings: time, system, delay, traveltime, beampointingangle, tiltangle, soundspeed, heading, roll, pitch, heave,
-    altitude, latitude, longitude, qualityfactor and cast_id. settings: tx_angles, rx_angles, latency, waterline, offsets,
-    zone, south, reference, tpu, ifremer, and for a second head primary and secondary lever arms; each may be left out.
+    altitude, latitude, longitude, qualityfactor and cast_id. settings: as for stage(), and for a second head primary and
+    secondary lever arms; each may be left out, and each may be a column.
     """
-    s = {"tx_angles": (0.0, 0.0, 0.0), "rx_angles": (0.0, 0.0, 0.0), "latency": 0.0, "waterline": 0.0, "offsets": (0.0, 0.0, 0.0), "zone": 1, "south": False, "reference": "waterline", "tpu": None, "ifremer": True, "lever": (0.0, 0.0, 0.0)} | settings
-    _, _, t, r = ideal_vectors(s["tx_angles"][2], s["rx_angles"][2])
-    x = orientation(soundings, attitude, s["tx_angles"], s["rx_angles"], s["latency"])
-    x = ray_trace(beam_vectors(x, t, r), casts, s["waterline"], s["offsets"])
-    if "primary" in s:
-        x = induced_heave(x, s["primary"], s["secondary"])
-    if s["reference"] in ELLIPSE:
-        x = altitude_at_transmitter(x, s["lever"])
-    x = georeference(x, s["zone"], s["south"], s["reference"], waterline=s["waterline"])
-    return uncertainty(x, s["reference"], s["tpu"], s["ifremer"])
-
-
-def georeference(soundings: DataFrame, zone: int, south: bool = False, reference: str = "waterline", z_offset: float = 0.0, waterline: float = 0.0) -> DataFrame:
+    x = soundings
+    for k in range(len(STAGES)):
+        x = stage(k, x, settings, attitude, casts)
+    return x
+
+
+def georeference(soundings: DataFrame, zone: int | Column, south: bool | Column = False, reference: str | Column = "waterline", z_offset: float = 0.0, waterline: float | Column = 0.0) -> DataFrame:
     """Adds x, y, z and geohash from the offsets, heading, heave, altitude and position; status 4. Where a coordinate can't be had, x, y and z are null and the geohash is blank."""
     along, across = F.col("alongtrack").cast("double"), F.col("acrosstrack").cast("double")
     azimuth = F.pmod(F.degrees(F.atan2(across, along)) + F.col("heading"), F.lit(360.0))
     far = F.sqrt(along * along + across * across)
     tide = F.col("tide") if "tide" in soundings.columns else F.lit(0.0)
-    z = vertical(reference, F.col("depthoffset").cast("double") + z_offset, F.col("altitude").cast("double"), F.col("heave").cast("double"), F.lit(waterline), tide)
+    z = vertical(reference, F.col("depthoffset").cast("double") + z_offset, F.col("altitude").cast("double"), F.col("heave").cast("double"), _column(waterline), tide)
     x = soundings.withColumn("__p", geo.geodesic_forward(F.col("latitude"), F.col("longitude"), azimuth, far))
     x = x.withColumn("__u", geo.utm(F.col("__p.lat"), F.col("__p.lon"), zone, south))
     ok = F.col("__u.x").isNotNull() & ~F.isnan("__u.x") & (F.abs("__u.x") < 1e9)
@@ -212,36 +291,37 @@ TPU = {
     "horizontal_positioning_error": 1.5, "vertical_positioning_error": 1.0, "separation_model_error": 0.0, "waterline_error": 0.02, "beam_opening_angle": 1.0,
     "tx_to_antenna_x": 0.0, "tx_to_antenna_y": 0.0, "tx_to_antenna_z": 0.0,
 }
-WATERLINE, ELLIPSE = ("vessel", "waterline", "Aviso MLLW"), ("ellipse", "MLLW", "MHW")
 
 
-def sounder_variance(depth: Column, across: Column, quality: Column, ifremer: bool) -> tuple[Column, Column]:
+def sounder_variance(depth: Column, across: Column, quality: Column, ifremer: bool | Column) -> tuple[Column, Column]:
     """(vertical, horizontal) of the sounder's own measurement, from its quality factor."""
-    q = quality / (100.0 if ifremer else 2500.0)
+    q = quality / (F.when(ifremer, 100.0).otherwise(2500.0) if isinstance(ifremer, Column) else 100.0 if ifremer else 2500.0)
     return depth * q, F.abs(across) * q
 
 
-def uncertainty(soundings: DataFrame, reference: str = "waterline", settings: dict | None = None, ifremer: bool = True, singlebeam: bool = False) -> DataFrame:
-    """Adds tvu and thu, 1.96 sigma; status 5. Needs depthoffset, acrosstrack, roll, beampointingangle, corr_pointing_angle, soundspeed and qualityfactor."""
-    s = TPU | (settings or {})
+def uncertainty(soundings: DataFrame, reference: str | Column = "waterline", settings: dict | None = None, ifremer: bool | Column = True, singlebeam: bool = False) -> DataFrame:
+    """Adds tvu and thu, 1.96 sigma; status 5. Needs depthoffset, acrosstrack, roll, beampointingangle, corr_pointing_angle, soundspeed and qualityfactor. Settings are numbers or columns; of a column of references unknown ones give null."""
+    s = {k: _column(v) for k, v in (TPU | (settings or {})).items()}
+    square = lambda v: v * v
     d, a = F.col("depthoffset").cast("double"), F.col("acrosstrack").cast("double")
     theta, raw = F.col("corr_pointing_angle").cast("double"), F.radians(F.col("beampointingangle").cast("double"))
     c = F.col("soundspeed").cast("double")
     v, h = sounder_variance(d, a, F.col("qualityfactor").cast("double"), ifremer)
-    beam = d - d * math.cos(math.radians(s["beam_opening_angle"]) / 2)
+    beam = d - d * F.cos(F.radians(s["beam_opening_angle"]) / 2)
     # the roll angles multiply, a length is among the variances, and the waterline total takes the measured error unsquared: fixed by results that must be matched
-    roll = a * a * (math.radians(s["roll_sensor_error"]) ** 2 * math.radians(s["roll_patch_error"]) ** 2)
-    refraction = F.lit(0.0) if singlebeam else (F.pow(d / c, 2) + a * a * (F.pow(F.tan(theta) / (2 * c), 2) + F.pow(F.tan(theta - raw) / c, 2))) * s["surface_sv_error"] ** 2
-    if reference in WATERLINE:
-        measured = F.sqrt(v * v + roll + refraction + beam + s["heave_error"] ** 2)
-        tvu = F.sqrt(measured + s["separation_model_error"] ** 2 + s["waterline_error"] ** 2)
-    elif reference in ELLIPSE:
-        measured = F.sqrt(v * v + roll + refraction + beam + s["vertical_positioning_error"] ** 2)
-        tvu = F.sqrt(measured * measured + s["separation_model_error"] ** 2)
+    roll = a * a * (square(F.radians(s["roll_sensor_error"])) * square(F.radians(s["roll_patch_error"])))
+    refraction = F.lit(0.0) if singlebeam else (F.pow(d / c, 2) + a * a * (F.pow(F.tan(theta) / (2 * c), 2) + F.pow(F.tan(theta - raw) / c, 2))) * square(s["surface_sv_error"])
+    common, separation = v * v + roll + refraction + beam, square(s["separation_model_error"])
+    by_waterline = F.sqrt(F.sqrt(common + square(s["heave_error"])) + separation + square(s["waterline_error"]))
+    by_ellipse = F.sqrt(common + square(s["vertical_positioning_error"]) + separation)
+    if isinstance(reference, Column):
+        tvu = F.when(reference.isin(*WATERLINE), by_waterline).when(reference.isin(*ELLIPSE), by_ellipse)
+    elif reference in WATERLINE + ELLIPSE:
+        tvu = by_waterline if reference in WATERLINE else by_ellipse
     else:
         raise ValueError(f"no vertical reference {reference}")
-    lever = (s["tx_to_antenna_x"] ** 2 + s["tx_to_antenna_y"] ** 2) * s["heading_sensor_error"] + (s["roll_sensor_error"] ** 2 + s["pitch_sensor_error"] ** 2) * s["tx_to_antenna_z"]
-    thu = F.sqrt(h * h + 2 * s["horizontal_positioning_error"] ** 2 + lever)
+    lever = (square(s["tx_to_antenna_x"]) + square(s["tx_to_antenna_y"])) * s["heading_sensor_error"] + (square(s["roll_sensor_error"]) + square(s["pitch_sensor_error"])) * s["tx_to_antenna_z"]
+    thu = F.sqrt(h * h + 2 * square(s["horizontal_positioning_error"]) + lever)
     return soundings.withColumns({"tvu": (1.96 * tvu).cast("float"), "thu": (1.96 * thu).cast("float"), "processing_status": F.lit(5).cast("smallint")})
 
 

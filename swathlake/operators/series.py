@@ -29,7 +29,7 @@ def _edges(days: DataFrame, by: list[str], **columns: Column) -> DataFrame:
 
 
 def _joined(x: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
-    on = [x[c] == edges[f"__e_{c}"] for c in by] + [x["__bucket"] == edges["__e_bucket"]]
+    on = [x[c].eqNullSafe(edges[f"__e_{c}"]) for c in by] + [x["__bucket"].eqNullSafe(edges["__e_bucket"])]
     return x.join(edges, on, "left").drop("__e_bucket", *[f"__e_{c}" for c in by])
 
 
@@ -147,8 +147,9 @@ def fill(df: DataFrame, column: str, by: str = "system", time: str = "time") ->
     known = F.when(F.col("__v").isNotNull(), F.struct(F.col(time).alias("t"), F.col("__v").alias("v")))
     days = x.groupBy(by, "__bucket").agg(F.max(known).alias("last"), F.min(known).alias("first"))
     order = Window.partitionBy(by).orderBy("__bucket")
-    edge = _edges(days, [by], __back=F.last("last.v", True).over(order.rowsBetween(Window.unboundedPreceding, -1)), __ahead=F.first("first.v", True).over(order.rowsBetween(1, Window.unboundedFollowing)))
-    x = x.withColumn("__a", F.last("__v", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__b", F.first("__v", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    edge = _edges(days, [by], __back=F.last("last.v", True).over(order.rowsBetween(Window.unboundedPreceding, -1)), __ahead=F.last("first.v", True).over(Window.partitionBy(by).orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1)))
+    down = Window.partitionBy(by, "__bucket").orderBy(F.desc(time))
+    x = x.withColumn("__a", F.last("__v", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__b", F.last("__v", True).over(down.rowsBetween(Window.unboundedPreceding, 0)))
     return _joined(x, edge, [by]).withColumn(column, F.coalesce("__a", "__back", "__b", "__ahead")).drop("__a", "__b", "__back", "__ahead", "__v", "__bucket")
 
 

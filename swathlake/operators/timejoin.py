@@ -14,40 +14,42 @@ from pyspark.sql import functions as F
 BUCKET = 86_400.0
 
 
+def _two(samples: DataFrame, descending: bool) -> DataFrame:
+    """(__by, one, two): each system's two least samples, or greatest. Every task keeps two a system before anything is shuffled."""
+    w = Window.partitionBy("__by").orderBy(F.desc("__sample") if descending else F.asc("__sample"))
+    x = samples.withColumn("k", F.row_number().over(w)).where("k <= 2")
+    return x.groupBy("__by").agg(F.max(F.when(F.col("k") == 1, F.col("__sample"))).alias("one"), F.max(F.when(F.col("k") == 2, F.col("__sample"))).alias("two"))
+
+
 def neighbours(left: DataFrame, right: DataFrame, values: list[str], by: str = "system", time: str = "time", bucket: float = BUCKET, ends: bool = False) -> DataFrame:
-    """With `ends` also the first two and the last two samples of the system: first, second, penultimate, last.
+    """left with `before` and `after`: structs (time, values) of the right samples at or before, and at or after, its time. Right times should be unique in a system; of equal ones the greatest values count before, the smallest after.
 
-    left with `before` and `after`: structs (time, values) of the right samples at or before, and at or after, its time. Right times should be unique in a system; of equal ones the greatest values count before, the smallest after."""
+    With `ends` also the first two and the last two samples of the system: first, second, penultimate, last. Both
+    directions are running windows, one in ascending and one in descending time, so the cost follows the rows.
+    """
     sample = F.struct(F.col(time).alias("time"), *[F.col(v).alias(v) for v in values])
     r = right.where(F.col(time).isNotNull()).select(F.col(by).alias("__by"), F.col(time).alias("__time"), sample.alias("__sample"), F.floor(F.col(time) / bucket).alias("__bucket"))
     keep = F.struct(*[F.col(c) for c in left.columns])
     l = left.select(F.col(by).alias("__by"), F.col(time).alias("__time"), keep.alias("__row"), F.floor(F.col(time) / bucket).alias("__bucket"))  # noqa: E741
     edges = r.groupBy("__by", "__bucket").agg(F.min("__sample").alias("__first"), F.max("__sample").alias("__last"))
-    names = ["__first", "__last"]
-    if ends:  # the second smallest of a day is the least of those after another
-        day = Window.partitionBy("__by", "__bucket").orderBy("__sample")
-        second = r.select("__by", "__bucket", F.lead("__sample").over(day).alias("n"), F.lag("__sample").over(day).alias("p")).groupBy("__by", "__bucket").agg(F.min("n").alias("__second"), F.max("p").alias("__penultimate"))
-        edges, names = edges.join(second, ["__by", "__bucket"], "left"), [*names, "__second", "__penultimate"]
     edges = edges.unionByName(l.select("__by", "__bucket").distinct(), allowMissingColumns=True)
-    edges = edges.groupBy("__by", "__bucket").agg(*[F.max(c).alias(c) for c in names])
+    edges = edges.groupBy("__by", "__bucket").agg(F.max("__first").alias("__first"), F.max("__last").alias("__last"))
     w = Window.partitionBy("__by").orderBy("__bucket")
+    late = Window.partitionBy("__by").orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select(
+        "__by", "__bucket",
+        F.last("__last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__prior"),
+        F.last("__first", ignorenulls=True).over(late).alias("__next"),
+    )
     extra = []
     if ends:
-        whole = Window.partitionBy("__by")
-        edges = edges.withColumns({"first": F.min("__first").over(whole), "last": F.max("__last").over(whole)})
-        second, penultimate = F.when(F.col("__first") > F.col("first"), F.col("__first")).otherwise(F.col("__second")), F.when(F.col("__last") < F.col("last"), F.col("__last")).otherwise(F.col("__penultimate"))
-        edges = edges.withColumns({"second": F.min(second).over(whole), "penultimate": F.max(penultimate).over(whole)})
         extra = ["first", "second", "penultimate", "last"]
-    edges = edges.select(
-        "__by",
-        "__bucket",
-        *extra,
-        F.last("__last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__prior"),
-        F.first("__first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("__next"),
-    )
+        for two, names in ((_two(r, False), extra[:2]), (_two(r, True), extra[:1:-1])):
+            two = two.toDF("__of", *names)
+            edges = edges.join(two, edges["__by"].eqNullSafe(two["__of"]), "left").drop("__of")
     both = l.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy("__by", "__bucket").orderBy("__time")
-    both = both.withColumn("before", F.max("__sample").over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("after", F.min("__sample").over(w.rangeBetween(0, Window.unboundedFollowing)))
+    up, down = (Window.partitionBy("__by", "__bucket").orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("__time"), F.desc("__time")))
+    both = both.withColumn("before", F.max("__sample").over(up)).withColumn("after", F.min("__sample").over(down))
     # max and min of the structs are the latest and the earliest, as time comes first
     out = both.where("__row is not null").join(edges, (both["__by"].eqNullSafe(edges["__by"])) & (both["__bucket"].eqNullSafe(edges["__bucket"])), "left")
     return out.select("__row.*", F.coalesce("before", "__prior").alias("before"), F.coalesce("after", "__next").alias("after"), *extra)

@@ -298,3 +298,64 @@ def test_all_stages_in_one_plan(spark):
     assert [x["processing_status"] for x in r] == [5, 5, 5]
     assert r[1]["depthoffset"] == pytest.approx(30.0, abs=0.01) and r[1]["z"] == pytest.approx(30.1, abs=0.01)
     assert r[0]["depthoffset"] == pytest.approx(30.0 / 2**0.5, abs=0.05) and r[0]["y"] == pytest.approx(2 * r[1]["y"] - r[2]["y"], abs=0.2) and abs(r[0]["y"] - r[2]["y"]) == pytest.approx(2 * 30 / 2**0.5, rel=0.02)
+
+
+def test_two_sided_joins_and_fills_are_linear(spark):
+    """200 000 rows a side in one day of one system: frames that are computed anew for every row would take hours."""
+    import time
+
+    n = 200_000
+    a = spark.range(n).select(F.lit("s").alias("system"), (F.col("id") * 0.3).alias("time"), F.when(F.col("id") % 1000 == 7, F.col("id").cast("double")).otherwise(0.0).alias("value"))
+    q = spark.range(n).select(F.lit("s").alias("system"), (F.col("id") * 0.3 + 0.1).alias("time"))
+    began = time.time()
+    r = timejoin.interpolate(q, a, ["value"]).agg(F.count("value_at"), F.sum("value_at")).first()
+    assert r[0] == n and r[1] > 0
+    near = timejoin.nearest(q, a, ["value"]).agg(F.sum("value_near")).first()[0]
+    assert near == sum(range(7, n, 1000))
+    f = series.fill(a, "value").agg(F.min("value"), F.sum("value")).first()
+    assert f[0] == 7.0 and f[1] == 7 * 1007 + sum(k * 1000 for k in range(1007, n - 993, 1000)) + (n - 993) * 993
+    assert time.time() - began < 60
+
+
+def test_series_of_a_null_system(spark):
+    day = 86_400.0
+    rows = [(None, 10.0, 5.0), (None, day + 10, 0.0), (None, day + 20, 7.0), ("a", 10.0, 0.0), ("a", day + 5, 3.0)]
+    s = spark.createDataFrame(rows, "system string, time double, value double")
+    assert sorted((r["system"] or "", r["time"], r["value"]) for r in series.fill(s, "value").collect()) == [("", 10.0, 5.0), ("", day + 10, 5.0), ("", day + 20, 7.0), ("a", 10.0, 3.0), ("a", day + 5, 3.0)]
+    assert sorted((r["system"] or "", r["__k"]) for r in series.numbered(s).collect()) == [("", 0), ("", 1), ("", 2), ("a", 0), ("a", 1)]
+    got = {(r["system"], r["time"]): r["value_at"] for r in timejoin.interpolate(s.select("system", "time"), s, ["value"]).collect()}
+    assert got == {(a, b): c for a, b, c in rows}
+
+
+def test_first_and_last_two_samples_beyond_the_ends(spark):
+    day = 86_400.0
+    s = spark.createDataFrame([("a", 0.0, 0.0), ("a", 3 * day, 3.0), ("a", 3 * day + 10, 13.0), ("b", 5.0, 8.0)], "system string, time double, value double")
+    q = spark.createDataFrame([("a", -day), ("a", 4 * day), ("b", -day), ("b", 9 * day), ("c", 1.0)], "system string, time double")
+    got = {(r["system"], r["time"]): r["value_at"] for r in timejoin.interpolate(q, s, ["value"]).collect()}
+    assert got == {("a", -day): -1.0, ("a", 4 * day): 3.0 + day, ("b", -day): 8.0, ("b", 9 * day): 8.0, ("c", 1.0): None}
+
+
+def test_upsert_keeps_null_and_escaped_partitions(spark, tmp_path):
+    import os
+
+    path, schema = f"{tmp_path}/t", "k int, part string, v int"
+    put = lambda rows: upsert.upsert(spark, path, spark.createDataFrame(rows, schema), ["k"], "part")
+    rows = lambda: sorted((tuple(r) for r in upsert.read_partitioned(spark, path, "part", spark.createDataFrame([], schema).schema["part"].dataType).select("k", "part", "v").collect()), key=repr)
+    put([(1, None, 1), (2, None, 1), (3, None, 1), (4, "a:b c/1", 1), (5, "007", 1), (None, "n", 1), (None, "n", 2)])
+    assert rows() == [(1, None, 1), (2, None, 1), (3, None, 1), (4, "a:b c/1", 1), (5, "007", 1), (None, "n", 2)]
+    put([(1, None, 9), (6, "", 3)])  # an empty name is null
+    assert rows() == [(1, None, 9), (2, None, 1), (3, None, 1), (4, "a:b c/1", 1), (5, "007", 1), (6, None, 3), (None, "n", 2)]
+    put([(4, "x=%/é", 5), (5, "07", 6), (None, "m", 7)])  # every key of three partitions moves
+    assert rows() == [(1, None, 9), (2, None, 1), (3, None, 1), (4, "x=%/é", 5), (5, "07", 6), (6, None, 3), (None, "m", 7)]
+    put([(k, "all", 0) for k in (1, 2, 3, 6)])  # the null partition empties
+    assert rows() == [(1, "all", 0), (2, "all", 0), (3, "all", 0), (4, "x=%/é", 5), (5, "07", 6), (6, "all", 0), (None, "m", 7)]
+    assert not os.path.exists(path + "__stage")
+
+
+def test_upsert_of_dated_partitions(spark, tmp_path):
+    path, schema = f"{tmp_path}/t", "k int, at timestamp, v int"
+    put = lambda rows: upsert.upsert(spark, path, spark.createDataFrame(rows, "k int, at string, v int").selectExpr("k", "cast(at as timestamp) as at", "v"), ["k"], "at")
+    put([(1, "2024-01-01 10:00:00.5", 1), (2, "2024-01-01 10:00:00.5", 1), (3, "2024-02-01 00:00:00", 1)])
+    put([(3, "2024-01-01 10:00:00.5", 2), (4, None, 2)])
+    got = sorted((r["k"], str(r["at"]), r["v"]) for r in upsert.read_partitioned(spark, path, "at", spark.createDataFrame([], schema).schema["at"].dataType).collect())
+    assert got == [(1, "2024-01-01 10:00:00.500000", 1), (2, "2024-01-01 10:00:00.500000", 1), (3, "2024-01-01 10:00:00.500000", 2), (4, "None", 2)]
