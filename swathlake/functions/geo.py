@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
@@ -96,6 +96,53 @@ def geodesic_forward(lat: Column, lon: Column, azimuth_deg: Column, distance: Co
     return F.aggregate(F.sequence(F.lit(1), F.lit(4)), state, step, finish)
 
 
+def along_geodesic(df: DataFrame, lat: Column, lon: Column, azimuth_deg: Column, distance: Column, to: tuple[str, str]) -> DataFrame:
+    """df with the position that geodesic_forward() gives, in columns of these names. Steps are columns of their own, so each is generated code and nothing is worked out twice."""
+    c, last = F.col, df.columns
+    x = df.withColumns({"__u": F.atan(F.tan(F.radians(lat)) * (1 - FLAT)), "__az": F.radians(azimuth_deg), "__d": distance, "__lon": F.radians(lon)})
+    x = x.withColumns({"__su": F.sin("__u"), "__cu": F.cos("__u"), "__sz": F.sin("__az"), "__cz": F.cos("__az")})
+    x = x.withColumns({"__s1": F.atan2(F.tan("__u"), c("__cz")), "__sa": c("__cu") * c("__sz")})
+    x = x.withColumn("__c2", 1 - c("__sa") * c("__sa"))
+    a, b = _series(c("__c2"))
+    x = x.withColumns({"__base": c("__d") / (B * a), "__b": b, "__k": c("__c2") * (FLAT / 16) * (4 + FLAT * (4 - 3 * c("__c2")))})
+    x = x.withColumn("__sg", c("__base"))
+    for _ in range(4):
+        x = x.withColumns({"__m": F.cos(2 * c("__s1") + c("__sg")), "__s": F.sin("__sg"), "__c": F.cos("__sg")})
+        m, s, k = c("__m"), c("__s"), c("__c")
+        x = x.withColumn("__sg", c("__base") + c("__b") * s * (m + c("__b") / 4 * (k * (2 * m * m - 1) - c("__b") / 6 * m * (4 * s * s - 3) * (4 * m * m - 3))))
+    x = x.withColumns({"__m": F.cos(2 * c("__s1") + c("__sg")), "__s": F.sin("__sg"), "__c": F.cos("__sg")})
+    s, k, su, cu = c("__s"), c("__c"), c("__su"), c("__cu")
+    phi = F.atan2(su * k + cu * s * c("__cz"), (1 - FLAT) * F.sqrt(c("__sa") * c("__sa") + F.pow(su * s - cu * k * c("__cz"), 2)))
+    lam = F.atan2(s * c("__sz"), cu * k - su * s * c("__cz"))
+    turn = lam - (1 - c("__k")) * FLAT * c("__sa") * (c("__sg") + c("__k") * s * (c("__m") + c("__k") * k * (2 * c("__m") * c("__m") - 1)))
+    return x.select(*last, F.degrees(phi).alias(to[0]), F.degrees(c("__lon") + turn).alias(to[1]))
+
+
+def in_utm(df: DataFrame, lat: Column, lon: Column, zone: int | Column, south: bool | Column, to: tuple[str, str]) -> DataFrame:
+    """df with the coordinates that utm() gives, in columns of these names; steps as in along_geodesic()."""
+    c, last = F.col, df.columns
+    n = FLAT / (2 - FLAT)
+    radius, e = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64 + n**6 / 256), 2 * math.sqrt(n) / (1 + n)
+    atanh = lambda v: F.log((1 + v) / (1 - v)) / 2
+    x = df.withColumns({"__sp": F.sin(F.radians(lat)), "__dl": F.radians(lon - (zone * 6 - 183))})
+    x = x.withColumn("__t", F.sinh(atanh(c("__sp")) - e * atanh(e * c("__sp"))))
+    x = x.withColumns({"__xi": F.atan2(c("__t"), F.cos("__dl")), "__q": F.sin("__dl") / F.sqrt(1 + c("__t") * c("__t"))})
+    x = x.withColumn("__eta", atanh(c("__q")))
+    # multiples of the angles from the first: sin and cos, sinh and cosh of sums
+    x = x.withColumns({"__s2": F.sin(2 * c("__xi")), "__c2": F.cos(2 * c("__xi")), "__sh2": F.sinh(2 * c("__eta")), "__ch2": F.cosh(2 * c("__eta"))})
+    east, north = c("__eta"), c("__xi")
+    for j, a in enumerate(series_of_utm(n), 1):
+        if j > 1:
+            p = 2 * (j - 1)
+            x = x.withColumns({
+                f"__s{2 * j}": c(f"__s{p}") * c("__c2") + c(f"__c{p}") * c("__s2"), f"__c{2 * j}": c(f"__c{p}") * c("__c2") - c(f"__s{p}") * c("__s2"),
+                f"__sh{2 * j}": c(f"__sh{p}") * c("__ch2") + c(f"__ch{p}") * c("__sh2"), f"__ch{2 * j}": c(f"__ch{p}") * c("__ch2") + c(f"__sh{p}") * c("__sh2"),
+            })
+        east, north = east + a * c(f"__c{2 * j}") * c(f"__sh{2 * j}"), north + a * c(f"__s{2 * j}") * c(f"__ch{2 * j}")
+    shift = F.when(south, 10000000.0).otherwise(0.0) if isinstance(south, Column) else F.lit(10000000.0 if south else 0.0)
+    return x.select(*last, (500000.0 + 0.9996 * radius * east).alias(to[0]), (shift + 0.9996 * radius * north).alias(to[1]))
+
+
 def series_of_utm(n: float) -> list[float]:
     """Coefficients of the forward series, from the third flattening."""
     return [
@@ -137,6 +184,21 @@ def geohash(lat: Column, lon: Column, precision: int = 7) -> Column:
     return F.when(lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon), q)
 
 
+def with_geohash(df: DataFrame, lat: str, lon: str, precision: int, name: str, blank: str | None = None) -> DataFrame:
+    """df with the hash of two columns, or `blank` where one is null or NaN; cells are columns of their own, so that all of it is generated code."""
+    bits = 5 * precision
+    n_lon, n_lat = (bits + 1) // 2, bits // 2
+    cell = lambda x, low, span, n: F.least(F.greatest(F.floor((F.col(x) - low) / span * float(1 << n)), F.lit(0)), F.lit((1 << n) - 1)).cast("long")
+    ok = F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
+    x = df.withColumns({"__a": F.when(ok, cell(lon, -180.0, 360.0, n_lon)), "__b": F.when(ok, cell(lat, -90.0, 180.0, n_lat))})
+    return x.withColumn(name, F.when(F.col("__a").isNotNull(), _hash_text(F.col("__a"), F.col("__b"), precision, n_lon, n_lat)).otherwise(F.lit(blank))).drop("__a", "__b")
+
+
+def apart(df: DataFrame, *columns: str) -> DataFrame:
+    """df unchanged, with a step that generated code does not span: methods stay small enough for the virtual machine to compile them."""
+    return df.withColumns({c: F.transform(F.array(c), lambda v: v)[0] for c in columns})
+
+
 def _hash_text(a: Column, b: Column, precision: int, n_lon: int, n_lat: int) -> Column:
     letters = []
     for k in range(precision):

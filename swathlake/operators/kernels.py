@@ -276,11 +276,14 @@ def georeference(soundings: DataFrame, zone: int | Column, south: bool | Column
     far = F.sqrt(along * along + across * across)
     tide = F.col("tide") if "tide" in soundings.columns else F.lit(0.0)
     z = vertical(reference, F.col("depthoffset").cast("double") + z_offset, F.col("altitude").cast("double"), F.col("heave").cast("double"), _column(waterline), tide)
-    x = soundings.withColumn("__p", geo.geodesic_forward(F.col("latitude"), F.col("longitude"), azimuth, far))
-    x = x.withColumn("__u", geo.utm(F.col("__p.lat"), F.col("__p.lon"), zone, south))
-    ok = F.col("__u.x").isNotNull() & ~F.isnan("__u.x") & (F.abs("__u.x") < 1e9)
-    x = x.withColumns({n: F.when(ok, c) for n, c in (("x", F.bround("__u.x", 3)), ("y", F.bround("__u.y", 3)), ("z", F.bround(z.cast("float").cast("double"), 3).cast("float")))})
-    return x.withColumns({"geohash": F.when(ok, geo.geohash(F.col("__p.lat"), F.col("__p.lon"), 7)).otherwise(F.lit("       ")), "processing_status": F.lit(4).cast("smallint")}).drop("__p", "__u")
+    x = soundings.withColumns({"__to": azimuth, "__far": far, "__z": z})
+    x = geo.along_geodesic(x, F.col("latitude"), F.col("longitude"), F.col("__to"), F.col("__far"), ("__lat", "__long"))
+    x = geo.in_utm(geo.apart(x, "__lat", "__long"), F.col("__lat"), F.col("__long"), zone, south, ("__x", "__y"))
+    ok = F.col("__x").isNotNull() & ~F.isnan("__x") & (F.abs("__x") < 1e9)
+    x = x.withColumns({n: F.when(ok, c) for n, c in (("x", F.bround("__x", 3)), ("y", F.bround("__y", 3)), ("z", F.bround(F.col("__z").cast("float").cast("double"), 3).cast("float")))})
+    x = geo.with_geohash(geo.apart(x, "__x"), "__lat", "__long", 7, "geohash")
+    x = x.withColumns({"geohash": F.when(ok, F.col("geohash")).otherwise(F.lit("       ")), "processing_status": F.lit(4).cast("smallint")})
+    return x.drop("__to", "__far", "__z", "__lat", "__long", "__x", "__y")
 
 
 # --- uncertainty
