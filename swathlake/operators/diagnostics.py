@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import series
+from .tables import kept
 
 
 def wobble_data(soundings: DataFrame, attitude_at_ping: DataFrame, max_period: float, step: float, inner_deg: float = 45.0, most_deviation: float | None = None, taps: int = 101) -> DataFrame:
@@ -62,16 +62,6 @@ def _first_sine(p):
     return pd.DataFrame({"k": [p["k"].iloc[0]], "t0": [t0], "w": [w], "a": [a], "b": [b], "c": [c]}).astype({n: float for n in ("w", "a", "b", "c")})
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df checkpointed in the session's folder, or one of its own on a single machine that has none set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
 def fit_sine(df: DataFrame, column: str, by: str = "system", time: str = "time") -> DataFrame:
     """(by, amplitude, frequency, phase, offset) of the sine that fits a series best; all but the offset null for eight samples or fewer. Null times and values count for nothing.
 
@@ -82,11 +72,11 @@ def fit_sine(df: DataFrame, column: str, by: str = "system", time: str = "time")
 
     kind = df.schema[by].dataType.simpleString()
     x = df.select(F.col(by).alias("k"), F.col(time).cast("double").alias("t"), F.col(column).cast("double").alias("v")).where("k is not null and t is not null and v is not null")
-    x = _kept(series.numbered(x, "k", "t"))  # the stages read it again and again
+    x = kept(series.numbered(x, "k", "t"))  # the stages read it again and again
     most = x.agg(F.max("__k")).first()[0]
     if most is None:
         return x.select(F.col("k").alias(by), *[F.lit(None).cast("double").alias(n) for n in ("amplitude", "frequency", "phase", "offset")])
-    fits = _kept(x.where(F.col("__k") < FIRST).select("k", "t", "v").groupBy("k").applyInPandas(_first_sine, f"k {kind}, t0 double, w double, a double, b double, c double"))
+    fits = kept(x.where(F.col("__k") < FIRST).select("k", "t", "v").groupBy("k").applyInPandas(_first_sine, f"k {kind}, t0 double, w double, a double, b double, c double"))
 
     def corrected(p: pd.DataFrame) -> pd.DataFrame:
         out = p[["k", "t0", "w", "a", "b", "c"]].copy()
@@ -111,7 +101,7 @@ def fit_sine(df: DataFrame, column: str, by: str = "system", time: str = "time")
                 F.array(*[F.sum(F.col(f"d{i}") * F.col(f"d{j}")) for i in range(4) for j in range(i, 4)]).alias("m"), F.array(*[F.sum(F.col(f"d{i}") * F.col("left")) for i in range(4)]).alias("y"),
             )
             new = sums.mapInPandas(lambda batches: map(corrected, batches), f"k {kind}, t0 double, w double, a double, b double, c double")
-            fits = _kept(new.unionByName(fits.where("w is null")))
+            fits = kept(new.unionByName(fits.where("w is null")))
         if span > most:
             break
         span *= FACTOR

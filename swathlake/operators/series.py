@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import nearest
 from .timejoin import BUCKET, neighbours
 
 #: Rows of a block.
@@ -310,7 +311,11 @@ def _nearest_in_distance(means: DataFrame, casts: DataFrame, keys: list[str]) ->
         cells = left.withColumn("__cell", F.explode(around))
         met = _met(cells, casts.withColumn("__cell", F.struct(y("lat").alias("y"), x("lon").alias("x"))), keys, ["__cell"])
         safe = 6371.0 * F.least(F.lit(math.radians(s)), F.asin(F.cos(F.radians("lat")) * math.sin(math.radians(s))))
-        met = left.join(met, keys).withColumn("__safe", F.coalesce(F.col("near.km") <= safe * (1 - 1e-9), F.lit(False)))
+        met = met.toDF(*[f"__m_{c}" for c in keys], "near")
+        same = F.lit(True)
+        for c in keys:  # keys may be null
+            same = same & left[c].eqNullSafe(met[f"__m_{c}"])
+        met = left.join(met, same).drop(*[f"__m_{c}" for c in keys]).withColumn("__safe", F.coalesce(F.col("near.km") <= safe * (1 - 1e-9), F.lit(False)))
         done = met.where("__safe").select(*keys, F.col("near.id").alias("cast_id"))
         out = done if out is None else out.unionByName(done)
         left = met.where(~F.col("__safe")).drop("near", "__safe")
@@ -319,16 +324,31 @@ def _nearest_in_distance(means: DataFrame, casts: DataFrame, keys: list[str]) ->
 
 
 def nearest_cast(chunk_means: DataFrame, casts: DataFrame, method: str = "nearest_in_time", hours: float = 4.0) -> DataFrame:
-    """Each chunk (time, lat, lon and its keys) with the id of its cast: the nearest in time or distance, in all or within some hours of the chunk; null where there is none, ties to the smaller id. No chunk meets all casts but one that has none for thousands of kilometres."""
+    """Each chunk (time, lat, lon and its keys) with the id of its cast: the nearest in time or distance, in all or within some hours of the chunk; ties to the smaller id. Null where there is none, or where the chunk has no time or position.
+
+    For distances, casts go to every task as a tree as long as they are few enough, and chunks are not moved; more of
+    them meet by cells of the earth, one size after another, or by time slots.
+    """
     keys = chunk_means.columns
     if "time" in method:
         return _nearest_in_time(chunk_means, casts, keys, hours if "fourhours" in method else None)
-    if "fourhours" not in method:
-        return _nearest_in_distance(chunk_means, casts, keys)
-    span = hours * 3600
-    x = chunk_means.withColumn("__slot", F.explode(F.array(*[F.floor(F.col("time") / span) + d for d in (-1, 0, 1)])))
-    met = _met(x, casts.withColumn("__slot", F.floor(F.col("cast_time") / span)), keys, ["__slot"], lambda: F.abs(F.col("time") - F.col("cast_time")) <= span)
-    return met.select(*keys, F.col("near.id").alias("cast_id"))
+    span, kind = hours * 3600, casts.schema["cast_id"].dataType.simpleString()
+    within = "fourhours" in method
+    few = nearest.held(casts, ["cast_id", "lat", "lon", "cast_time"] if within else ["cast_id", "lat", "lon"])
+    if few is not None:
+        return nearest.in_space_and_time(chunk_means, few, span, kind, "cast_id") if within else nearest.in_space(chunk_means, few, kind, "cast_id")
+    casts = casts.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    # chunks without a time or position meet nothing, but stay
+    known = F.col("lat").isNotNull() & F.col("lon").isNotNull() & (F.col("time").isNotNull() if within else F.lit(True))
+    rest = chunk_means.where(~known).withColumn("cast_id", F.lit(None).cast(kind))
+    x = chunk_means.where(known)
+    if not within:
+        found = _nearest_in_distance(x, casts, keys)
+    else:
+        x = x.withColumn("__slot", F.explode(F.array(*[F.floor(F.col("time") / span) + d for d in (-1, 0, 1)])))
+        met = _met(x, casts.withColumn("__slot", F.floor(F.col("cast_time") / span)), keys, ["__slot"], lambda: F.abs(F.col("time") - F.col("cast_time")) <= span)
+        found = met.select(*keys, F.col("near.id").alias("cast_id"))
+    return found.select(*keys, "cast_id").unionByName(rest)
 
 
 def zero_centred(df: DataFrame, column: str) -> DataFrame:
