@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .shared import slices, written
 
-#: Levels of nested elements that are told apart; deeper ones belong to the last of these.
-DEPTH = 150
+#: Levels of nested elements that are told apart; deeper ones belong to the last of these. Open elements that are kept count of, one by one.
+DEPTH, OPEN = 150, 512
 #: Kinds of children of one element that a wrapper tells apart; beyond them elements count by tag alone.
 MOST_KINDS = 200
 #: Bytes of all wrappers up to which they are broadcast; beyond it pages and wrappers are joined by host.
@@ -43,7 +43,8 @@ WATCHED = 16
 #: Parts into which the pages of a host with more than a thousandth of all pages are dealt in the join.
 SALT = 64
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
+#: A tag ends at its bracket, and is text where another one opens before that outside quotes: so no character is read for more than a few tags.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]*"|'[^']*')*+)>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 DIGITS = re.compile(r"\d{3,}")
 
@@ -56,6 +57,8 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 ASIDE_TAGS = {"nav", "footer", "aside", "form", "script", "style", "noscript", "template", "button", "select", "option", "textarea", "iframe", "svg", "head", "title", "dialog", "menu", "object", "canvas", "audio", "video", "xmp", "noembed", "noframes", "input"}
 ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Blocks whose text is one: if some of it is the page's own, all of it is.
+SAID = HEADINGS | {"p", "li", "blockquote", "dd", "dt", "td", "th", "pre", "figcaption"}
 #: Blocks that hold parts rather than a text of their own: only these are judged as a group.
 GROUPS = {"div", "section", "ul", "ol", "dl", "table", "tbody", "tr", "header", "fieldset", "center", "details", "figure"}
 #: Hints: words of class names and ids that often name lesser parts, and the article.
@@ -73,7 +76,7 @@ class Node:
 def parse(page: str) -> Node:
     """Lenient tree of a page: elements and raw text; comments and declarations are left out, unclosed elements end with their parent. Elements below DEPTH give their content to the last one above it, except those that hold no article text."""
     root = Node("", "")
-    stack, at, size, is_open = [root], 0, len(page), Counter()
+    stack, at, size, is_open, beyond = [root], 0, len(page), Counter(), Counter()
 
     def close(k: int) -> None:
         for x in stack[k:]:
@@ -89,7 +92,9 @@ def parse(page: str) -> Node:
         if tag:
             tag = tag.lower()
             if m[1]:
-                if is_open[tag]:
+                if beyond[tag]:
+                    beyond[tag] -= 1
+                elif is_open[tag]:
                     k = len(stack) - 1
                     while stack[k].tag != tag:
                         k -= 1
@@ -99,7 +104,7 @@ def parse(page: str) -> Node:
             else:
                 if tag in CLOSES:
                     ends, scope = CLOSES[tag]
-                    for k in range(len(stack) - 1, 0, -1):
+                    for k in range(len(stack) - 1, 0, -1) if any(is_open[e] for e in ends) else ():
                         if stack[k].tag in scope:
                             break
                         if stack[k].tag in ends:
@@ -122,13 +127,16 @@ def parse(page: str) -> Node:
                     if kind(node.key)[0] != "aside":
                         node.kids = stack[-1].kids
                 if tag in RAW:
-                    end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
+                    end = re.compile(rf"</{tag}\b[^<>]*+>", re.IGNORECASE).search(page, at)
                     if len(stack) < DEPTH:
                         node.kids.append(page[at : end.start() if end else size])
                     at = end.end() if end else size
                 elif tag not in VOID and not m[3].endswith("/"):
-                    stack.append(node)
-                    is_open[tag] += 1
+                    if len(stack) < OPEN or len(stack) == OPEN and kind(node.key)[0] == "aside":
+                        stack.append(node)
+                        is_open[tag] += 1
+                    else:
+                        beyond[tag] += 1
         m = TOKEN.search(page, at)
     if at < size:
         stack[-1].kids.append(page[at:])
@@ -398,24 +406,68 @@ def _part(p: Part, key: str) -> Part | None:
     return p.kids.get(key) or p.kids.get(key.partition("|")[0])
 
 
+_GAP = Node("", "gap")
+
+
+class _Block:
+    """A block of the article: its tag, its texts and whether each is the template's; or a gap, where a lesser part was left out."""
+
+    __slots__ = ("tag", "texts", "gap")
+
+    def __init__(self, tag: str = "", gap: bool = False):
+        self.tag, self.texts, self.gap = tag, [], gap
+
+    def own(self) -> bool:
+        return any(not fixed and not t.isspace() for t, fixed in self.texts)
+
+
+def _kept(blocks: list[_Block]) -> list[list[str]]:
+    """The texts of the blocks that are the article's. Of a paragraph or heading with text of its own all stays; one that is all the template's stays between blocks that stay: a paragraph right between two, a heading right before one and after any."""
+    blocks = [b for b in blocks if b.gap or any(not t.isspace() for t, _ in b.texts)]
+    own, out, any_before, k = [not b.gap and b.own() for b in blocks], [], False, 0
+    while k < len(blocks):
+        b = blocks[k]
+        if own[k]:
+            out.append([t for t, fixed in b.texts if not fixed or b.tag in SAID])
+            any_before = True
+        elif not b.gap and (b.tag in HEADINGS or b.tag == "p"):
+            end = k
+            while end < len(blocks) and not own[end] and not blocks[end].gap and (blocks[end].tag in HEADINGS or blocks[end].tag == "p"):
+                end += 1
+            if end < len(blocks) and own[end] and any_before:
+                first = k
+                if not own[k - 1]:  # a gap, or something left out, stands before: only the headings right before the text stay
+                    first = end
+                    while first > k and blocks[first - 1].tag in HEADINGS:
+                        first -= 1
+                out += [[t for t, _ in x.texts] for x in blocks[first:end]]
+            k = end
+            continue
+        k += 1
+    return out
+
+
 def extract(page: str, wrapper: Part | None = None) -> str:
     """The main text of a page, as its host's wrapper says; without one the page is its own."""
     if wrapper is None:
         wrapper = parts(lift(page))
     nodes, whole = _article(parse(page), wrapper)
     article = whole.says == "main" or whole.hint == "main"
-    blocks: list[list[str]] = [[]]
+    blocks = [_Block()]
     todo: list = [(n, whole) for n in reversed(nodes)]
     while todo:
         node, p = todo.pop()
         if isinstance(node, str):
             if not node:
-                blocks.append([])
-            elif not (p is not None and p.fixed and _told(node) in p.fixed):
-                blocks[-1].append(node)
+                blocks.append(_Block())
+            else:
+                blocks[-1].texts.append((node, p is not None and bool(p.fixed) and _told(node) in p.fixed))
+            continue
+        if node is _GAP:
+            blocks += [_Block(gap=True), _Block()]
             continue
         if node.tag in BLOCK:
-            blocks.append([])
+            blocks.append(_Block(node.tag))
             todo.append(("", None))
         for k in reversed(node.kids):
             if isinstance(k, str):
@@ -427,7 +479,9 @@ def extract(page: str, wrapper: Part | None = None) -> str:
                 below = _part(p, k.key) if p is not None else None
                 if not (_lesser(below, whole, article) if below is not None else kind(k.key)[0] == "aside"):
                     todo.append((k, below))
-    texts = (" ".join(entities.unescape("".join(b)).split()) for b in blocks if b)
+                elif k.tag in BLOCK:
+                    todo.append((_GAP, None))
+    texts = (" ".join(entities.unescape("".join(b)).split()) for b in _kept(blocks))
     return " ".join(t for t in texts if t)
 
 

@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from swathlake.llm import wrappers as W
 
 
@@ -137,3 +139,37 @@ def test_join_by_host_gives_the_same(spark, monkeypatch):
     a = sorted(map(tuple, W.extract_pages(df).collect()))
     monkeypatch.setattr(W, "BROADCAST_BYTES", 0)
     assert sorted(map(tuple, W.extract_pages(df).collect())) == a
+
+
+def _three(body):
+    return [f"<html><body><nav><a href=/>Home</a></nav><article>{body(i)}</article><footer>Foot of all</footer></body></html>" for i in range(3)]
+
+
+def test_headings_and_paragraphs_that_pages_share_stay_between_their_text():
+    long = lambda i, k: f"Part {k} of page number {i} goes on. " * 9
+
+    pages = _three(lambda i: f"<h1>About {i}</h1><p>{long(i, 1)}</p><h2>Conclusion</h2><h3>In short</h3><div><span>The price is</span> <b>{i} dollars</b></div><section><p>{long(i, 2)}</p></section><h2>Related</h2><nav><a href=/{i}>x</a></nav><h4>End matter</h4>")
+    w = W.parts(W.infer(pages))
+    texts = [W.extract(p, w) for p in pages]
+    for i, t in enumerate(texts):
+        assert t.startswith(f"About {i} Part 1") and "Conclusion In short" in t and f"{i} dollars" in t and "Part 2" in t
+        assert "Related" not in t and "End matter" not in t and "Home" not in t and "Foot" not in t
+    # a page alone keeps every heading
+    assert "Conclusion" in W.extract(pages[0])
+
+
+@pytest.mark.parametrize("start", ["<a ", '<a "', "<a '", "<! ", "<!--", "<b>", "<dt></dt>", '<a <a "x', "</script ", "<ul><li>", "<b><dt></dt>"])
+def test_unclosed_tags_take_time_in_proportion(start):
+    import time
+
+    page = (start * (1_000_000 // len(start) + 1))[:1_000_000]
+    for p in (page, "<script>" + page, page + ">", "<b>" * 600 + page, page + '">' + "<p>the end</p>"):
+        began = time.process_time()
+        W.extract(p)
+        assert time.process_time() - began < 30
+
+
+def test_deep_elements_close_as_they_open():
+    page = "<article><p>first " + "<b>" * 2000 + "deep" + "</b>" * 2000 + " same</p><p>second</p></article>"
+    assert W.extract(page) == "first deep same second"
+    assert W.extract('<article><p title="a > b < c" id=\'x"y\'>text <i a=1 b>more</i></p><p>1 < 2 and 3 > 2</p></article>') == "text more 1 < 2 and 3 > 2"
