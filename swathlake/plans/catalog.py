@@ -1,8 +1,8 @@
 """All queries of the engine's own operators."""
 
-from . import control_queries, dataset_queries, function_queries, kernel_queries, project_queries, series_queries, sounding_queries, stage_queries, surface_queries
+from . import control_queries, dataset_queries, function_queries, kernel_queries, patch_queries, project_queries, series_queries, sounding_queries, stage_queries, surface_queries
 
-MODULES = (control_queries, dataset_queries, function_queries, kernel_queries, project_queries, series_queries, sounding_queries, stage_queries, surface_queries)
+MODULES = (control_queries, dataset_queries, function_queries, kernel_queries, patch_queries, project_queries, series_queries, sounding_queries, stage_queries, surface_queries)
 
 
 def queries() -> dict:

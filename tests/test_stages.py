@@ -111,3 +111,24 @@ def test_settings_by_row_equal_settings_of_each_dataset(spark):
         fixed = {k: v for k, v in row.asDict().items() if k not in ("dataset", "time")}
         own += map(tuple, Q._placed(kernels.processed(s.where(F.col("dataset") == row["dataset"]), att, casts, fixed)).collect())
     assert sorted(own) == whole
+
+
+def test_patch_test_finds_planted_errors(spark):
+    from swathlake.operators import patch
+    from swathlake.plans import patch_queries as P
+
+    s = P.soundings(spark, SF)
+    rows = patch.adjusted(s, P.attitude(spark), P.casts(spark), P._settings({}), 5.0, tuple(P.PLANTED))
+    last = {r["parameter"]: r for r in rows if r["iteration"] == 3}
+    assert len(rows) == 9 and all(abs(last[k]["value"] - v) < 0.05 for k, v in P.PLANTED.items())
+    assert last["roll"]["reliability"] > 0.98 and all(r["variance"] < 1e-3 for r in last.values())
+    alone = patch.adjusted(s.where("side = 'a'"), P.attitude(spark), P.casts(spark), P._settings({}), 5.0, ("roll",), 1)
+    assert alone[0]["adjustment"] == 0.0 and alone[0]["cells"] == 0
+
+
+def test_segments(spark):
+    from swathlake.operators import patch
+
+    s = spark.createDataFrame([("a", float(t)) for t in range(10)] + [("b", 5.0)], "system string, time double")
+    spans = spark.createDataFrame([("a", 1.0, 3.0, "x"), ("a", 7.0, 8.0, "y")], "system string, start double, end double, line string")
+    assert sorted(map(tuple, patch.segments(s, spans).collect())) == [("a", 1.0, "x"), ("a", 2.0, "x"), ("a", 3.0, "x"), ("a", 7.0, "y"), ("a", 8.0, "y")]
