@@ -159,11 +159,13 @@ def dataset_key(files: DataFrame) -> DataFrame:
 
 
 def grouped_files(files: DataFrame, datasets: DataFrame) -> DataFrame:
-    """files with the dataset of their serial number and day of the year, or else the key of a new one, and whether it is new."""
-    day = lambda t: F.date_format(F.timestamp_seconds(F.floor(t)), "yyyy-DDD")
-    known = datasets.groupBy(F.col("serial"), day("start").alias("day")).agg(F.min("name").alias("known"))
-    x = dataset_key(files).withColumn("day", day("start")).join(known, ["serial", "day"], "left")
-    return x.withColumn("new", F.col("known").isNull()).withColumn("dataset", F.coalesce("known", "dataset")).drop("known", "day")
+    """files with the dataset of their serial numbers (serial, and serial2 of a second head, 0 if there is no such column) and day of the year, or else the key of a new one, and whether it is new."""
+    day = lambda t: F.date_format(F.timestamp_seconds(F.floor(t)), "DDD")
+    both = lambda x: x if "serial2" in x.columns else x.withColumn("serial2", F.lit(0))
+    known = both(datasets).groupBy("serial", "serial2", day("start").alias("day")).agg(F.min("name").alias("known"))
+    x = both(dataset_key(files)).withColumn("day", day("start")).join(known, ["serial", "serial2", "day"], "left")
+    x = x.withColumn("new", F.col("known").isNull()).withColumn("dataset", F.coalesce("known", "dataset")).drop("known", "day")
+    return x if "serial2" in files.columns else x.drop("serial2")
 
 
 def new_files(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -172,27 +174,62 @@ def new_files(found: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def casts_to_import(casts: DataFrame, held: DataFrame, datasets: DataFrame) -> DataFrame:
-    """(dataset, cast): casts of a dataset's days that it doesn't hold yet, by their content."""
-    return casts.join(datasets.select("dataset", "day").distinct(), "day").join(held.select("dataset", "digest").distinct(), ["dataset", "digest"], "left_anti").select("dataset", "cast").distinct()
+    """(dataset, cast): every cast (digest, cast) whose content a dataset doesn't hold (dataset, digest), whatever its day. Datasets that hold all casts are told by counts; only what others lack is written out."""
+    known = casts.select("digest", "cast").distinct()
+    one = known.agg(F.countDistinct("digest").alias("n"), F.collect_set("digest").alias("all"))  # a project's casts, once
+    have = held.select("dataset", "digest").distinct().join(known.select("digest").distinct(), "digest", "left_semi")
+    own = datasets.select("dataset").distinct().join(have, "dataset", "left").groupBy("dataset").agg(F.collect_set("digest").alias("own"))
+    x = own.join(F.broadcast(one), F.lit(True)).where(F.size("own") < F.col("n"))
+    return x.select("dataset", F.explode(F.array_except("all", "own")).alias("digest")).join(known, "digest").select("dataset", "cast").distinct()
 
 
-def imported_casts(held: DataFrame, new: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Casts after an import (an identical cast replaces the older), and (dataset, status) of datasets that must be ray traced again because a cast that they use is new."""
+def imported_casts(held: DataFrame, new: DataFrame, used: DataFrame, datasets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Casts after an import (an identical cast replaces the older), and (dataset, status) of datasets that must be ray traced again.
+
+    These are the ones that use a cast that came in, be it new or in place of an identical one, and had been traced: their
+    status of 3 or more becomes 2. datasets: dataset, status; without it all have been traced.
+    """
     old = held.select("dataset", "digest", "cast", F.lit(0).alias("age"))
     both = old.unionByName(new.select("dataset", "digest", "cast", F.lit(1).alias("age")))
     after = both.groupBy("dataset", "digest").agg(F.max_by("cast", F.struct("age", "cast")).alias("cast"))
-    fresh = new.join(held.select("dataset", "digest").distinct(), ["dataset", "digest"], "left_anti")
+    fresh = new.join(held.select("dataset", "cast").distinct(), ["dataset", "cast"], "left_anti")
     again = fresh.join(used.select("dataset", "cast").distinct(), ["dataset", "cast"], "left_semi").select("dataset").distinct()
+    if datasets is not None:
+        again = again.join(datasets.where("status >= 3").select("dataset").distinct(), "dataset", "left_semi")
     return after, again.withColumn("status", F.lit(2))
 
 
+def without_cast(held: DataFrame, cast: DataFrame, used: DataFrame, datasets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Casts without those removed (dataset, cast), and datasets with status 2 where a removed one was in use and had been traced with."""
+    gone = cast.select("dataset", "cast").distinct()
+    hit = gone.join(used.select("dataset", "cast").distinct(), ["dataset", "cast"], "left_semi").select(F.col("dataset").alias("__d")).distinct()
+    x = datasets.join(hit, F.col("dataset") == F.col("__d"), "left")
+    return held.join(gone, ["dataset", "cast"], "left_anti"), x.withColumn("status", F.when(F.col("__d").isNotNull(), F.least("status", F.lit(2))).otherwise(F.col("status"))).drop("__d")
+
+
 def imported_navigation(raw: DataFrame, solution: DataFrame, values: list[str], gap: float = 1.0) -> DataFrame:
-    """The solution interpolated at the raw times; null outside its span and inside its gaps longer than `gap` that raw doesn't have. Its columns are named post_."""
-    x = timejoin.neighbours(raw, solution, values)
-    span = F.col("after.time") - F.col("before.time")
-    share = F.when(span > 0, (F.col("time") - F.col("before.time")) / span).otherwise(0.0)
-    ok = F.col("before").isNotNull() & F.col("after").isNotNull() & (span <= gap)
-    return x.select(*raw.columns, *[F.when(ok, F.col(f"before.{v}") + (F.col(f"after.{v}") - F.col(f"before.{v}")) * share).alias(f"post_{v}") for v in values])
+    """The solution interpolated at the raw times, in columns named post_.
+
+    Up to `gap` seconds beyond its ends the solution goes on; farther out it is null. Inside its gaps longer than `gap`
+    that raw doesn't share, raw's own value of that name stays, or null where raw has none.
+    """
+    from . import series
+
+    x = timejoin.interpolate(raw, solution, values, suffix="__post")
+    ends = solution.groupBy(F.col("system").alias("__s")).agg(F.min("time").alias("__first"), F.max("time").alias("__last"))
+    x = x.join(ends, F.col("system").eqNullSafe(F.col("__s")), "left").drop("__s")
+    holes = series.new_gaps(raw.select("system", "time"), solution.select("system", "time"), gap).select("system", F.col("start").alias("time"), F.col("start").alias("__from"), F.col("end").alias("__to"))
+    x = timejoin.asof(x, holes, ["__from", "__to"], suffix="")
+    inside = F.coalesce((F.col("time") > F.col("__from")) & (F.col("time") < F.col("__to")), F.lit(False))
+    covered = (F.col("time") >= F.col("__first") - gap) & (F.col("time") <= F.col("__last") + gap)
+    own = lambda v: F.col(v) if v in raw.columns else F.lit(None)
+    return x.select(*raw.columns, *[F.when(inside, own(v)).when(covered, F.col(f"{v}__post")).alias(f"post_{v}") for v in values])
+
+
+def overwritten_navigation(raw: DataFrame, solution: DataFrame, values: list[str], gap: float = 1.0) -> DataFrame:
+    """raw with the solution's values in place of its own wherever the solution has some."""
+    x = imported_navigation(raw, solution, values, gap)
+    return x.select(*[F.coalesce(f"post_{c}", c).alias(c) if c in values else c for c in raw.columns])
 
 
 def without_navigation(pings: DataFrame, status: str = "processing_status") -> DataFrame:

@@ -39,17 +39,7 @@ def navigation(matches: DataFrame, held: DataFrame) -> DataFrame:
 
 def svp(casts: DataFrame, held: DataFrame, datasets: DataFrame) -> DataFrame:
     """An import for each dataset that lacks a cast (digest, file) of the project, whatever its day."""
-    return _action(_lacking(casts, held, datasets), "svp", "dataset", "file")
-
-
-def _lacking(casts: DataFrame, held: DataFrame, datasets: DataFrame) -> DataFrame:
-    """(dataset, file) of casts that datasets lack. Every dataset is offered every cast, so what is lacking is told from counts first: datasets that hold all casts go, and only the others are written out."""
-    known = casts.select("digest", "file").distinct()
-    have = held.select("dataset", "digest").distinct().join(known.select("digest").distinct(), "digest", "left_semi")
-    n = known.select("digest").distinct().groupBy().agg(F.count("*").alias("n"), F.sort_array(F.collect_set("digest")).alias("all"))  # one row: the project's casts
-    own = datasets.select("dataset").distinct().join(have, "dataset", "left").groupBy("dataset").agg(F.collect_set("digest").alias("own"))
-    x = own.join(F.broadcast(n), F.lit(True)).where(F.size("own") < F.col("n"))
-    return x.select("dataset", F.explode(F.array_except("all", "own")).alias("digest")).join(known, "digest").select("dataset", "file")
+    return _action(D.casts_to_import(casts.withColumnRenamed("file", "cast"), held, datasets), "svp", "dataset", "cast")
 
 
 def processing(datasets: DataFrame, reprocess: str | None = None) -> DataFrame:

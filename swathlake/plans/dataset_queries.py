@@ -10,6 +10,7 @@ from ..operators import grid, kernels
 from ..operators import series as R
 from . import control
 from . import stand_ins as S
+from .series_queries import ENDS, LERP
 
 E, W = S.SERIES_SQL, "OVER (PARTITION BY system ORDER BY time)"
 #: Soundings with a line (a mode), a serial number (of three), a status and a file.
@@ -120,16 +121,16 @@ def nearest_settings(spark, sf_dir):
 
 def _files(spark, sf_dir):
     o = S.table(spark, sf_dir, "orders")
-    return o.select(F.col("o_orderkey").alias("name"), F.lit("em2040").alias("model"), (F.col("o_custkey") % 50).alias("serial"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1e6).alias("start"), F.floor("o_totalprice").alias("size"))
+    return o.select(F.col("o_orderkey").alias("name"), F.lit("em2040").alias("model"), (F.col("o_custkey") % 50).alias("serial"), (F.col("o_orderkey") % 2).alias("serial2"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1e6).alias("start"), F.floor("o_totalprice").alias("size"))
 
 
-_FILES = "(SELECT o_orderkey AS name, o_custkey % 50 AS serial, CAST(o_orderdate AS TIMESTAMP) AS day, CAST(floor(o_totalprice) AS BIGINT) AS size FROM orders)"
+_FILES = "(SELECT o_orderkey AS name, o_custkey % 50 AS serial, o_orderkey % 2 AS serial2, CAST(o_orderdate AS TIMESTAMP) AS day, CAST(floor(o_totalprice) AS BIGINT) AS size FROM orders)"
 
 
 def grouped_files(spark, sf_dir):
-    """Files with the dataset of their serial number and day, known for those of two serial numbers."""
+    """Files with the dataset of both their serial numbers and day of the year, known for some serial numbers."""
     f = _files(spark, sf_dir)
-    known = f.where("serial < 20").select(F.concat(F.lit("known_"), F.col("name").cast("string")).alias("name"), "serial", "start")
+    known = f.where("serial < 20").select(F.concat(F.lit("known_"), F.col("name").cast("string")).alias("name"), "serial", "serial2", "start")
     return D.grouped_files(f, known).select("name", "dataset", "new")
 
 
@@ -149,7 +150,7 @@ _CASTS = "(SELECT c_custkey % 30 AS dataset, c_custkey % 7 AS day, c_custkey % 4
 
 def casts_to_import(spark, sf_dir):
     c = _casts(spark, sf_dir)
-    return D.casts_to_import(c.select("day", "digest", "cast"), c.where("day < 3").select("dataset", "digest"), c.select("dataset", "day"))
+    return D.casts_to_import(c.select("digest", "cast"), c.where("day < 3").select("dataset", "digest"), c.select("dataset"))
 
 
 def imported_casts(spark, sf_dir):
@@ -159,15 +160,25 @@ def imported_casts(spark, sf_dir):
 
 
 def traced_again(spark, sf_dir):
-    """Datasets that use a new cast."""
+    """Traced datasets that use a cast that came in."""
     c = _casts(spark, sf_dir)
-    return D.imported_casts(c.where("day < 4"), c.where("day >= 3"), c.where("digest < 9"))[1]
+    return D.imported_casts(c.where("day < 4"), c.where("day >= 3"), c.where("digest < 9"), c.select("dataset", (F.col("dataset") % 6).alias("status")))[1]
+
+
+def removed_casts(spark, sf_dir):
+    """Statuses of datasets after some casts, in use or not, were removed."""
+    c = _casts(spark, sf_dir)
+    d = c.select("dataset", (F.col("dataset") % 6).cast("int").alias("status")).distinct()
+    return D.without_cast(c, c.where("day = 2 and dataset % 4 = 1"), c.where("digest < 9"), d)[1]
+
+
+NAV_GAP = 43_200.0
 
 
 def imported_navigation(spark, sf_dir):
-    """A solution at the raw times, null in its gaps of more than ten days."""
+    """A solution at the raw times, null in gaps of more than half a day that are its own."""
     s = S.series(spark, sf_dir)
-    x = D.imported_navigation(s.where("mode = 'click'").select("system", "time", "counter"), s.where("mode in ('view', 'error')").select("system", "time", "value"), ["value"], 864_000.0)
+    x = D.imported_navigation(s.where("mode = 'click'").select("system", "time", "counter"), s.where("mode in ('view', 'error')").select("system", "time", "value"), ["value"], NAV_GAP)
     return x.select("counter", F.bround("post_value", 6).alias("post_value"))
 
 
@@ -241,7 +252,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         line_navigation, line_processed, next_unprocessed, line_owners, selected_spans, time_bounds, navigation_extents, overlapping_datasets, least_status, last_operation, most_common_crs, settings_agree, heads, parameters_in_force,
-        sector_offsets, rounded_groups, converted_blocks, byte_ranges, nearest_settings, grouped_files, new_files, casts_to_import, imported_casts, traced_again, imported_navigation, without_navigation, stages_to_run, year_day_times,
+        sector_offsets, rounded_groups, converted_blocks, byte_ranges, nearest_settings, grouped_files, new_files, casts_to_import, imported_casts, traced_again, removed_casts, imported_navigation, without_navigation, stages_to_run, year_day_times,
         since_1980, full_surface, values_at, removed_line, second_head, reset_heads, zero_centred,
     )
 }
@@ -286,13 +297,18 @@ ORACLES = {
     "nearest_settings": f"""SELECT l.counter, CASE WHEN a.time IS NULL OR l.time - b.time <= a.time - l.time THEN b.value ELSE a.value END AS value FROM (SELECT * FROM {E} WHERE mode = 'click') l
         ASOF LEFT JOIN (SELECT * FROM {E} WHERE mode = 'purchase') b ON l.system = b.system AND l.time >= b.time ASOF LEFT JOIN (SELECT * FROM {E} WHERE mode = 'purchase') a ON l.system = a.system AND l.time <= a.time""",
     "grouped_files": f"""SELECT f.name, coalesce(k.known, 'em2040_' || f.serial || '_' || strftime(f.day, '%m_%d_%Y')) AS dataset, k.known IS NULL AS new FROM {_FILES} f
-        LEFT JOIN (SELECT serial, CAST(day AS DATE) AS day, min('known_' || name) AS known FROM {_FILES} WHERE serial < 20 GROUP BY 1, 2) k ON k.serial = f.serial AND k.day = CAST(f.day AS DATE)""",
+        LEFT JOIN (SELECT serial, serial2, dayofyear(day) AS day, min('known_' || name) AS known FROM {_FILES} WHERE serial < 20 GROUP BY 1, 2, 3) k ON k.serial = f.serial AND k.serial2 = f.serial2 AND k.day = dayofyear(f.day)""",
     "new_files": f"SELECT name, size FROM {_FILES} WHERE (name, size) NOT IN (SELECT (name, size) FROM {_FILES} WHERE serial BETWEEN 10 AND 39)",
-    "casts_to_import": f"SELECT DISTINCT d.dataset, c.cast FROM {_CASTS} c JOIN {_CASTS} d ON d.day = c.day WHERE NOT EXISTS (SELECT 1 FROM {_CASTS} h WHERE h.day < 3 AND h.dataset = d.dataset AND h.digest = c.digest)",
+    "casts_to_import": f"SELECT DISTINCT d.dataset, c.cast FROM {_CASTS} c, (SELECT DISTINCT dataset FROM {_CASTS}) d WHERE NOT EXISTS (SELECT 1 FROM {_CASTS} h WHERE h.day < 3 AND h.dataset = d.dataset AND h.digest = c.digest)",
     "imported_casts": f"SELECT dataset, digest, \"cast\" FROM (SELECT *, row_number() OVER (PARTITION BY dataset, digest ORDER BY age DESC, \"cast\" DESC) AS k FROM (SELECT *, 0 AS age FROM {_CASTS} WHERE day < 4 UNION ALL SELECT *, 1 FROM {_CASTS} WHERE day >= 3)) WHERE k = 1",
-    "traced_again": f"""SELECT DISTINCT n.dataset, 2 AS status FROM (SELECT * FROM {_CASTS} WHERE day >= 3) n WHERE n.digest < 9 AND NOT EXISTS (SELECT 1 FROM {_CASTS} h WHERE h.day < 4 AND h.dataset = n.dataset AND h.digest = n.digest)""",
-    "imported_navigation": f"""SELECT counter, round_even(CASE WHEN nt - bt <= 864000 THEN bv + (av - bv) * (CASE WHEN nt > bt THEN (time - bt) / (nt - bt) ELSE 0.0 END) END, 6) AS post_value FROM (SELECT l.counter, l.time, b.time AS bt, b.value AS bv, a.time AS nt, a.value AS av FROM (SELECT * FROM {E} WHERE mode = 'click') l
-        ASOF LEFT JOIN (SELECT * FROM {E} WHERE mode IN ('view', 'error')) b ON l.system = b.system AND l.time >= b.time ASOF LEFT JOIN (SELECT * FROM {E} WHERE mode IN ('view', 'error')) a ON l.system = a.system AND l.time <= a.time)""",
+    "traced_again": f"SELECT DISTINCT n.dataset, 2 AS status FROM {_CASTS} n WHERE n.day >= 4 AND n.digest < 9 AND n.dataset % 6 >= 3",
+    "removed_casts": f"SELECT dataset, CAST(CASE WHEN EXISTS (SELECT 1 FROM {_CASTS} c WHERE c.dataset = d.dataset AND c.day = 2 AND c.dataset % 4 = 1 AND c.digest < 9) THEN least(dataset % 6, 2) ELSE dataset % 6 END AS INTEGER) AS status FROM (SELECT DISTINCT dataset FROM {_CASTS}) d",
+    "imported_navigation": f"""WITH n AS (SELECT system, time FROM {E} WHERE mode IN ('view', 'error')), o AS (SELECT system, time FROM {E} WHERE mode = 'click'), e AS (SELECT system, min(time) AS a, max(time) AS b FROM o GROUP BY 1), f AS (SELECT system, min(time) AS p, max(time) AS q FROM n GROUP BY 1),
+        g AS (SELECT system, s, t FROM (SELECT system, lag(time) OVER (PARTITION BY system ORDER BY time) AS s, time AS t FROM n) WHERE t - s > {NAV_GAP} UNION ALL SELECT system, a, p FROM e JOIN f USING (system) WHERE p - a > {NAV_GAP} UNION ALL SELECT system, q, b FROM e JOIN f USING (system) WHERE b - q > {NAV_GAP}),
+        h AS (SELECT system, s, t FROM (SELECT system, lag(time) OVER (PARTITION BY system ORDER BY time) AS s, time AS t FROM o) WHERE t - s > {NAV_GAP}),
+        c AS (SELECT system, s AS x FROM g UNION SELECT system, t FROM g UNION SELECT system, s FROM h UNION SELECT system, t FROM h), i AS (SELECT system, x, lead(x) OVER (PARTITION BY system ORDER BY x) AS y FROM c),
+        gap AS (SELECT system, x, y FROM i WHERE EXISTS (SELECT 1 FROM g WHERE g.system = i.system AND g.s <= i.x AND g.t >= i.y) AND NOT EXISTS (SELECT 1 FROM h WHERE h.system = i.system AND h.s <= i.x AND h.t >= i.y))
+        SELECT counter, round_even(CASE WHEN EXISTS (SELECT 1 FROM gap WHERE gap.system = l.system AND gap.x < l.time AND l.time < gap.y) THEN NULL WHEN time >= lt[1] - {NAV_GAP} AND time <= ht[1] + {NAV_GAP} THEN {LERP} END, 6) AS post_value FROM {ENDS} l""",
     "without_navigation": f"SELECT least(processing_status, 3) AS processing_status, count(*) AS n FROM {PINGS} GROUP BY 1",
     "stages_to_run": f"""SELECT dataset, first, array_to_string({list(control.STAGES)!r}[first + 1:], ',') AS stages FROM (SELECT c_custkey AS dataset, CASE WHEN c_custkey % 6 < 2 OR c_custkey % 17 = 0 THEN 0 WHEN c_custkey % 6 < 3 OR c_custkey % 13 = 0 OR c_custkey % 19 = 0 THEN 2
         WHEN c_custkey % 6 < 4 OR c_custkey % 5 = 0 OR c_custkey % 7 = 0 OR c_custkey % 11 = 0 THEN 3 WHEN c_custkey % 6 < 5 OR c_custkey % 3 = 0 THEN 4 ELSE 5 END AS first FROM customer)""",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import series as R
 from ..operators import timejoin as J
+from ..operators.diagnostics import WOBBLE_TESTS
 from . import stand_ins as S
 
 E = S.SERIES_SQL
@@ -280,11 +281,13 @@ def motion_tests(spark, sf_dir):
     """Regressions of several pairs of series in one pass."""
     from ..operators import diagnostics
 
-    s = R.rate(S.series(spark, sf_dir), "value").select(F.col("value").alias("roll"), F.col("rate").alias("roll_rate"), (F.col("counter") % 97).cast("double").alias("hp_slope"))
-    t = diagnostics.wobble_table(s, {"attitude_scaling": ("roll", "hp_slope"), "attitude_latency": ("roll_rate", "hp_slope")})
-    return t.select("test", *[F.bround(c, 6).alias(c) for c in ("slope", "intercept", "r2")], "n")
+    n = lambda k: (F.col("counter") % k).cast("double")
+    s = R.rate(S.series(spark, sf_dir), "value").select(F.col("value").alias("roll"), F.col("rate").alias("roll_rate"), *[n(k).alias(c) for c, k in MOTION.items()])
+    return diagnostics.wobble_table(s).select("test", *[F.bround(c, 6).alias(c) for c in ("slope", "intercept", "r2")], "n")
 
 
+#: Stand-in columns: the counter's rest by a number each.
+MOTION = {"pitch": 13, "heave": 7, "hp_slope": 97, "hp_inner": 89, "hp_mean_depth": 83, "hp_port": 79, "hp_starboard": 73}
 QUERIES["motion_tests"] = motion_tests
-_R = f"(SELECT value AS roll, (lead(value) {W} - value) / (lead(time) {W} - time) AS roll_rate, CAST(counter % 97 AS DOUBLE) AS s FROM {E})"
-ORACLES["motion_tests"] = " UNION ALL ".join(f"SELECT '{n}' AS test, round_even(regr_slope(s, {x}), 6) AS slope, round_even(regr_intercept(s, {x}), 6) AS intercept, round_even(regr_r2(s, {x}), 6) AS r2, CAST(regr_count(s, {x}) AS BIGINT) AS n FROM {_R}" for n, x in (("attitude_scaling", "roll"), ("attitude_latency", "roll_rate")))
+_R = f"(SELECT value AS roll, (lead(value) {W} - value) / (lead(time) {W} - time) AS roll_rate, {', '.join(f'CAST(counter % {k} AS DOUBLE) AS {c}' for c, k in MOTION.items())} FROM {E})"
+ORACLES["motion_tests"] = " UNION ALL ".join(f"SELECT '{n}' AS test, round_even(regr_slope({y}, {x}), 6) AS slope, round_even(regr_intercept({y}, {x}), 6) AS intercept, round_even(regr_r2({y}, {x}), 6) AS r2, CAST(regr_count({y}, {x}) AS BIGINT) AS n FROM {_R}" for n, (x, y) in WOBBLE_TESTS.items())
