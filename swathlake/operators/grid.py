@@ -131,3 +131,24 @@ def quadtree(points: DataFrame, origin: tuple[float, float], size: float, most_p
         x = up[k].withColumns({"pi": F.shiftright("i", 1), "pj": F.shiftright("j", 1)}).join(parent.toDF("pi", "pj"), ["pi", "pj"], "left_semi").select("i", "j", "points", "level")
         leaves.append(x if k == levels else x.where(F.col("points") <= most_points))
     return reduce(lambda a, b: a.unionByName(b), leaves).select("level", "i", "j", "points")
+
+
+def leaves_of(points: DataFrame, leaves: DataFrame, origin: tuple[float, float], size: float) -> DataFrame:
+    """points with level, i and j of the quadtree's leaf that holds them; those in none go. A point looks for its square at every level that has leaves; one of them is a leaf."""
+    levels = leaves.select(F.col("level").alias("__level")).distinct()  # a dozen at most
+    unit = F.lit(float(size)) / F.pow(F.lit(2.0), F.col("__level"))
+    at = lambda c, o: F.floor((F.col(c) - o) / unit).cast("bigint")
+    x = points.join(F.broadcast(levels.agg(F.collect_set("__level").alias("__levels"))), F.lit(True)).withColumn("__level", F.explode("__levels"))
+    x = x.withColumns({"__i": at("x", origin[0]), "__j": at("y", origin[1])})
+    l = leaves.select("level", "i", "j")  # noqa: E741
+    return x.join(l, (F.col("__level") == F.col("level")) & (F.col("__i") == F.col("i")) & (F.col("__j") == F.col("j"))).drop("__levels", "__level", "__i", "__j")
+
+
+def surface_of_points(points: DataFrame, resolution: float, geographic: bool = False) -> DataFrame:
+    """A mean surface of a points file: x, y, z, or lon, lat, z, which are projected to the UTM zone of the westernmost point."""
+    if geographic:
+        from ..functions import geo
+
+        first = points.agg(F.min(F.struct("lon", "lat")).alias("p")).select(F.least(F.floor((F.col("p.lon") + 180.0) / 6.0) + 1, F.lit(60)).alias("__zone"), (F.col("p.lat") < 0).alias("__south"))
+        points = geo.in_utm(points.join(F.broadcast(first), F.lit(True)), F.col("lat"), F.col("lon"), F.col("__zone"), F.col("__south"), ("x", "y"))
+    return surface(points.select("x", "y", "z"), resolution)

@@ -379,22 +379,27 @@ def angle_bin(angle_deg: Column, width: float = 1.0) -> Column:
     return (F.ceil((angle_deg + 90.0) / width) - 1).cast("int")
 
 
-def angle_gain_table(soundings: DataFrame, width: float = 1.0, reference: float = 45.0, value: str = "backscatter", angle: str = "corr_angle_deg") -> DataFrame:
-    """(bin, correction) for every bin of 180 degrees: its mean, empty ones interpolated, less the mean at the reference angle."""
+def angle_gain_tables(soundings: DataFrame, key: str, width: float = 1.0, reference: float = 45.0, value: str = "backscatter", angle: str = "corr_angle_deg") -> DataFrame:
+    """(key, bin, correction) of every dataset and bin of 180 degrees: its mean, empty ones interpolated, less the mean at the reference angle. Windows run over the bins of one dataset."""
     from pyspark.sql import Window
 
-    spark, n = soundings.sparkSession, int(round(180 / width))
-    mean = soundings.where(F.col(value).isNotNull() & F.col(angle).isNotNull()).groupBy(angle_bin(F.col(angle), width).alias("bin")).agg(F.avg(value).alias("m"))
-    t = spark.range(n).select(F.col("id").cast("int").alias("bin")).join(mean, "bin", "left")
-    w = Window.partitionBy(F.lit(0)).orderBy("bin")  # one row a bin: at most 180 / width rows
+    n = int(round(180 / width))
+    mean = soundings.where(F.col(value).isNotNull() & F.col(angle).isNotNull()).groupBy(F.col(key).alias("key"), angle_bin(F.col(angle), width).alias("bin")).agg(F.avg(value).alias("m"))
+    t = mean.select("key").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(mean, ["key", "bin"], "left")
+    up, down = (Window.partitionBy("key").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("bin"), F.desc("bin")))
     known = F.when(F.col("m").isNotNull(), F.struct("bin", "m"))
-    t = t.withColumns({"a": F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "b": F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    t = t.withColumns({"a": F.last(known, True).over(up), "b": F.last(known, True).over(down)})
     y = F.when(F.col("a").isNull(), F.col("b.m")).when(F.col("b").isNull() | (F.col("a.bin") == F.col("b.bin")), F.col("a.m"))
     y = y.otherwise(F.col("a.m") + (F.col("b.m") - F.col("a.m")) * (F.col("bin") - F.col("a.bin")) / (F.col("b.bin") - F.col("a.bin")))
-    t = t.select("bin", y.alias("y"))
+    t = t.select("key", "bin", y.alias("y"))
     at = int(math.ceil((reference + 90.0) / width) - 1)
-    zero = F.max(F.when(F.col("bin") == at, F.col("y"))).over(Window.partitionBy(F.lit(0)))
-    return t.select("bin", (F.col("y") - zero).alias("correction"))
+    zero = F.max(F.when(F.col("bin") == at, F.col("y"))).over(Window.partitionBy("key"))
+    return t.select(F.col("key").alias(key), "bin", (F.col("y") - zero).alias("correction"))
+
+
+def angle_gain_table(soundings: DataFrame, width: float = 1.0, reference: float = 45.0, value: str = "backscatter", angle: str = "corr_angle_deg") -> DataFrame:
+    """(bin, correction) of all soundings together."""
+    return angle_gain_tables(soundings.withColumn("__all", F.lit(0)), "__all", width, reference, value, angle).drop("__all")
 
 
 def angle_gain_correct(soundings: DataFrame, table: DataFrame, width: float = 1.0, value: str = "backscatter", angle: str = "corr_angle_deg") -> DataFrame:

@@ -97,6 +97,24 @@ def accuracy(differences: DataFrame, by: Column, name: str = "bin") -> DataFrame
     return x.groupBy(by.alias(name)).agg(F.avg("__d").alias("mean"), F.stddev_pop("__d").alias("std"), F.count("*").alias("n"))
 
 
+def accuracy_by_group(differences: DataFrame, group: Column, by: Column, name: str = "bin") -> DataFrame:
+    """The same for every group of a test, such as lines of one mode and frequency: differences less their group's mean, which is joined as a row a group."""
+    x = differences.withColumn("group", group)
+    mean = x.groupBy(F.col("group").alias("__g")).agg(F.avg("diff").alias("__m"))
+    x = x.join(mean, F.col("group").eqNullSafe(F.col("__g"))).withColumn("__d", F.col("diff") - F.col("__m"))
+    return x.groupBy("group", by.alias(name)).agg(F.avg("__d").alias("mean"), F.stddev_pop("__d").alias("std"), F.count("*").alias("n"))
+
+
+def compared_solution(pings: DataFrame, other: DataFrame, values: list[str], every: int = 1, by: str = "system", within: float | None = None) -> DataFrame:
+    """(by, variable, mean, std, most, n): how a solution of another source, at its sample nearest to every so-manieth ping, differs from the pings' own values."""
+    from . import series, timejoin
+
+    x = series.every_nth(pings, every, by) if every > 1 else pings
+    x = timejoin.nearest(x, other, values, by, within=within, suffix="__o")
+    d = x.select(by, F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), (F.col(f"{v}__o") - F.col(v)).alias("d")) for v in values])).alias("p")).select(by, "p.*").where("d is not null")
+    return d.groupBy(by, "variable").agg(F.avg("d").alias("mean"), F.stddev_pop("d").alias("std"), F.max(F.abs("d")).alias("most"), F.count("*").alias("n"))
+
+
 #: Fixed and depth-dependent parts of the vertical limits.
 ORDERS = {"special": (0.25, 0.0075), "order_1": (0.5, 0.013)}
 

@@ -75,6 +75,26 @@ def in_polygon(soundings: DataFrame, polygon: list[tuple[float, float]], lon: st
     return soundings.where(F.col(lon).between(min(xs), max(xs)) & F.col(lat).between(min(ys), max(ys))).where(inside)
 
 
+def in_polygon_with_lines(soundings: DataFrame, lines: DataFrame, polygon: list[tuple[float, float]], by: str = "system", head: int | None = None, **where) -> DataFrame:
+    """Soundings of all datasets of a project, or of one of their heads, in a ring, with the line of each (null between lines). lines: by, line, start_time, end_time."""
+    from . import timejoin
+
+    x = soundings if head is None else soundings.where(F.col("head") == head)
+    return timejoin.line_of(in_polygon(x, polygon, **where), lines, by)
+
+
+def read_where(soundings: DataFrame, columns: list[str], condition: Column, attitude: DataFrame | None = None, by: str = "system") -> DataFrame:
+    """Values of some variables where a condition holds; those that only `attitude` has come from its sample nearest in time."""
+    from . import timejoin
+
+    own = [c for c in columns if c in soundings.columns]
+    x = soundings.where(condition)
+    if attitude is None or len(own) == len(columns):
+        return x.select(*columns)
+    keys = [c for c in (by, "time") if c not in own]
+    return timejoin.nearest(x.select(*own, *keys), attitude, [c for c in columns if c not in own], by, suffix="").select(*columns)
+
+
 def set_where(df: DataFrame, column: str, condition: Column, value) -> DataFrame:
     new = value if isinstance(value, Column) else F.lit(value)
     return df.withColumn(column, F.when(condition, new.cast(df.schema[column].dataType)).otherwise(F.col(column)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import filters, grid, kernels, stats, subset, upsert
 from ..operators import series as R
 from . import stand_ins as S
+from .series_queries import BOTH
 
 E = S.SERIES_SQL
 #: lineitem as soundings.
@@ -259,6 +260,56 @@ def mosaic(spark, sf_dir):
     return grid.surface(g, 8192.0).select("cell_x", "cell_y", "density", F.bround("depth", 3).alias("backscatter"))
 
 
+def accuracy_by_group(spark, sf_dir):
+    """Differences to the reference surface by beam, for each mode and rounded frequency."""
+    from ..operators import datasets as D
+
+    d = _differences(spark, sf_dir).withColumns({"mode": F.lit("cw"), "modetwo": F.col("detectioninfo"), "rounded": F.col("beam") % 2})
+    a = stats.accuracy_by_group(d, D.group_of_test(d), F.col("beam"), "beam")
+    return a.select("group", "beam", "n", F.bround("mean", 6).alias("mean"), F.bround("std", 6).alias("std"))
+
+
+def gain_tables(spark, sf_dir):
+    """Angle-varying gain of several datasets at once."""
+    s = S.soundings(spark, sf_dir).select((F.col("ping") % 3).alias("system"), F.col("z").alias("backscatter"), (F.col("x") / 1000.0 - 52.0).alias("corr_angle_deg"))
+    t = kernels.angle_gain_tables(s, "system", 5.0, 45.0)
+    return t.groupBy("system").agg(F.count("*").alias("bins"), F.bround(F.sum(F.abs("correction")), 5).alias("total"), F.bround(F.max(F.when(F.col("bin") == 10, F.col("correction"))), 6).alias("tenth"))
+
+
+def leaves_of_points(spark, sf_dir):
+    """How many points each leaf of the quadtree has by looking every point up."""
+    s = S.soundings(spark, sf_dir)
+    leaves = grid.quadtree(s, (0.0, 0.0), 131_072.0, 400, 1024.0)
+    return grid.leaves_of(s, leaves, (0.0, 0.0), 131_072.0).groupBy("level", "i", "j").agg(F.count("*").alias("points"))
+
+
+def polygon_with_lines(spark, sf_dir):
+    """Pings of a project in a ring, with their lines."""
+    from .function_queries import RING
+
+    p = S.positions(spark, sf_dir).withColumns({"system": F.col("line") % 3, "time": F.col("ping").cast("double")}).drop("line")
+    return subset.in_polygon_with_lines(p, _ring_lines(spark, sf_dir), RING).select("ping", "line")
+
+
+def _ring_lines(spark, sf_dir):
+    """Lines of a hundred pings each, the first half of every two hundred."""
+    p = S.positions(spark, sf_dir).withColumn("k", F.floor(F.col("ping") / 200))
+    return p.where("ping % 200 < 100").groupBy((F.col("line") % 3).alias("system"), F.col("k").cast("string").alias("line")).agg(F.min("ping").cast("double").alias("start_time"), F.max("ping").cast("double").alias("end_time"))
+
+
+def read_where(spark, sf_dir):
+    """Counters of a mode with the values of another one's nearest samples."""
+    s = S.series(spark, sf_dir)
+    return subset.read_where(s.drop("value"), ["counter", "value"], F.col("mode") == "click", s.where("mode in ('view', 'error')"))
+
+
+def compared_solution(spark, sf_dir):
+    """How another series differs from the values at each sample."""
+    s = S.series(spark, sf_dir)
+    x = stats.compared_solution(s.where("mode = 'click'"), s.where("mode in ('view', 'error')").select("system", "time", "value"), ["value"])
+    return x.select("system", "variable", F.bround("mean", 6).alias("mean"), F.bround("std", 6).alias("std"), F.bround("most", 6).alias("most"), "n")
+
+
 W = "OVER (PARTITION BY system ORDER BY time)"
 NADIR = f"""(SELECT system, time, CASE WHEN k < 10 THEN max(CASE WHEN k = 10 THEN m END) OVER (PARTITION BY system) ELSE m END AS nadir_min FROM (SELECT system, time, row_number() {W} AS k, min(z) OVER (PARTITION BY system ORDER BY time ROWS 9 PRECEDING) AS m
     FROM {SWATH} s JOIN (SELECT system AS sys, greatest(floor((max(beam) + 1) / 2 - 1), 0) AS nadir FROM {SWATH} GROUP BY 1) n ON sys = system AND beam = nadir))"""
@@ -273,12 +324,24 @@ AVG_SQL = """(WITH m AS (SELECT CAST(ceil((x / 1000.0 - 52.0 + 90) / 5.0) - 1 AS
 RES = "CASE WHEN d <= 20 THEN 0.5 WHEN d <= 40 THEN 1 WHEN d <= 80 THEN 4 WHEN d <= 160 THEN 8 WHEN d <= 320 THEN 16 WHEN d <= 640 THEN 32 WHEN d <= 1280 THEN 64 WHEN d <= 2560 THEN 128 WHEN d <= 5120 THEN 256 WHEN d <= 10204 THEN 512 ELSE 1024 END"
 FLAGGED = "SELECT beam, {flag} AS detectioninfo, count(*) AS n FROM " + SQL + " GROUP BY 1, 2"
 
+def _in_lines_sql() -> str:
+    from .function_queries import _polygon_sql
+
+    lines = f"(SELECT line % 3 AS system, CAST(ping // 200 AS VARCHAR) AS line, min(ping) AS s, max(ping) AS e FROM {S.POSITIONS_SQL} WHERE ping % 200 < 100 GROUP BY 1, 2)"
+    own = f"(SELECT p.ping, o.line % 3 AS system FROM ({_polygon_sql()}) p JOIN {S.POSITIONS_SQL} o ON o.ping = p.ping)"
+    held = "SELECT arg_max(l.line, l.s) FROM L l WHERE l.system = p.system AND l.s - 1 <= p.ping"
+    end = "SELECT max(e) FROM L l WHERE l.system = p.system"
+    q = f"""SELECT ping, CASE WHEN NOT EXISTS (SELECT 1 FROM L l WHERE l.system = p.system AND l.s - 1 <= p.ping) THEN (SELECT arg_min(l.line, l.s) FROM L l WHERE l.system = p.system)
+        WHEN p.ping > ({end}) OR p.ping <= (SELECT arg_max(l.e, l.s) + 1 FROM L l WHERE l.system = p.system AND l.s - 1 <= p.ping) THEN ({held}) END AS line FROM {own} p"""
+    return f"WITH L AS {lines} {q}"
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         time_slice, time_windows, marked_pairs, accepted, lines_in_box, clipped_lines, set_variable, bits, filter_by_depth, filter_by_angle, reaccepted, second_returns, processing_dashboard, rounded_frequencies, distinct_modes,
         sounding_counts, mean_beam, nadir_beam, port_beam, starboard_beam, last_valid_beam, extents, depth_histogram, position_histogram, digitized, extinction, ping_period, accuracy_by_beam, order_limits, line_metadata,
-        merged_attributes, points_view, shoalest_surface, variable_surface, slopes, regridded, quadtree, within_radius, upserted, angle_gain, mosaic,
+        merged_attributes, points_view, shoalest_surface, variable_surface, slopes, regridded, quadtree, within_radius, upserted, angle_gain, mosaic, accuracy_by_group, gain_tables, leaves_of_points, polygon_with_lines, read_where, compared_solution,
     )
 }
 
@@ -340,4 +403,10 @@ ORACLES = {
     "upserted": f"""SELECT system, hour, counter, value FROM (SELECT *, row_number() OVER (PARTITION BY system, hour ORDER BY age DESC, CASE WHEN age = 1 THEN -counter ELSE counter END) AS k FROM (SELECT system, CAST(floor(time / 3600) AS BIGINT) AS hour, counter, value, counter % 2 AS age FROM {E})) WHERE k = 1""",
     "angle_gain": f"SELECT bin, round_even(correction, 6) AS correction FROM {AVG_SQL}",
     "mosaic": f"SELECT CAST(floor(x / 8192) AS BIGINT) AS cell_x, CAST(floor(y / 8192) AS BIGINT) AS cell_y, count(*) AS density, round_even(avg(CAST(CAST(z - correction AS FLOAT) AS DOUBLE)), 3) AS backscatter FROM (SELECT *, CAST(ceil((x / 1000.0 - 52.0 + 90) / 5.0) - 1 AS INTEGER) AS bin FROM {SQL}) JOIN {AVG_SQL} USING (bin) GROUP BY 1, 2",
+    "accuracy_by_group": f"SELECT \"group\", beam, count(*) AS n, round_even(avg(diff - m), 6) AS mean, round_even(stddev_pop(diff - m), 6) AS std FROM (SELECT *, avg(diff) OVER (PARTITION BY \"group\") AS m FROM (SELECT *, 'cw_' || detectioninfo || '_' || beam % 2 AS \"group\" FROM {DIFF})) GROUP BY 1, 2",
+    "gain_tables": " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS system, count(*) AS bins, round_even(sum(abs(correction)), 5) AS total, round_even(max(CASE WHEN bin = 10 THEN correction END), 6) AS tenth FROM {AVG_SQL.replace(SQL, f'(SELECT * FROM {SQL} WHERE ping % 3 = {k})')}" for k in range(3)),
+    "leaves_of_points": _quadtree_sql(),
+    "polygon_with_lines": _in_lines_sql(),
+    "read_where": f"SELECT counter, CASE WHEN av IS NULL OR (bv IS NOT NULL AND time - bt <= nt - time) THEN bv ELSE av END AS value FROM {BOTH}",
+    "compared_solution": f"SELECT system, 'value' AS variable, round_even(avg(d), 6) AS mean, round_even(stddev_pop(d), 6) AS std, round_even(max(abs(d)), 6) AS most, count(*) AS n FROM (SELECT b.system, CASE WHEN av IS NULL OR (bv IS NOT NULL AND b.time - bt <= nt - b.time) THEN bv ELSE av END - e.value AS d FROM {BOTH} b JOIN {E} e ON e.counter = b.counter) WHERE d IS NOT NULL GROUP BY 1",
 }
