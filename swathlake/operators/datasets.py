@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import timejoin
@@ -97,12 +97,10 @@ def heads(pings: DataFrame, by: str = "system", serial: str = "serial") -> DataF
 
 
 def in_force(parameters: DataFrame, times: DataFrame, names: list[str]) -> DataFrame:
-    """times (system, ts, ...) with the last value of each named parameter at or before them."""
-    out = times
-    for n in names:
-        p = parameters.where(F.col("param") == n).select("system", "ts", F.col("value").alias(n))
-        out = timejoin.asof(out, p, [n], time="ts", suffix="")
-    return out
+    """times (system, ts, ...) with the last value of each named parameter at or before them: a row a set, with what holds carried on, meets them once."""
+    p = parameters.where(F.col("param").isin(*names) & F.col("value").isNotNull()).groupBy("system", "ts").agg(*[F.max(F.when(F.col("param") == n, F.col("value"))).alias(n) for n in names])
+    run = Window.partitionBy("system").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)  # the sets of a system
+    return timejoin.asof(times, p.withColumns({n: F.last(n, True).over(run) for n in names}), names, time="ts", suffix="")
 
 
 def with_offsets(beams: DataFrame, offsets: DataFrame, sector: str = "sector") -> DataFrame:

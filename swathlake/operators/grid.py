@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -49,12 +49,20 @@ def auto_resolution(points: DataFrame, tile_size: float = 1024.0) -> DataFrame:
     return t.withColumn("resolution", resolution_by_depth(F.col("depth")))
 
 
-def variable_surface(points: DataFrame, tile_size: float = 1024.0) -> DataFrame:
-    """Cells at each tile's own resolution, which depends on its depth. The tile table is joined by its key; a tile of many points is split by adaptive execution."""
+#: Layers of means that a surface has where its points have these.
+LAYERS = {"vertical_uncertainty": "tvu", "horizontal_uncertainty": "thu"}
+
+
+def _layers(wanted: list[str]) -> list[Column]:
+    return [F.avg(c).alias(k) for k, c in LAYERS.items() if k in wanted]
+
+
+def variable_surface(points: DataFrame, tile_size: float = 1024.0, layers: bool = False) -> DataFrame:
+    """Cells at each tile's own resolution, which depends on its depth, with the layers of uncertainties if wanted. The tile table is joined by its key; a tile of many points is split by adaptive execution."""
     tiles = auto_resolution(points, tile_size).select("tile_x", "tile_y", "resolution")
     x = points.where("z is not null").withColumns({"tile_x": cell("x", tile_size), "tile_y": cell("y", tile_size)}).join(tiles, ["tile_x", "tile_y"])
     at = lambda c: F.floor(F.col(c) / F.col("resolution")).cast("bigint")
-    return x.groupBy("tile_x", "tile_y", "resolution", at("x").alias("cell_x"), at("y").alias("cell_y")).agg(F.count("*").alias("density"), F.avg("z").alias("depth"), F.min("z").alias("shoalest"))
+    return x.groupBy("tile_x", "tile_y", "resolution", at("x").alias("cell_x"), at("y").alias("cell_y")).agg(F.count("*").alias("density"), F.avg("z").alias("depth"), F.min("z").alias("shoalest"), *_layers(list(LAYERS) if layers else []))
 
 
 def full_surface(points: DataFrame, resolution: float) -> DataFrame:
@@ -84,24 +92,24 @@ def remove_points(grid_points: DataFrame, containers: list[str], line: str | Non
 
 
 def updated_cells(cells: DataFrame, points: DataFrame, changed: DataFrame, resolution: float, tile_size: float = 1024.0) -> DataFrame:
-    """The surface with only the tiles of changed points made anew. cells carry tile_x and tile_y."""
+    """The surface with only the tiles of changed points made anew. cells carry tile_x and tile_y, and keep the layers of uncertainties that they have."""
     tiles = changed.select(cell("x", tile_size).alias("tile_x"), cell("y", tile_size).alias("tile_y")).distinct()
     p = points.withColumns({"tile_x": cell("x", tile_size), "tile_y": cell("y", tile_size)}).join(tiles, ["tile_x", "tile_y"], "left_semi")
     p = p.where("z is not null").groupBy("tile_x", "tile_y", cell("x", resolution).alias("cell_x"), cell("y", resolution).alias("cell_y"))
-    fresh = p.agg(F.count(F.lit(1)).alias("density"), F.avg("z").alias("depth"), F.min("z").alias("shoalest"))
+    fresh = p.agg(F.count(F.lit(1)).alias("density"), F.avg("z").alias("depth"), F.min("z").alias("shoalest"), *_layers(cells.columns))
     return cells.join(tiles, ["tile_x", "tile_y"], "left_anti").unionByName(fresh)
 
 
 def slopes(cells: DataFrame, resolution: float) -> DataFrame:
-    """cells with x_slope and y_slope: central differences to the neighbours, one-sided at edges, null without any."""
-    out = cells
-    for axis in "xy":
-        for name, step in (("up", 1), ("down", -1)):
-            other = cells.select("cell_x", "cell_y", F.col("depth").alias(f"__{axis}{name}")).withColumn(f"cell_{axis}", F.col(f"cell_{axis}") - step)
-            out = out.join(other, ["cell_x", "cell_y"], "left")
-        up, down, d = F.col(f"__{axis}up"), F.col(f"__{axis}down"), F.col("depth")
+    """cells with x_slope and y_slope: central differences to the neighbours, one-sided at edges, null without any. A window along each row of cells and one along each column."""
+    out, d = cells, F.col("depth")
+    for axis, line in (("x", "y"), ("y", "x")):
+        at, w = F.col(f"cell_{axis}"), Window.partitionBy(f"cell_{line}").orderBy(f"cell_{axis}")
+        beside = lambda f, step: F.when(f(at).over(w) == at + step, f(d).over(w))  # noqa: E731, B023
+        out = out.withColumns({"__up": beside(F.lead, 1), "__down": beside(F.lag, -1)})
+        up, down = F.col("__up"), F.col("__down")
         slope = F.when(up.isNotNull() & down.isNotNull(), (up - down) / (2 * resolution)).when(up.isNotNull(), (up - d) / resolution).when(down.isNotNull(), (d - down) / resolution)
-        out = out.withColumn(f"{axis}_slope", slope).drop(f"__{axis}up", f"__{axis}down")
+        out = out.withColumn(f"{axis}_slope", slope).drop("__up", "__down")
     return out
 
 

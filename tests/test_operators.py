@@ -359,3 +359,27 @@ def test_upsert_of_dated_partitions(spark, tmp_path):
     put([(3, "2024-01-01 10:00:00.5", 2), (4, None, 2)])
     got = sorted((r["k"], str(r["at"]), r["v"]) for r in upsert.read_partitioned(spark, path, "at", spark.createDataFrame([], schema).schema["at"].dataType).collect())
     assert got == [(1, "2024-01-01 10:00:00.500000", 1), (2, "2024-01-01 10:00:00.500000", 1), (3, "2024-01-01 10:00:00.500000", 2), (4, "None", 2)]
+
+
+def test_layers_of_updated_and_variable_surfaces(spark):
+    from swathlake.operators import grid
+
+    rows = [(float(i % 40), float(i // 40), 10.0 + i % 3, 0.1 * (i % 5), 0.2) for i in range(1600)]
+    p = spark.createDataFrame(rows, "x double, y double, z double, tvu double, thu double")
+    tile = lambda df: df.withColumns({"tile_x": F.floor(F.col("cell_x") * 4 / 16), "tile_y": F.floor(F.col("cell_y") * 4 / 16)})
+    extra = {k: F.avg(c) for k, c in grid.LAYERS.items()}
+    cells = tile(grid.surface(p, 4.0, extra=extra))
+    more = p.where("x < 10 and y < 10").withColumns({"z": F.col("z") + 1, "tvu": F.lit(2.0)})
+    got = grid.updated_cells(cells, p.unionByName(more), more, 4.0, 16.0)
+    want = tile(grid.surface(p.unionByName(more), 4.0, extra=extra))
+    key = lambda df: sorted((r["cell_x"], r["cell_y"], r["density"], round(r["depth"], 9), round(r["vertical_uncertainty"], 9), round(r["horizontal_uncertainty"], 9)) for r in df.collect())
+    assert key(got) == key(want)
+    assert {"vertical_uncertainty", "horizontal_uncertainty"} <= set(grid.variable_surface(p, 16.0, layers=True).columns) and "vertical_uncertainty" not in grid.variable_surface(p, 16.0).columns
+
+
+def test_slopes_stop_at_holes(spark):
+    from swathlake.operators import grid
+
+    cells = spark.createDataFrame([(0, 0, 1.0), (1, 0, 3.0), (2, 0, 6.0), (4, 0, 9.0), (0, 1, 2.0)], "cell_x long, cell_y long, depth double")
+    got = {(r["cell_x"], r["cell_y"]): (r["x_slope"], r["y_slope"]) for r in grid.slopes(cells, 2.0).collect()}
+    assert got == {(0, 0): (1.0, 0.5), (1, 0): (1.25, None), (2, 0): (1.5, None), (4, 0): (None, None), (0, 1): (None, 0.5)}
