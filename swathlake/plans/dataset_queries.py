@@ -182,6 +182,13 @@ def imported_navigation(spark, sf_dir):
     return x.select("counter", F.bround("post_value", 6).alias("post_value"))
 
 
+def overwritten_navigation(spark, sf_dir):
+    """Raw values with the solution's in their place wherever it has some."""
+    s = S.series(spark, sf_dir)
+    x = D.overwritten_navigation(s.where("mode = 'click'").select("system", "time", "counter", "value"), s.where("mode in ('view', 'error')").select("system", "time", "value"), ["value"], NAV_GAP)
+    return x.select("counter", F.bround("value", 6).alias("value"))
+
+
 def without_navigation(spark, sf_dir):
     return D.without_navigation(_pings(spark, sf_dir).withColumn("post_lat", F.lit(1.0))).groupBy("processing_status").agg(F.count("*").alias("n"))
 
@@ -252,7 +259,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         line_navigation, line_processed, next_unprocessed, line_owners, selected_spans, time_bounds, navigation_extents, overlapping_datasets, least_status, last_operation, most_common_crs, settings_agree, heads, parameters_in_force,
-        sector_offsets, rounded_groups, converted_blocks, byte_ranges, nearest_settings, grouped_files, new_files, casts_to_import, imported_casts, traced_again, removed_casts, imported_navigation, without_navigation, stages_to_run, year_day_times,
+        sector_offsets, rounded_groups, converted_blocks, byte_ranges, nearest_settings, grouped_files, new_files, casts_to_import, imported_casts, traced_again, removed_casts, imported_navigation, overwritten_navigation, without_navigation, stages_to_run, year_day_times,
         since_1980, full_surface, values_at, removed_line, second_head, reset_heads, zero_centred,
     )
 }
@@ -329,3 +336,4 @@ ORACLES = {
         SELECT s.id, CAST(any_value(s.c) + 64 * count(a.at) AS BIGINT) AS counter FROM s LEFT JOIN a ON a.system = s.system AND a.head = s.head AND a.at <= s.time GROUP BY s.id""",
     "zero_centred": f"SELECT counter, round_even(value - (SELECT avg(value) FROM {E}), 6) AS value FROM {E}",
 }
+ORACLES["overwritten_navigation"] = f"SELECT n.counter, round_even(coalesce(n.post_value, e.value), 6) AS value FROM ({ORACLES['imported_navigation']}) n JOIN {E} e ON e.counter = n.counter"

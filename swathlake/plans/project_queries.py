@@ -103,6 +103,13 @@ def chosen_crs(spark, sf_dir):
 # --- lines
 
 
+def project_properties(spark, sf_dir):
+    """How many different lines, beams and pings each dataset has, and its first and last line by name."""
+    o = S.positions(spark, sf_dir).select("ping", F.concat(F.lit("line"), F.col("line").cast("string")).alias("line"))
+    s = S.soundings(spark, sf_dir).join(o, "ping").groupBy((F.col("ping") % 6).alias("dataset"))
+    return s.agg(F.countDistinct("line").alias("lines"), F.countDistinct("beam").alias("beams"), F.countDistinct("ping").alias("pings"), F.min("line").alias("first"), F.max("line").alias("last"))
+
+
 def paired_lines(spark, sf_dir):
     """Lines run in opposite directions in pairs, the nearest first, and those that stay alone."""
     k = F.col("c_custkey")
@@ -139,7 +146,7 @@ _ACTIONS = "(" + " UNION ALL ".join(f"SELECT '{t}' AS type, {p} AS priority, tar
 _RANKS = f"""(SELECT a.*, CASE WHEN type IN ('navigation', 'svp') THEN CAST(m AS INTEGER) WHEN type = 'processing' THEN CASE WHEN ns THEN CASE WHEN m THEN 2 ELSE 1 END WHEN m THEN 1 ELSE 0 END ELSE 0 END AS rank
     FROM (SELECT a.*, EXISTS (SELECT 1 FROM {_MB} m WHERE m.target = a.target) AS m, EXISTS (SELECT 1 FROM {_NAV} m WHERE m.target = a.target) OR EXISTS (SELECT 1 FROM {_SVP} m WHERE m.target = a.target) AS ns FROM {_ACTIONS} a) a)"""
 
-QUERIES = {f.__name__: f for f in (vessel_sets, vessel_differences, vessel_updated, vessel_intervals, vessel_overlaid, vessel_round_trip, planned_actions, queue_changes, chosen_crs, paired_lines)}
+QUERIES = {f.__name__: f for f in (vessel_sets, vessel_differences, vessel_updated, vessel_intervals, vessel_overlaid, vessel_round_trip, planned_actions, queue_changes, chosen_crs, project_properties, paired_lines)}
 ORACLES = {
     "vessel_sets": f"SELECT system, ts, CAST(row_number() OVER (PARTITION BY system ORDER BY ts) - 1 AS INTEGER) AS n, CAST(count(*) AS INTEGER) AS parameters, round_even(sum(value), 3) AS total FROM {PARAMS} GROUP BY system, ts",
     "vessel_differences": f"SELECT * FROM {_DIFF}",
@@ -149,5 +156,6 @@ ORACLES = {
     "vessel_overlaid": f"SELECT system, param, v AS value, t AS start, \"end\" FROM (SELECT *, lead(t) OVER (PARTITION BY system, param ORDER BY t) AS \"end\" FROM {_PIECES} WHERE k = 1 OR before IS DISTINCT FROM v) WHERE v IS NOT NULL",
     "vessel_round_trip": f"SELECT system, ts, param, value, 'em' || system AS sonar_type, CASE WHEN system % 3 > 0 THEN 'file' || system END AS source FROM {PARAMS}",
     "planned_actions": f"""SELECT type || ':' || target AS id, type, priority, CAST(inputs AS INTEGER) AS inputs, first, CAST(CASE WHEN type = 'gridding' THEN 1 + coalesce((SELECT max(r.rank) FROM {_RANKS} r, supplier s WHERE r.type <> 'gridding' AND r.target = CAST(s_suppkey AS VARCHAR) AND CAST(s_suppkey % 4 AS VARCHAR) = q.target), -1) ELSE rank END AS INTEGER) AS rank FROM {_RANKS} q""",
+    "project_properties": f"SELECT l_orderkey % 6 AS dataset, count(DISTINCT line) AS lines, count(DISTINCT l_linenumber) AS beams, count(DISTINCT l_orderkey) AS pings, min('line' || line) AS first, max('line' || line) AS last FROM lineitem JOIN {S.POSITIONS_SQL} ON ping = l_orderkey GROUP BY 1",
     "chosen_crs": f"SELECT CAST(line AS VARCHAR) AS dataset, CAST(CASE WHEN min(lat) > 0 THEN 32600 ELSE 32700 END + least(ceil((max(lon) + 180.0) / 6.0), 60) AS BIGINT) AS epsg, 'zone' AS why FROM {S.POSITIONS_SQL} GROUP BY line",
 }
