@@ -383,3 +383,11 @@ def test_slopes_stop_at_holes(spark):
     cells = spark.createDataFrame([(0, 0, 1.0), (1, 0, 3.0), (2, 0, 6.0), (4, 0, 9.0), (0, 1, 2.0)], "cell_x long, cell_y long, depth double")
     got = {(r["cell_x"], r["cell_y"]): (r["x_slope"], r["y_slope"]) for r in grid.slopes(cells, 2.0).collect()}
     assert got == {(0, 0): (1.0, 0.5), (1, 0): (1.25, None), (2, 0): (1.5, None), (4, 0): (None, None), (0, 1): (None, 0.5)}
+
+
+def test_opposite_lines_meet_in_every_bucket_and_many_tasks(spark):
+    """Tolerances that don't divide the circle lose no azimuths, and the pairs of a small table are not one task's."""
+    lines = spark.range(360).select(F.col("id").alias("line"), F.col("id").cast("double").alias("azimuth"), *[(F.col("id") / 100.0).alias(c) for c in ("start_lat", "start_lon", "end_lat", "end_lon")])
+    got = params.patch_pairs(lines.coalesce(1), 7.0)
+    assert got.rdd.getNumPartitions() > 1
+    assert {(r["a"], r["b"]) for r in got.collect()} == {(a, b) for a in range(360) for b in range(a + 1, 360) if abs((a - b) % 360 - 180) <= 7}
