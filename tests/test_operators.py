@@ -402,3 +402,13 @@ def test_quadtree_keeps_points_beyond_the_first_square(spark):
     rows = {(r["level"], r["i"], r["j"]): r["points"] for r in leaves.collect()}
     assert sum(rows.values()) == p.count() == 257
     assert rows[(1, -2, -2)] == rows[(1, 5, 5)] == 4
+
+
+def test_leaves_of_points_beyond_the_first_square(spark):
+    from swathlake.operators import grid
+
+    p = spark.createDataFrame([(float(x), float(y)) for x in range(-8, 24, 2) for y in range(-8, 24, 2)] + [(None, 1.0)], "x double, y double")
+    leaves = grid.quadtree(p, (0.0, 0.0), 8.0, 4, 1.0)
+    key = lambda df: sorted(map(repr, (tuple(r) for r in df.select("level", "i", "j", "points").collect())))
+    found = grid.leaves_of(p, leaves, (0.0, 0.0), 8.0).groupBy("level", "i", "j").agg(F.count("*").alias("points"))
+    assert key(found) == key(leaves) and found.agg(F.sum("points")).first()[0] == 257
