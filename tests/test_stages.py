@@ -132,3 +132,40 @@ def test_segments(spark):
     s = spark.createDataFrame([("a", float(t)) for t in range(10)] + [("b", 5.0)], "system string, time double")
     spans = spark.createDataFrame([("a", 1.0, 3.0, "x"), ("a", 7.0, 8.0, "y")], "system string, start double, end double, line string")
     assert sorted(map(tuple, patch.segments(s, spans).collect())) == [("a", 1.0, "x"), ("a", 2.0, "x"), ("a", 3.0, "x"), ("a", 7.0, "y"), ("a", 8.0, "y")]
+
+
+def test_attitude_is_found_once_for_all_iterations_and_variants(spark, monkeypatch):
+    """The time join runs once for a patch test, and in no variant's plan."""
+    from swathlake.operators import patch, timejoin
+    from swathlake.plans import patch_queries as P
+
+    s, calls = P.soundings(spark, SF), []
+    own = timejoin.interpolate_at
+    monkeypatch.setattr(timejoin, "interpolate_at", lambda *a, **k: calls.append(1) or own(*a, **k))
+    assert len(patch.adjusted(s, P.attitude(spark), P.casts(spark), P._settings({}), 5.0, ("roll",), 2)) == 2
+    assert len(calls) == 1
+
+
+def test_both_times_of_a_beam_equal_a_join_each(spark):
+    """Samples just behind a bucket, equal times, times before, after and between far samples, a null time and a system with one sample or none."""
+    from swathlake.operators import timejoin
+
+    at = [0.0, 1.0, 1.0, 598.0, 600.0, 601.5, 629.9, 631.0, 1199.9, 1205.0, 4000.0, 4010.0]
+    right = spark.createDataFrame([("a", t, float(k * 37 % 360), float(k)) for k, t in enumerate(at)] + [("b", 5.0, 3.0, 4.0), ("a", None, 1.0, 1.0)], "system string, time double, h double, v double")
+    rows = [(s, k, t, w) for s in ("a", "b", "c", None) for k, (t, w) in enumerate([(x + d, w) for x in (-50.0, 0.0, 1.0, 590.0, 599.9, 600.0, 1190.0, 2000.0, 3999.0, 5000.0) for d in (0.0, 0.4) for w in (0.0, 1.5, 29.0, 30.0)] + [(None, 1.0), (5.0, None)])]
+    left = spark.createDataFrame(rows, "system string, k long, time double, wait double").withColumn("late", F.col("time") + F.col("wait"))
+    got = timejoin.interpolate_at(left, right, ["h", "v"], {"time": "_1", "late": "_2"}, 31.0, ("h",))
+    want = timejoin.interpolate(left, right, ["h", "v"], ("h",), suffix="_1", bucket=86_400.0)
+    want = timejoin.interpolate(want.withColumnsRenamed({"time": "t", "late": "time"}), right, ["h", "v"], ("h",), suffix="_2", bucket=86_400.0).withColumnsRenamed({"time": "late", "t": "time"})
+    key = lambda df: sorted(map(repr, (tuple(r) for r in df.select(*got.columns).where("time is not null and late is not null").collect())))
+    assert key(got) == key(want) and got.count() == left.count()
+
+
+def test_columns_nobody_asks_for_are_not_moved(spark):
+    from swathlake.operators import timejoin
+
+    left = spark.createDataFrame([("a", 1.0, "wide")], "system string, time double, unused string")
+    right = spark.createDataFrame([("a", 0.0, 1.0)], "system string, time double, v double")
+    plan = timejoin.interpolate(left, right, ["v"]).select("v_at")._jdf.queryExecution().optimizedPlan().toString()
+    union = plan[plan.index("Union") :]
+    assert "unused" not in union.split("LogicalRDD")[0]
