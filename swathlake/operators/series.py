@@ -334,6 +334,9 @@ def nearest_cast(chunk_means: DataFrame, casts: DataFrame, method: str = "neares
         return _nearest_in_time(chunk_means, casts, keys, hours if "fourhours" in method else None)
     span, kind = hours * 3600, casts.schema["cast_id"].dataType.simpleString()
     within = "fourhours" in method
+    # of casts of one place (and time) only the smallest id can be the nearest, so a place counts once whatever number of casts it has
+    place = ["lat", "lon", "cast_time"] if within else ["lat", "lon"]
+    casts = casts.groupBy(*place).agg(F.min("cast_id").alias("cast_id"), *([] if within else [F.min("cast_time").alias("cast_time")]))
     few = nearest.held(casts, ["cast_id", "lat", "lon", "cast_time"] if within else ["cast_id", "lat", "lon"])
     if few is not None:
         return nearest.in_space_and_time(chunk_means, few, span, kind, "cast_id") if within else nearest.in_space(chunk_means, few, kind, "cast_id")

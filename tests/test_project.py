@@ -190,3 +190,15 @@ def test_nearest_casts_in_one_harbour(spark):
     finally:
         nearest.MOST = few
     assert series.nearest_cast(m, c.where("false"), "nearest_in_distance").where("cast_id is null").count() == len(chunks)
+
+
+@pytest.mark.parametrize("method", ["nearest_in_distance", "nearest_in_distance_fourhours"])
+def test_casts_of_one_place_count_once(spark, monkeypatch, method):
+    """Many casts of few places fit the bound of a tree, and the smallest id of a place is found."""
+    from swathlake.operators import nearest, series
+
+    monkeypatch.setattr(nearest, "MOST", 5)
+    monkeypatch.setattr(series, "_met", lambda *a, **k: pytest.fail("met by cells"))
+    c = spark.createDataFrame([(k, 0.0, float(k % 4), 1.0) for k in range(200, 0, -1)], "cast_id int, cast_time double, lat double, lon double")
+    m = spark.createDataFrame([(k, 10.0, k + 0.1, 1.0) for k in range(4)], "chunk int, time double, lat double, lon double")
+    assert {r["chunk"]: r["cast_id"] for r in series.nearest_cast(m, c, method).collect()} == {0: 4, 1: 1, 2: 2, 3: 3}
