@@ -412,3 +412,12 @@ def test_leaves_of_points_beyond_the_first_square(spark):
     key = lambda df: sorted(map(repr, (tuple(r) for r in df.select("level", "i", "j", "points").collect())))
     found = grid.leaves_of(p, leaves, (0.0, 0.0), 8.0).groupBy("level", "i", "j").agg(F.count("*").alias("points"))
     assert key(found) == key(leaves) and found.agg(F.sum("points")).first()[0] == 257
+
+
+def test_times_that_rows_share_are_looked_up_once(spark):
+    """Rows of equal times, of none and of no system get what interpolate() gives each of them, once each."""
+    times = [(s, t) for s in ("a", "b", None) for t in (-5.0, 3.0, 3.0, 599.5, 600.0, 1300.25, None) for _ in range(3)]
+    left = spark.createDataFrame([(k, *x) for k, x in enumerate(times)], "ping long, system string, time double")
+    right = spark.createDataFrame([("a", float(t), t * 7 % 360.0) for t in range(0, 1400, 100)] + [("b", 10.0, 5.0)], "system string, time double, h double")
+    want, got = (sorted(map(repr, f(left, right, ["h"], headings=("h",)).collect())) for f in (timejoin.interpolate, timejoin.interpolate_once))
+    assert len(got) == len(times) and got == want
