@@ -202,3 +202,33 @@ def test_casts_of_one_place_count_once(spark, monkeypatch, method):
     c = spark.createDataFrame([(k, 0.0, float(k % 4), 1.0) for k in range(200, 0, -1)], "cast_id int, cast_time double, lat double, lon double")
     m = spark.createDataFrame([(k, 10.0, k + 0.1, 1.0) for k in range(4)], "chunk int, time double, lat double, lon double")
     assert {r["chunk"]: r["cast_id"] for r in series.nearest_cast(m, c, method).collect()} == {0: 4, 1: 1, 2: 2, 3: 3}
+
+
+def test_pairs_of_lines_that_share_ends(spark):
+    """Lines of one place, of places that share an end, and of none: what the loop over all pairs takes, in rounds that don't grow with the lines."""
+    r = random.Random(4)
+    ends = [(40 + r.uniform(0, 0.1), -70 + r.uniform(0, 0.1)) for _ in range(5)]
+    lines = []
+    for k in range(160):
+        i = r.randrange(4)
+        lines.append((k, r.choice([0.0, 180.0, 90.0, 271.0, -95.0, 540.0]) + r.choice([0, 5, 12]), *(ends[i] + ends[i + 1] if k % 3 else ends[i] + (40.5 + i, -60.0))))
+    lines += [(1000 + k, 20.0 + k % 2 * 180.0, *[v for _ in range(2) for v in (40 + r.gauss(0, 0.02), -70 + r.gauss(0, 0.02))]) for k in range(30)]
+    lines += [(2000, None, *ends[0], *ends[1]), (2001, 0.0, None, -70.0, *ends[1]), (2002, float("nan"), *ends[0], *ends[1])]
+    df = spark.createDataFrame(lines, "line long, azimuth double, start_lat double, start_lon double, end_lat double, end_lon double")
+    pairs = []
+    some = [x for x in lines if x[0] not in (2000, 2002)]
+    for i, a in enumerate(some):
+        for b in some[i + 1 :]:
+            km = min(haversine(p, q) for p in (a[2:4], a[4:6]) for q in (b[2:4], b[4:6]) if None not in p + q)
+            if abs((a[1] - b[1]) % 360 - 180) <= 20 and km <= 64:
+                pairs.append((km, a[0], b[0]))
+    used, want = set(), set()
+    for _, a, b in sorted(pairs):
+        if a not in used and b not in used:
+            used |= {a, b}
+            want.add((a, b))
+    want |= {(x[0], None) for x in lines if x[0] not in used}
+    got = params.paired_lines(df, 20.0, 64.0).collect()
+    assert {(x["a"], x["b"]) for x in got} == want and len(got) == len(want)
+    same = {(x["a"], x["b"]) for x in params._of_shared_ends(df, 20.0).collect()}
+    assert same == {(a, b) for a, b in want if (0.0, a, b) in set(pairs)} and len(same) > 40
