@@ -28,6 +28,8 @@ HEADER = struct.Struct("<4sIIIIII")
 FOOTER = struct.Struct("<4sQQI")
 _U = np.uint64
 TOP, BOTTOM = _U(1 << 48), _U(1 << 32)
+#: A prediction's next confidence by the one it has, where it failed and where it held.
+_SURE = np.array([[c // 2 if c else 1 for c in range(CONFIDENCE + 1)], [min(c + 1, CONFIDENCE) for c in range(CONFIDENCE + 1)]], np.int8).reshape(-1)
 
 
 class Model:
@@ -46,17 +48,25 @@ class Model:
         freq = 1 + self.counts * free // max(int(self.counts.sum()), 1)
         freq[0] += (1 << ORDER0_BITS) - int(freq.sum())
         self.low0 = np.concatenate([[0], np.cumsum(freq)]).astype(np.int64)
+        self.freq0, self.of0 = freq, None
+
+    def at0(self, values: np.ndarray) -> np.ndarray:
+        """The ids whose order-0 ranges hold the values; a table that is made when first asked for."""
+        if self.of0 is None:
+            self.of0 = np.repeat(np.arange(self.size, dtype=np.int32), self.freq0)
+        return self.of0[np.minimum(values, (1 << ORDER0_BITS) - 1)].astype(np.int64)
 
     def predict(self, before2: np.ndarray, before1: np.ndarray) -> None:
         self.at1 = before1
         self.at2 = ((before2 * 0x9E3779B1 + before1 * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - TABLE2_BITS)
         self.guess1, self.guess2 = self.id1[self.at1], self.id2[self.at2]
-        self.context = (self.sure2[self.at2].astype(np.int64) * (CONFIDENCE + 1) + self.sure1[self.at1]) * 3
+        self.was1, self.was2 = self.sure1[self.at1], self.sure2[self.at2]
+        self.context = (self.was2.astype(np.int64) * (CONFIDENCE + 1) + self.was1) * 3
         w = self.mix.reshape(-1, 3)
         share = ((1 << MIX_BITS) - 3) * w // w.sum(1, keepdims=True) + 1
         share[:, 2] += (1 << MIX_BITS) - share.sum(1)
-        self.mix_freq = share.reshape(-1)
-        self.mix_low = np.stack([np.zeros(len(share), np.int64), share[:, 0], share[:, 0] + share[:, 1]], 1).reshape(-1)
+        self.mix_freq = share.reshape(-1).astype(_U)
+        self.mix_low = np.stack([np.zeros(len(share), np.int64), share[:, 0], share[:, 0] + share[:, 1]], 1).reshape(-1).astype(_U)
 
     def which(self, ids: np.ndarray) -> np.ndarray:
         """0: the order-2 prediction holds, 1: the order-1 prediction, 2: neither."""
@@ -67,10 +77,10 @@ class Model:
         if self.mix.max() > 1 << 24:
             self.mix = (self.mix + 1) // 2
         np.add.at(self.counts, ids, 1)
-        for at, guess, sure, table in ((self.at1, self.guess1, self.sure1, self.id1), (self.at2, self.guess2, self.sure2, self.id2)):
-            s, hit = sure[at], guess == ids
-            table[at] = np.where(hit | (s > 0), guess, ids)
-            sure[at] = np.where(hit, np.minimum(s + 1, CONFIDENCE), np.where(s > 0, s // 2, 1))
+        for at, guess, s, sure, table in ((self.at1, self.guess1, self.was1, self.sure1, self.id1), (self.at2, self.guess2, self.was2, self.sure2, self.id2)):
+            new = np.flatnonzero(s == 0)  # a prediction that has no confidence left is replaced
+            table[at[new]] = ids[new]
+            sure[at] = _SURE[(guess == ids) * np.int8(CONFIDENCE + 1) + s]
         self.step += 1
         if self.step <= 8 or self.step % 8 == 0:
             self._order0()
@@ -92,28 +102,30 @@ def encode_block(ids: np.ndarray, size: int) -> bytes:
     what: list[np.ndarray] = []
 
     def settle(lo: np.ndarray, r: np.ndarray, lane: np.ndarray) -> None:
+        out = np.arange(len(lo))
         while True:
-            done = (lo ^ (lo + r)) < TOP
-            small = ~done & (r < BOTTOM)
-            out = np.flatnonzero(done | small)
+            x, y = lo[out], r[out]
+            done = (x ^ (x + y)) < TOP
+            small = ~done & (y < BOTTOM)
+            s = out[small]
+            out = out[done | small]  # only these may have more to settle
             if not len(out):
                 return
-            s = np.flatnonzero(small)
             r[s] = (_U(0) - lo[s]) & (BOTTOM - _U(1))
             who.append(lane[out])
             what.append((lo[out] >> _U(48)).astype("<u2"))
             lo[out] <<= _U(16)
             r[out] <<= _U(16)
 
-    every = np.arange(lanes, dtype=np.int32)
+    every = np.arange(lanes, dtype=np.uint16 if lanes <= 1 << 16 else np.int32)  # short numbers are sorted faster
     with np.errstate(over="ignore"):
         for t in range(STEPS):
             model.predict(x[t - 2] if t > 1 else zero, x[t - 1] if t else zero)
             which = model.which(x[t])
             k = model.context + which
             rng >>= _U(MIX_BITS)
-            low += model.mix_low[k].astype(_U) * rng
-            rng *= model.mix_freq[k].astype(_U)
+            low += model.mix_low[k] * rng
+            rng *= model.mix_freq[k]
             settle(low, rng, every)
             miss = np.flatnonzero(which == 2)
             if len(miss):
@@ -160,13 +172,15 @@ def decode_block(header: bytes, payload: bytes) -> np.ndarray:
     x = np.zeros((STEPS, lanes), np.int64)
 
     def settle(lo: np.ndarray, r: np.ndarray, c: np.ndarray, lane: np.ndarray) -> None:
+        out = np.arange(len(lo))
         while True:
-            done = (lo ^ (lo + r)) < TOP
-            small = ~done & (r < BOTTOM)
-            out = np.flatnonzero(done | small)
+            x, y = lo[out], r[out]
+            done = (x ^ (x + y)) < TOP
+            small = ~done & (y < BOTTOM)
+            s = out[small]
+            out = out[done | small]
             if not len(out):
                 return
-            s = np.flatnonzero(small)
             r[s] = (_U(0) - lo[s]) & (BOTTOM - _U(1))
             c[out] = (c[out] << _U(16)) | word(lane[out])
             lo[out] <<= _U(16)
@@ -176,18 +190,18 @@ def decode_block(header: bytes, payload: bytes) -> np.ndarray:
         for t in range(STEPS):
             model.predict(x[t - 2] if t > 1 else zero, x[t - 1] if t else zero)
             rng >>= _U(MIX_BITS)
-            value = ((code - low) // rng).astype(np.int64)
+            value = (code - low) // rng
             k0 = model.context
             which = (value >= model.mix_low[k0 + 1]).astype(np.int64) + (value >= model.mix_low[k0 + 2])
             k = k0 + which
-            low += model.mix_low[k].astype(_U) * rng
-            rng *= model.mix_freq[k].astype(_U)
+            low += model.mix_low[k] * rng
+            rng *= model.mix_freq[k]
             settle(low, rng, code, every)
             ids = np.where(which == 0, model.guess2, model.guess1).astype(np.int64)
             miss = np.flatnonzero(which == 2)
             if len(miss):
                 lo, r, c = low[miss], rng[miss] >> _U(ORDER0_BITS), code[miss]
-                v = np.searchsorted(model.low0, ((c - lo) // r).astype(np.int64), "right") - 1
+                v = model.at0(((c - lo) // r).astype(np.int64))
                 a = model.low0[v]
                 lo += a.astype(_U) * r
                 r *= (model.low0[v + 1] - a).astype(_U)

@@ -121,3 +121,14 @@ def test_plan_uses_every_piece_once():
         assert used == counts
     assert packing.plan({2000: 3, 40: 3, 8: 3}) == [([2000, 40, 8], 3)]
     assert packing.plan({1024: 5}) == [([1024, 1024], 2), ([1024], 1)]
+
+
+def test_a_table_finds_what_a_search_finds():
+    m, r = codec.Model(700), np.random.default_rng(2)
+    zero = np.zeros(50, np.int64)
+    for _ in range(3):
+        v = r.integers(0, 1 << codec.ORDER0_BITS, 4000)
+        assert (m.at0(v) == np.searchsorted(m.low0, v, "right") - 1).all()
+        ids = r.zipf(1.3, 50) % 700
+        m.predict(zero, zero)
+        m.learn(ids, m.which(ids))
