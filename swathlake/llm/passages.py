@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .jaccard import FILTER_BITS, key_filter
-from .shared import _power_tables, _ranges, anti_by_id, mix, semi_by_id, shingle_hashes, signed, slices, text_bytes, word_hashes, written
+from .shared import _power_tables, _ranges, anti_by_id, drop_written, mix, semi_by_id, shingle_hashes, signed, slices, text_bytes, word_hashes, written
 
 SHINGLE, LEAST_WORDS, SIMILARITY = 5, 50, 0.8
 HASHES = 4
@@ -170,13 +170,14 @@ def _agreeing(pair: np.ndarray, at: np.ndarray, span: np.ndarray, other_at: np.n
     return out
 
 
-def _candidates(occurrences: DataFrame) -> DataFrame:
-    """(doc_id, at, other, other_at): one anchor for each STEP words of a diagonal where windows of two hash functions meet as intervals, on whatever diagonals, as inserted and deleted words move the rest to others."""
+def _candidates(occurrences: DataFrame, spent: list[DataFrame]) -> DataFrame:
+    """(doc_id, at, other, other_at): one anchor for each STEP words of a diagonal where windows of two hash functions meet as intervals, on whatever diagonals, as inserted and deleted words move the rest to others. `spent` gets the tables that nothing needs when the result is written."""
     found = None
     for group in ("key", "after", "before"):
         o = occurrences.select(F.col(group).alias("g"), "doc_id", "at", "span")
         lead = F.col("lead")
-        p = o.join(_lead(o, "span"), "g").where(F.col("doc_id") != lead["doc_id"]).select("doc_id", lead["doc_id"].alias("other"), "at", "span", lead["at"].alias("other_at"), lead["span"].alias("other_span"))
+        spent.append(_lead(o, "span"))
+        p = o.join(spent[-1], "g").where(F.col("doc_id") != lead["doc_id"]).select("doc_id", lead["doc_id"].alias("other"), "at", "span", lead["at"].alias("other_at"), lead["span"].alias("other_span"))
         found = p if found is None else found.unionByName(p)
     names = found.columns
 
@@ -279,9 +280,7 @@ def _exact(docs: DataFrame, bits, held: DataFrame) -> DataFrame:
     anchors = lambda d: d.groupBy("doc_id", "other", "diagonal", F.floor(F.col("at") / STEP).alias("step")).agg(F.min("at").alias("at")).select("doc_id", "at", "other", (F.col("at") - F.col("diagonal")).cast("int").alias("other_at"))
 
     def verified(links: DataFrame) -> DataFrame:
-        p = written(anchors(links), "links")
-        ends = p.select("doc_id", "at").unionByName(p.select(F.col("other").alias("doc_id"), F.col("other_at").alias("at")))
-        return written(_verified(p, _stretches(docs, ends)), "linked")
+        return _held_links(docs, written(anchors(links), "links"), "linked")
 
     links = written(_unheld(_led(_runs(docs, bits)), held, short), "unlinked")
     if links.isEmpty():
@@ -315,7 +314,9 @@ def _stretches(docs: DataFrame, anchors: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(anchor, pa.int32()), pa.array(first, pa.int32()), pa.array(out, pa.binary())], ["doc_id", "at", "first", "words"])
 
     d = semi_by_id(docs, wanted.select("doc_id"), "doc_id")
-    return written(d.join(wanted, "doc_id").mapInArrow(make, "doc_id long, at int, first int, words binary"), "stretches")
+    out = written(d.join(wanted, "doc_id").mapInArrow(make, "doc_id long, at int, first int, words binary"), "stretches")
+    drop_written(wanted)
+    return out
 
 
 def _shingled(w: np.ndarray) -> np.ndarray:
@@ -542,6 +543,15 @@ def _verified(pairs: DataFrame, stretches: DataFrame) -> DataFrame:
     return pairs.join(mine, ["doc_id", "at"]).join(theirs, ["other", "other_at"]).mapInArrow(make, "doc_id long, other long, diagonal long, begin long, end long, other_end long")
 
 
+def _held_links(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """_verified() of written candidates, written under a name; the candidates and the words around them are deleted then."""
+    ends = pairs.select("doc_id", "at").unionByName(pairs.select(F.col("other").alias("doc_id"), F.col("other_at").alias("at")))
+    stretches = _stretches(docs, ends)
+    out = written(_verified(pairs, stretches), name)
+    drop_written(pairs, stretches)
+    return out
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, begin, end, other_id, other_begin, other_end): words [begin, end) of a document that repeat in another as its words [other_begin, other_end), with words replaced, inserted or deleted.
 
@@ -569,10 +579,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     unique = anti_by_id(docs, copies.select("doc_id").distinct(), "doc_id")
     shared = written(_occurrences(unique).groupBy("key").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("q")).where("p <> q").select("key"), "shared")
     bits = key_filter(shared)
+    drop_written(shared)
     occurrences = written(_occurrences(unique, bits), "occurrences")
-    pairs = written(_candidates(occurrences), "candidates")
-    anchors = pairs.select("doc_id", "at").unionByName(pairs.select(F.col("other").alias("doc_id"), F.col("other_at").alias("at")))
-    held = written(_verified(pairs, _stretches(unique, anchors)), "held")
+    spent = [occurrences]
+    pairs = written(_candidates(occurrences, spent), "candidates")
+    drop_written(*spent)
+    held = _held_links(unique, pairs, "held")
     held = _exact(unique, bits, held)
     w = Window.partitionBy("doc_id", "other", "diagonal").orderBy("begin", "end")
     fresh = (F.col("begin") > F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("long")

@@ -270,3 +270,22 @@ def test_odd_rows(spark, odd_docs, no_docs):
     rows = P.repeated_passages(odd_docs).collect()
     assert {(r["doc_id"], r["other_id"]) for r in rows} == {(2, 1), (3, 1)}
     assert P.repeated_passages(no_docs).count() == 0
+
+
+def test_spent_tables_are_deleted(spark):
+    """Tables that only candidates and their verification need are gone when the result is there."""
+    import os
+
+    from swathlake.llm import shared
+
+    r = random.Random(21)
+    words = [f"w{k}" for k in range(400)]
+    common = [r.choice(words) for _ in range(70)]
+    rows = [(i, " ".join([r.choice(words) for _ in range(30)] + common + [r.choice(words) for _ in range(30)])) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    where = shared.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(where))
+    found = P.repeated_passages(docs).collect()
+    assert {x["doc_id"] for x in found} == {1, 2, 3}
+    names = {x.rpartition("-")[0] for x in set(os.listdir(where)) - before}
+    assert "held" in names and not names & {"shared", "occurrences", "candidates", "anchors", "stretches"}
