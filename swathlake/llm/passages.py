@@ -6,7 +6,8 @@ minima, so windows meet by the hash at c. Equal minima are linked through the sm
 and together with the words after or before, so that a short common line doesn't hide a longer passage. Windows that met
 are joined as intervals: where those of two hash functions take in one stretch of LEAST_WORDS in both documents, it has
 both minima in common and is a candidate, and each is verified on the words around it, lined up.
-Exact runs of LEAST_WORDS words whose holders stay unlinked to their smallest one meet once more by all their words.
+Alike stretches have an exact run of RUN shingles in common, which holds a minimum of the first hash function with its
+context on one side. So holders of such a context that stay unlinked to the smallest one are compared with every other.
 """
 
 from __future__ import annotations
@@ -19,17 +20,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import components
 from .jaccard import FILTER_BITS, key_filter
-from .shared import _power_tables, _ranges, anti_by_id, drop_written, mix, semi_by_id, shingle_hashes, signed, slices, text_bytes, word_hashes, written
+from .shared import _ranges, anti_by_id, drop_written, mix, semi_by_id, shingle_hashes, signed, slices, text_bytes, word_hashes, written
 
 SHINGLE, LEAST_WORDS, SIMILARITY = 5, 50, 0.8
-HASHES = 4
-#: Shingles before or after c that a context takes in; words on either side of an anchor that verification reads; anchors nearer than STEP on a diagonal are one.
-CONTEXT, REACH, STEP, GAP = 8, 56, 32, 8
+HASHES = 3
+#: Shingles of an exact run that any two alike stretches share: of LEAST_WORDS words, a changed word leaves so many on one side.
+RUN = 20
+#: Shingles before or after c that a context takes in, so that a run of RUN holds one of the two; words on either side of an anchor that verification reads; anchors nearer than STEP on a diagonal are one.
+CONTEXT, REACH, STEP, GAP = RUN // 2, 56, 32, 8
 #: Shingles on either side of c up to which a window's bounds are kept, more than twice what verification reads.
 WIDE = 127
-#: Places in a run that are told together before the runs are told one by one.
-STRIDE = 12
+#: Holders of a context that one task compares with as many others, and pairs that it compares at once.
+CHUNK, AT_ONCE = 512, 1 << 15
+#: Pairs for each of the tasks that compare them.
+PAIRS = 100_000
 
 
 def _window_minima(x: np.ndarray, size: int) -> np.ndarray:
@@ -85,8 +91,29 @@ def _held(bits, key: np.ndarray) -> np.ndarray:
     return (bits.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
 
 
+def _first(key: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """One place of each key of a row."""
+    order = np.lexsort((key, row))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(key[order]) != 0) | (np.diff(row[order]) != 0)
+    return order[new]
+
+
+def _ends(key: np.ndarray, c: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The places of a key, of those within RUN words of each other (a line said over and over) the first, the last and one for each STEP words between, which verification covers."""
+    order = np.lexsort((c, key, row))
+    k, at, i = key[order], c[order], row[order]
+    new = np.ones(len(order) + 1, bool)
+    new[1:-1] = (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (at[1:] - at[:-1] > RUN)
+    begin = np.flatnonzero(new[:-1])
+    step = (at - np.repeat(at[begin], np.diff(np.append(begin, len(at))))) // STEP
+    keep = new[:-1] | new[1:]
+    keep[1:] |= step[1:] != step[:-1]
+    return np.sort(order[keep])
+
+
 def _occurrences(docs: DataFrame, only=None) -> DataFrame:
-    """key, doc_id; with `only`, a broadcast filter of keys: also the word position of c, its window, and the contexts after and before.
+    """key, doc_id; with `only`, a broadcast filter of keys: also the word position of c, its window, and the contexts after and before. Of the first hash function also windows of RUN.
 
     `span` holds a window's shingles before c, those from c on (both WIDE at most) and the hash function, in 7, 7 and 2 bits.
     """
@@ -102,11 +129,12 @@ def _occurrences(docs: DataFrame, only=None) -> DataFrame:
             parts = []
             for h in range(HASHES):
                 v = mix(s ^ mix(np.array([h + 1], np.uint64))[0])
+                size = least if h else RUN
                 if only is None:
-                    c = centres(v, at, least)
+                    c = centres(v, at, size)
                     span = np.zeros(len(c), np.int32)
                 else:
-                    l, c, r = compact_windows(v, at, least)
+                    l, c, r = compact_windows(v, at, size)
                     span = (np.minimum(c - l, WIDE) << 9 | np.minimum(r - c, WIDE) << 2 | h).astype(np.int32)
                 row = row_of[c]
                 ok = ~short[row]
@@ -117,6 +145,8 @@ def _occurrences(docs: DataFrame, only=None) -> DataFrame:
                     key, c, row, span = key[ok], c[ok], row[ok], span[ok]
                 parts.append((key, c, row, span))
             key, c, row, span = (np.concatenate(x) for x in zip(*parts, strict=True))
+            told = _ends(key, c, row) if only is not None else _first(key, row)
+            key, c, row, span = key[told], c[told], row[told], span[told]
             doc = b.column("doc_id").take(pa.array(row))
             if only is None:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(key)), doc], ["key", "doc_id"])
@@ -173,8 +203,9 @@ def _agreeing(pair: np.ndarray, at: np.ndarray, span: np.ndarray, other_at: np.n
 def _candidates(occurrences: DataFrame, spent: list[DataFrame]) -> DataFrame:
     """(doc_id, at, other, other_at): one anchor for each STEP words of a diagonal where windows of two hash functions meet as intervals, on whatever diagonals, as inserted and deleted words move the rest to others. `spent` gets the tables that nothing needs when the result is written."""
     found = None
+    wide = F.shiftright("span", 9) + F.shiftright("span", 2).bitwiseAND(WIDE) >= LEAST_WORDS - SHINGLE + 1
     for group in ("key", "after", "before"):
-        o = occurrences.select(F.col(group).alias("g"), "doc_id", "at", "span")
+        o = occurrences.where(wide).select(F.col(group).alias("g"), "doc_id", "at", "span")
         lead = F.col("lead")
         spent.append(_lead(o, "span"))
         p = o.join(spent[-1], "g").where(F.col("doc_id") != lead["doc_id"]).select("doc_id", lead["doc_id"].alias("other"), "at", "span", lead["at"].alias("other_at"), lead["span"].alias("other_span"))
@@ -210,88 +241,125 @@ def _candidates(occurrences: DataFrame, spent: list[DataFrame]) -> DataFrame:
     return found.repartition("doc_id", "other").sortWithinPartitions(*names).mapInArrow(join, "doc_id long, at int, other long, other_at int")
 
 
-def _runs(docs: DataFrame, bits, failed=None) -> DataFrame:
-    """(g, doc_id, at): what the exact runs of LEAST_WORDS words have in common, by the first hash function's windows, which hold each run of a document once.
+def _unlinked(occurrences: DataFrame, held: DataFrame) -> DataFrame:
+    """(g, doc_id, at, open, root): who holds the contexts of the first hash function's minima, of contexts where `held` leaves a holder unlinked to the smallest one, itself or over others; those holders are open. Documents that links lead between have one root."""
+    first = occurrences.where("span & 3 = 0")
+    runs = first.select(F.col("after").alias("g"), "doc_id", "at").unionByName(first.select(F.col("before").alias("g"), "doc_id", "at"))
+    lead = written(runs.groupBy("g").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead <> last").select("g", "lead"), "leads")
+    links = runs.join(lead, "g").where("doc_id <> lead")
+    h = held.select("doc_id", F.col("other").alias("lead"), "begin", "end").distinct()
+    apart = written(links.join(h, [links["doc_id"] == h["doc_id"], links["lead"] == h["lead"], h["begin"] <= links["at"], h["end"] > links["at"]], "left_anti").select("g", "doc_id", "at", "lead"), "unlinked")
+    # a place in a passage of another document is linked if that leads to the smallest holder
+    classes = written(components(held.select(F.xxhash64("doc_id").alias("a"), F.xxhash64("other").alias("b"))), "classes")
+    mine, theirs = classes.select(F.col("node").alias("n1"), F.col("root").alias("r1")), classes.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
+    apart, spent = apart.join(mine, F.xxhash64("doc_id") == F.col("n1"), "left").join(theirs, F.xxhash64("lead") == F.col("n2"), "left"), apart
+    apart = written(apart.select("g", "doc_id", "at", F.coalesce(F.col("r1") == F.col("r2"), F.lit(False)).alias("met")), "unlinked")
+    inside = held.select("doc_id", "begin", "end").unionByName(held.select(F.col("other").alias("doc_id"), (F.col("begin") - F.col("diagonal")).alias("begin"), F.col("other_end").alias("end"))).distinct()
+    linked, drop = apart.where("met"), [lead, spent, classes, apart]
+    apart = linked.join(inside, [linked["doc_id"] == inside["doc_id"], inside["begin"] <= linked["at"], inside["end"] > linked["at"]], "left_anti").unionByName(apart.where("not met")).drop("met")
+    apart = written(apart, "unlinked")
+    members = runs.join(apart.select("g").distinct(), "g", "left_semi")
+    out = members.join(apart.withColumn("open", F.lit(True)), ["g", "doc_id", "at"], "left").select("g", "doc_id", "at", F.coalesce("open", F.lit(False)).alias("open"))
+    root = F.coalesce("r1", F.xxhash64("doc_id")).alias("root")
+    out = written(out.join(mine, F.xxhash64("doc_id") == F.col("n1"), "left").select("g", "doc_id", "at", "open", root), "members")
+    drop_written(*drop, apart)
+    return out
 
-    A run is told by the place of the window's minimum in it, STRIDE places together: g is the hash of the shingles that
-    runs of those places all have, `at` the first one's word. With `failed`, a broadcast filter of such g: for these g
-    the runs themselves, each with all its words.
-    """
-    least = LEAST_WORDS - SHINGLE + 1
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            words, _, _, word_at = word_hashes(*text_bytes(b.column("text")))
-            s, at = shingle_hashes(words, word_at, SHINGLE)
-            row_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            v = mix(s ^ mix(np.array([1], np.uint64))[0])
-            l, c, r = compact_windows(v, at, least)
-            ok = _held(bits, mix(v[c]))
-            l, c, r = l[ok], c[ok], r[ok]
-            up, down = _power_tables(len(s) + 1)
-            total = np.zeros(len(s) + 1, np.uint64)
-            with np.errstate(over="ignore"):
-                np.cumsum(s * up[: len(s)], out=total[1:])
-
-            def told(begin, end, total=total, down=down):
-                with np.errstate(over="ignore"):
-                    return mix((total[end] - total[begin]) * down[begin] ^ mix((end - begin).astype(np.uint64)))
-
-            out = []
-            for k in range(0, least, STRIDE):
-                first, last = np.maximum(l, c - min(k + STRIDE, least) + 1), np.minimum(c - k, r - least)
-                here = first <= last
-                first, last, m = first[here], last[here], c[here]
-                begin, end = m - k, np.maximum(m + 1, m - min(k + STRIDE, least) + 1 + least)
-                g = told(begin, end)
-                if failed is not None:
-                    again = _held(failed, g)
-                    first, last = first[again], last[again]
-                    begin = _ranges(first, last - first + 1)
-                    g = told(begin, begin + least)
-                out.append((g, begin))
-            g, begin = (np.concatenate(x) for x in zip(*out, strict=True))
-            row = row_of[begin]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(g)), b.column("doc_id").take(pa.array(row)), pa.array((begin - at[row]).astype(np.int32))], ["g", "doc_id", "at"])
-
-    return docs.mapInArrow(make, "g long, doc_id long, at int")
-
-
-def _led(runs: DataFrame) -> DataFrame:
-    """(g, doc_id, at, other, other_at): the holders of a run, each with the smallest document that holds it."""
-    return runs.join(_lead(runs), "g").where(F.col("doc_id") != F.col("lead.doc_id")).select("g", "doc_id", "at", F.col("lead.doc_id").alias("other"), F.col("lead.at").alias("other_at"))
-
-
-def _unheld(links: DataFrame, held: DataFrame, words: int) -> DataFrame:
-    """Links whose run of `words` words no row of `held` takes in on the same diagonal."""
-    h = held.select("doc_id", "other", "diagonal", "begin", "end").distinct()
-    on = ["doc_id", "other", "diagonal"]
-    d = links.withColumn("diagonal", (F.col("at") - F.col("other_at")).cast("long"))
-    return d.join(h, [d[c] == h[c] for c in on] + [h["begin"] <= d["at"], h["end"] >= d["at"] + words], "left_anti")
-
-
-def _exact(docs: DataFrame, bits, held: DataFrame) -> DataFrame:
-    """Rows as of _verified for the holders of exact runs of LEAST_WORDS words or more that `held` leaves unlinked to their lead.
-
-    First by what STRIDE places have in common; where the lead has only that in common, a line a little shorter than a
-    passage, the runs are told whole, so that those who have one meet without it.
-    """
-    short = LEAST_WORDS - STRIDE + 1
-    anchors = lambda d: d.groupBy("doc_id", "other", "diagonal", F.floor(F.col("at") / STEP).alias("step")).agg(F.min("at").alias("at")).select("doc_id", "at", "other", (F.col("at") - F.col("diagonal")).cast("int").alias("other_at"))
-
-    def verified(links: DataFrame) -> DataFrame:
-        return _held_links(docs, written(anchors(links), "links"), "linked")
+def _compared(members: DataFrame, stretches: DataFrame) -> DataFrame:
+    """Rows as of _verified for members as of _unlinked, each open one compared with every other of its context, in blocks of CHUNK by CHUNK; of a block's links those that join documents, and between joined ones those in line that reach open places."""
+    chunks = lambda c: F.greatest(F.ceil(c / CHUNK), F.lit(1)).cast("int")
+    counted = members.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.col("open").cast("long")).alias("m"))
+    tasks = 1 + min(int(counted.agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0))).first()[0]) // PAIRS, 1 << 14)
+    size = counted.select("g", chunks(F.col("n")).alias("all"), chunks(F.col("m")).alias("asking"))
+    dealt = lambda k: F.pmod(F.xxhash64("doc_id", "at"), F.col(k)).cast("int")
+    numbers = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    m = members.join(size, "g").join(stretches.select("doc_id", "at", "first", "words"), ["doc_id", "at"])
+    ask = m.where("open").withColumn("i", dealt("asking")).withColumn("j", numbers("all")).withColumn("asks", F.lit(True))
+    told = m.withColumn("j", dealt("all")).withColumn("i", numbers("asking")).withColumn("asks", F.lit(False))
+    columns = ["g", "i", "j", "asks", "doc_id", "at", "open", "root", "first", "words"]
+    blocks = ask.select(columns).unionByName(told.select(columns)).repartition(tasks, "g", "i", "j").sortWithinPartitions("g", "i", "j", "asks", "doc_id", "at")
+
+    def block_pairs(x: pa.RecordBatch):
+        """Rows of pairs (one that asks, one that is told) of each block, AT_ONCE or a little more together."""
+        key = np.stack([x.column(c).to_numpy().astype(np.int64) for c in ("g", "i", "j")])
+        begin = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0).any(0)]))
+        asks = x.column("asks").to_numpy(zero_copy_only=False)
+        end = np.append(begin[1:], len(asks))
+        block = np.repeat(np.arange(len(begin)), end - begin)
+        asked = np.add.reduceat((~asks).astype(np.int64), begin)
+        who = np.flatnonzero(asks)
+        n = asked[block[who]]
+        part = (np.cumsum(n) - n) // AT_ONCE
+        for k in np.flatnonzero(np.concatenate([[True], np.diff(part) != 0])) if len(who) else ():
+            to = int(np.searchsorted(part, part[k], "right"))
+            yield np.repeat(who[k:to], n[k:to]), _ranges(begin[block[who[k:to]]], n[k:to]), block
+
+    def compare(x: pa.RecordBatch) -> pa.RecordBatch:
+        doc, at, first, root = (x.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "at", "first", "root"))
+        is_open = x.column("open").to_numpy(zero_copy_only=False)
+        words, there = _around(x.column("words"), at - first)
+        # a run of RUN shingles that holds the anchor
+        near = words[:, REACH - RUN + 1 : REACH + RUN + SHINGLE - 1].copy()
+        near[~there[:, REACH - RUN + 1 : REACH + RUN + SHINGLE - 1]] = 0
+        bits, least = _sketches(_shingled_rows(words, there))
+        mid, out, node, joined = RUN - 1, [], None, None
+        for p, q, block in block_pairs(x):
+            if node is None:
+                node, place = (np.unique(np.stack(z), axis=1, return_inverse=True)[1].reshape(-1) for z in ([block, root], [block, doc, at]))
+                joined, due = np.arange(len(doc)), np.zeros(len(doc), bool)
+                due[place[is_open]] = True
+            # of two open ones the greater asks
+            ok = (doc[p] > doc[q]) | (doc[p] < doc[q]) & ~is_open[q]
+            p, q = p[ok], q[ok]
+            same = near[p] == near[q]
+            run = np.logical_and.accumulate(same[:, mid::-1], axis=1).sum(1) + np.logical_and.accumulate(same[:, mid:], axis=1).sum(1) - 1
+            ok = np.flatnonzero(run >= RUN + SHINGLE - 1)
+            ok = ok[np.bitwise_count(bits[p[ok]] & bits[q[ok]]).sum(1) >= np.maximum(least[p[ok]], least[q[ok]])]
+            ok = ok[np.lexsort((doc[p[ok]], at[q[ok]], doc[q[ok]], block[p[ok]]))]  # the first ones join most, and what is joined is not asked again
+            p, q = p[ok], q[ok]
+            for k in range(0, len(p), 512):
+                a, b = p[k : k + 512], q[k : k + 512]
+                apart = joined[node[a]] != joined[node[b]]
+                for shifted, ask in ((True, apart), (False, ~apart & (due[place[a]] | due[place[b]]))):
+                    i, j = np.where(doc[a] > doc[b], a, b)[ask], np.where(doc[a] > doc[b], b, a)[ask]
+                    hits = verify_all(words[i], there[i], words[j], there[j], shifted) if len(i) else []
+                    for i, j, h in zip(i.tolist(), j.tolist(), hits, strict=True):  # noqa: B020
+                        if h is not None and (joined[node[i]] != joined[node[j]] or due[place[i]] or due[place[j]]):
+                            joined[joined == joined[node[i]]] = joined[node[j]]
+                            due[place[i]] = due[place[j]] = False
+                            out.append((doc[i], doc[j], first[i] + h[0] - first[j] - h[2], first[i] + h[0], first[i] + h[1], first[j] + h[3]))
+        cols = np.array(out, np.int64).reshape(-1, 6).T
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "other", "diagonal", "begin", "end", "other_end"])
 
-    links = written(_unheld(_led(_runs(docs, bits)), held, short), "unlinked")
-    if links.isEmpty():
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks come sorted; the last one of a batch waits for its rest."""
+        rest = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b if rest is None else pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+            key = np.stack([x.column(c).to_numpy().astype(np.int64) for c in ("g", "i", "j")])
+            cut = int(np.argmax((key == key[:, -1:]).all(0)))
+            if cut:
+                yield compare(x.slice(0, cut))
+            rest = x.slice(cut)
+        if rest is not None:
+            yield compare(rest)
+
+    return blocks.mapInArrow(make, "doc_id long, other long, diagonal long, begin long, end long, other_end long")
+
+
+def _rest(docs: DataFrame, occurrences: DataFrame, held: DataFrame) -> DataFrame:
+    """`held` and what it leaves out: the links of those that the smallest holder of a context does not link."""
+    members = _unlinked(occurrences, held)
+    if members.isEmpty():
+        drop_written(members)
         return held
-    more = verified(links)
-    failed = written(_unheld(links, more, short).select(F.col("g").alias("key")).distinct(), "failed")
-    if failed.isEmpty():
-        return held.unionByName(more)
-    both = held.unionByName(more)
-    links = written(_unheld(_led(_runs(docs, bits, key_filter(failed))), both, LEAST_WORDS), "unlinked")
-    return both if links.isEmpty() else both.unionByName(verified(links))
+    stretches = _stretches(docs, members.select("doc_id", "at"))
+    more = written(_compared(members, stretches), "linked")
+    drop_written(members, stretches)
+    return held.unionByName(more)
 
 
 def _stretches(docs: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -390,12 +458,12 @@ def _stretch(same: np.ndarray, k: int) -> tuple[int, int] | None:
     return (int(starts[j]), int(starts[j] + size[j])) if size[j] >= LEAST_WORDS else None
 
 
-def verify(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int, int, int] | None:
+def verify(a: np.ndarray, b: np.ndarray, i: int, j: int, shifted: bool = True) -> tuple[int, int, int, int] | None:
     """Begin and end in a and in b of the stretches around the anchor a[i] = b[j] that are alike.
 
     Along the diagonal the match may go on over at most GAP differing words in a row, and must have a Jaccard similarity
     of SIMILARITY in shingles; exact runs of LEAST_WORDS hold as they are where nothing longer does; else words may be
-    inserted or deleted, and the two stretches are lined up. None otherwise.
+    inserted or deleted, and the two stretches are lined up, if `shifted`. None otherwise.
     """
     lo, hi = -min(i, j), min(len(a) - i, len(b) - j)
     if hi <= 0:
@@ -423,7 +491,7 @@ def verify(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int, int,
     if found:
         p, q = found[0] + lo, found[1] + lo
         return i + p, i + q, j + p, j + q
-    return _aligned(a, b)
+    return _aligned(a, b) if shifted else None
 
 
 def _around(words: pa.Array, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -439,7 +507,7 @@ def _around(words: pa.Array, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, there
 
 
-def verify_all(a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray) -> list[tuple[int, int, int, int] | None]:
+def verify_all(a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray, shifted: bool = True) -> list[tuple[int, int, int, int] | None]:
     """verify() for rows of words around an anchor in column REACH, with what there is of them: all rows at once where a run or a whole stretch decides, else row by row."""
     same = (a == b) & ra & rb
     n, width = same.shape
@@ -475,9 +543,12 @@ def verify_all(a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray) ->
         sure = exact[rest] | in_line | (distinct >= SIMILARITY * (LEAST_WORDS - SHINGLE + 1))
         ask = np.flatnonzero(more & ~sure)
         sure[ask] = _alike_in_line(x[ask], y[ask], same[rest[ask]], p[rest[ask]], q[rest[ask]])
+        ask = np.flatnonzero(more & sure & ~exact[rest] & ~in_line)
+        ask = ask[~_alike_in_line(x[ask], y[ask], same[rest[ask]], p[rest[ask]], q[rest[ask]])]
+        more[ask] = _may_line_up(x[ask], y[ask]) if shifted else False  # nothing but other lines is left for these
         rest = rest[more & sure]
     for k in rest.tolist():
-        out[k] = verify(a[k][ra[k]], b[k][rb[k]], REACH - int(first[0][k]), REACH - int(first[1][k]))
+        out[k] = verify(a[k][ra[k]], b[k][rb[k]], REACH - int(first[0][k]), REACH - int(first[1][k]), shifted)
     return out
 
 
@@ -502,10 +573,32 @@ def _alike_in_line(x: np.ndarray, y: np.ndarray, same: np.ndarray, p: np.ndarray
     return (q - p >= LEAST_WORDS) & (common >= SIMILARITY * (sizes - common))
 
 
-def _any_in_line(full: np.ndarray) -> np.ndarray:
-    """Whether rows of common shingles in line have a stretch of LEAST_WORDS with a Jaccard similarity of SIMILARITY."""
+def _sketches(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """2048 bits of the shingles of each row, and how many of them every row must share that has an alike stretch: what is common there, less what repeats in the row or falls on one bit."""
+    n = LEAST_WORDS - SHINGLE + 1
+    out = np.zeros((len(x), 2049), bool)
+    out[np.arange(len(x))[:, None], np.where(x > 0, x >> np.uint64(53), np.uint64(2048)).astype(np.int64)] = True
+    bits = np.packbits(out[:, :2048], axis=1).view(np.uint64)
+    z = np.sort(x, axis=1)
+    different = (z[:, :1] > 0).sum(1) + ((z[:, 1:] != z[:, :-1]) & (z[:, 1:] > 0)).sum(1)
+    again = (x > 0).sum(1) - different
+    common = np.minimum(SIMILARITY * (n - again), 2 * SIMILARITY / (1 + SIMILARITY) * n - again)
+    return bits, common - (different - np.bitwise_count(bits).sum(1))
+
+
+def _may_line_up(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether both rows of each pair have a stretch of LEAST_WORDS of whose shingles a share of SIMILARITY is in the other row, as stretches that line up have."""
+    out = np.zeros(len(x), bool)
+    for k in range(0, len(x), 128):
+        equal = (x[k : k + 128, :, None] == y[k : k + 128, None, :]) & (x[k : k + 128, :, None] > 0)
+        out[k : k + 128] = _any_in_line(equal.any(2), SIMILARITY) & _any_in_line(equal.any(1), SIMILARITY)
+    return out
+
+
+def _any_in_line(full: np.ndarray, share: float = 2 * SIMILARITY / (1 + SIMILARITY)) -> np.ndarray:
+    """Whether rows of common shingles in line have a stretch of LEAST_WORDS that begins and ends with one and of which `share` are common, by default what gives a Jaccard similarity of SIMILARITY."""
     far = LEAST_WORDS - SHINGLE
-    f = np.cumsum(full - 2 * SIMILARITY / (1 + SIMILARITY), axis=1)
+    f = np.cumsum(full - share, axis=1)
     before = np.concatenate([np.zeros((len(f), 1)), f[:, :-1]], axis=1)
     least = np.minimum.accumulate(np.where(full, before, np.inf), axis=1)
     return (full[:, far:] & (f[:, far:] - least[:, : full.shape[1] - far] >= -1e-9)).any(1)
@@ -581,11 +674,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     bits = key_filter(shared)
     drop_written(shared)
     occurrences = written(_occurrences(unique, bits), "occurrences")
-    spent = [occurrences]
+    spent: list[DataFrame] = []
     pairs = written(_candidates(occurrences, spent), "candidates")
     drop_written(*spent)
     held = _held_links(unique, pairs, "held")
-    held = _exact(unique, bits, held)
+    held = _rest(unique, occurrences, held)
+    drop_written(occurrences)
     w = Window.partitionBy("doc_id", "other", "diagonal").orderBy("begin", "end")
     fresh = (F.col("begin") > F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("long")
     held = held.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(w))

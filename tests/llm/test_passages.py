@@ -289,3 +289,17 @@ def test_spent_tables_are_deleted(spark):
     assert {x["doc_id"] for x in found} == {1, 2, 3}
     names = {x.rpartition("-")[0] for x in set(os.listdir(where)) - before}
     assert "held" in names and not names & {"shared", "occurrences", "candidates", "anchors", "stretches"}
+
+
+def test_every_passage_with_a_word_changed_in_its_middle(spark):
+    """Passages at the threshold, whose halves have half of the minima each: none is left to chance."""
+    r, rows = random.Random(31), {}
+    text = lambda n: [r.choice(V) for _ in range(n)]
+    for k in range(250):
+        p = text(51)
+        q = [w if i != 25 else "changed" for i, w in enumerate(p)]
+        x, y = ({tuple(v[i : i + 5]) for i in range(len(v) - 4)} for v in (p, q))
+        assert len(x & y) >= 0.8 * len(x | y)
+        rows[2 * k], rows[2 * k + 1] = text(40) + p + text(60), text(50) + q + text(40)
+    found = P.repeated_passages(spark.createDataFrame([(k, " ".join(v)) for k, v in rows.items()], "doc_id long, text string")).collect()
+    assert {(x["doc_id"], x["other_id"]) for x in found} == {(2 * k + 1, 2 * k) for k in range(250)}
