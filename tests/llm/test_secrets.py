@@ -63,6 +63,24 @@ def test_keys_in_the_middle_of_long_candidates(spark):
     assert sum(k % 2 for k in found) > 90 and sum(k % 2 == 0 for k in found) < 10
 
 
+def test_every_document_and_all_of_its_text_teaches(spark):
+    # what tells is at the end of one long text, beyond any sample
+    words = " ".join(f"word{i % 7}x" for i in range(3000))
+    docs = spark.range(3000).selectExpr("id as doc_id", "'ordinary words of no import' as text").unionByName(spark.createDataFrame([(5000, words + " unquestionableplainname12")], "doc_id long, text string"))
+    lessons = secrets._lessons(docs, 5, "doc_id", "text").collect()
+    assert len({r["h"] for r in lessons}) == 3001 and len({r["shard"] for r in lessons}) == 5
+    assert sum(sum(r["y"]) for r in lessons) >= 2 * 3001  # both keys in each
+    raw, width = b"unquestionableplainname12", 2 * secrets.AROUND + secrets.INSIDE
+    codes = np.frombuffer(b"".join(r["codes"] for r in lessons if not sum(r["y"])), np.uint8).reshape(-1, width)
+    assert raw in {bytes(c[secrets.AROUND :][: len(raw)]) for c in codes}
+
+
+def test_the_fit_does_not_depend_on_layout(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    a, b = secrets.fit(docs.repartition(7)), secrets.fit(docs.coalesce(1))
+    assert np.array_equal(a.flat(), b.flat()) and (a.threshold, a.scale, a.shift) == (b.threshold, b.scale, b.shift)
+
+
 def test_threshold_keeps_the_wanted_recall():
     r = np.random.default_rng(4)
     net, codes = secrets.Network(), r.integers(0, 128, (400, 68)).astype(np.uint8)
