@@ -302,13 +302,18 @@ def _compared(members: DataFrame, stretches: DataFrame) -> DataFrame:
         # a run of RUN shingles that holds the anchor
         near = words[:, REACH - RUN + 1 : REACH + RUN + SHINGLE - 1].copy()
         near[~there[:, REACH - RUN + 1 : REACH + RUN + SHINGLE - 1]] = 0
-        bits, least = _sketches(_shingled_rows(words, there))
+        shingles = _shingled_rows(words, there)
+        bits, least = _sketches(shingles)
         mid, out, node, joined = RUN - 1, [], None, None
+        ends = _run_ends(near, mid)
         for p, q, block in block_pairs(x):
             if node is None:
                 node, place = (np.unique(np.stack(z), axis=1, return_inverse=True)[1].reshape(-1) for z in ([block, root], [block, doc, at]))
                 joined, due = np.arange(len(doc)), np.zeros(len(doc), bool)
                 due[place[is_open]] = True
+            for one, other in ends:
+                ok = np.flatnonzero((one[p] == one[q]) | (other[p] == other[q]))
+                p, q = p[ok], q[ok]
             # of two open ones the greater asks
             ok = (doc[p] > doc[q]) | (doc[p] < doc[q]) & ~is_open[q]
             p, q = p[ok], q[ok]
@@ -323,7 +328,7 @@ def _compared(members: DataFrame, stretches: DataFrame) -> DataFrame:
                 apart = joined[node[a]] != joined[node[b]]
                 for shifted, ask in ((True, apart), (False, ~apart & (due[place[a]] | due[place[b]]))):
                     i, j = np.where(doc[a] > doc[b], a, b)[ask], np.where(doc[a] > doc[b], b, a)[ask]
-                    hits = verify_all(words[i], there[i], words[j], there[j], shifted) if len(i) else []
+                    hits = verify_all(words[i], there[i], words[j], there[j], shifted, (shingles, i, j)) if len(i) else []
                     for i, j, h in zip(i.tolist(), j.tolist(), hits, strict=True):  # noqa: B020
                         if h is not None and (joined[node[i]] != joined[node[j]] or due[place[i]] or due[place[j]]):
                             joined[joined == joined[node[i]]] = joined[node[j]]
@@ -350,6 +355,21 @@ def _compared(members: DataFrame, stretches: DataFrame) -> DataFrame:
     return blocks.mapInArrow(make, "doc_id long, other long, diagonal long, begin long, end long, other_end long")
 
 
+def _run_ends(near: np.ndarray, mid: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of hashes of the words just before column mid and of those from it on, of which rows have one of each pair in common where they have an exact run of RUN shingles over mid: a run with fewer than `left` words before mid has the rest of its words from mid on. A context holds after mid or before it what is left of either pair."""
+    whole, context = RUN + SHINGLE - 1, CONTEXT + SHINGLE - 1
+
+    def hashed(w: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(w), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(w.shape[1]):
+                h = (h + w[:, k]) * np.uint64(0xD6E8FEB86659FD93)
+                h ^= h >> np.uint64(32)
+        return h
+
+    return [(hashed(near[:, mid - left : mid]), hashed(near[:, mid : mid + whole - left + 1])) for left in ((whole - context) // 2, context + 1)]
+
+
 def _rest(docs: DataFrame, occurrences: DataFrame, held: DataFrame) -> DataFrame:
     """`held` and what it leaves out: the links of those that the smallest holder of a context does not link."""
     members = _unlinked(occurrences, held)
@@ -507,8 +527,8 @@ def _around(words: pa.Array, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, there
 
 
-def verify_all(a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray, shifted: bool = True) -> list[tuple[int, int, int, int] | None]:
-    """verify() for rows of words around an anchor in column REACH, with what there is of them: all rows at once where a run or a whole stretch decides, else row by row."""
+def verify_all(a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray, shifted: bool = True, shingles: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int, int] | None]:
+    """verify() for rows of words around an anchor in column REACH, with what there is of them: all rows at once where a run or a whole stretch decides, else row by row. `shingles` holds _shingled_rows() and which of them are a's and b's, where they are made already."""
     same = (a == b) & ra & rb
     n, width = same.shape
     run = lambda x: np.logical_and.accumulate(x, axis=1).sum(1)
@@ -534,7 +554,7 @@ def verify_all(a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray, shi
         out[k] = (x - int(first[0][k]), y - int(first[0][k]), x - int(first[1][k]), y - int(first[1][k]))
     rest = np.flatnonzero(same[:, REACH] & ~done)
     if len(rest):
-        x, y = _shingled_rows(a[rest], ra[rest]), _shingled_rows(b[rest], rb[rest])
+        x, y = (shingles[0][k[rest]] for k in shingles[1:]) if shingles else (_shingled_rows(a[rest], ra[rest]), _shingled_rows(b[rest], rb[rest]))
         alike, distinct = _common(x, y)
         in_line = _any_in_line(full[rest])
         # where all that is common is in line, and no stretch of the line is alike, other lines have nothing to add
