@@ -308,13 +308,13 @@ def test_every_passage_with_a_word_changed_in_its_middle(spark):
 def test_pairs_with_a_run_pass_its_ends():
     r = np.random.default_rng(6)
     need, mid, context = P.RUN + P.SHINGLE - 1, P.RUN - 1, P.CONTEXT + P.SHINGLE - 1
-    passed = [0, 0]
-    for _ in range(3000):
+
+    def told(left, right):
         x = r.integers(1, 1 << 32, (2, 2 * P.RUN + P.SHINGLE - 2), dtype=np.uint32)
-        left, right = int(r.integers(0, mid + 1)), int(r.integers(1, need + 1))
         x[1, mid - left : mid + right] = x[0, mid - left : mid + right]
-        ok = all(one[0] == one[1] or other[0] == other[1] for one, other in P._run_ends(x, mid))
-        assert ok or left + right < need
-        if left + right < need and (right > context or left > context):
-            passed[int(ok)] += 1
-    assert passed[0] > passed[1]  # most of the others, which share a context, do not
+        return all(one[0] == one[1] or other[0] == other[1] for one, other in P._run_ends(x, mid))
+
+    for left in range(mid + 1):
+        assert all(told(left, right) for right in range(max(need - left, 1), need + 1))
+    # nothing but a context in common
+    assert not told(0, context + 1) and not told(P.CONTEXT, P.SHINGLE)
