@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop_written, join_split, mix, semi_by_id, shingle_hashes, signed, slices, text_bytes, word_hashes, written
+from .shared import _ranges, drop_written, join_split, mix, semi_by_id, shingle_hashes, signed, slices, text_bytes, word_hashes, written
 
 BAND_RATIO = 0.6
 #: Bits of a set's sketch: the power of two above its size, within these.
@@ -29,6 +29,8 @@ SKETCH_BITS = (512, 8192)
 FILTER_BITS = 1 << 25
 #: Members of one key that one task pairs with as many others.
 CHUNK = 512
+#: Members of which a task holds the sketches side by side, and pairs that it compares at once.
+AT_ONCE, BLOCK = 8192, 1 << 16
 #: Smallest keys of a member that are carried along: when two members share one of these, the smallest tells their pair.
 FIRST_KEYS = 8
 
@@ -237,37 +239,66 @@ def _across(members: DataFrame, nodes: DataFrame, root: DataFrame, percent: int)
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            out = []
-            for i in range(x.num_rows):
-                one, two = x.column("rows")[i].values, x.column("others")[i].values
-                out += _pairs(one, two if two is not None else one, percent, x.column("key")[i].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+            size = np.cumsum(sum(x.column(c).value_lengths().fill_null(0).to_numpy() for c in ("rows", "others")))
+            at = 0
+            while at < x.num_rows:
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + AT_ONCE, "right")))
+                part = x.slice(at, to - at)
+                one, two = _pairs(part.column("rows"), part.column("others"), percent, part.column("key").to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], ["a", "b"])
+                at = to
 
     return work.mapInArrow(pair, "a long, b long").distinct()
 
 
-def _pairs(one: pa.StructArray, two: pa.StructArray, percent: int, key: int) -> list[tuple[int, int]]:
-    """Pairs, the smaller first, of members of two chunks in different components that may link. Sorted by size, so that each meets only those within the ratio.
+def _pairs(rows: pa.ListArray, others: pa.ListArray, percent: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs, the smaller first, of members of different components that may link, of each row's members with its others, or among themselves where those are null. All rows at once, in blocks.
 
     Keys below one that both carry are carried by both, so the smallest carried key that two share is the smallest they
     share at all: other keys leave the pair to it. Pairs that share none of the carried ones are told by each key.
     """
-    (na, ra, ca), (nb, rb, cb) = (tuple(x.field(k).to_numpy() for k in ("node", "root", "n")) for x in (one, two))
-    sa, sb = one.field("sketch").to_pylist(), two.field("sketch").to_pylist()
-    fa, fb = (_padded(x.field("firsts")) for x in (one, two))
-    order = np.lexsort((nb, cb))
-    sizes, out = cb[order], set()
-    for k in range(len(na)):
-        lo, hi = np.searchsorted(sizes, -(-percent * ca[k] // 100)), np.searchsorted(sizes, ca[k] * 100 // percent, "right")
-        near = order[lo:hi]
-        near = near[(rb[near] != ra[k]) & (nb[near] != na[k])]
-        if len(near):
-            v = folded([sa[k], *[sb[j] for j in near]])
-            near = near[_near(np.bitwise_count(v[1:] ^ v[0]).sum(1), ca[k] + cb[near], percent)]
-            here = fa[k][fa[k] < key]
-            near = near[~np.isin(fb[near], here).any(1)]
-            out.update((min(int(na[k]), int(v)), max(int(na[k]), int(v))) for v in nb[near])
-    return sorted(out)
+    sides = [dict(zip(("node", "root", "n", "sketch", "firsts"), x.flatten().flatten(), strict=True)) for x in (rows, others)]
+    node, root, n = (np.concatenate([x[c].to_numpy() for x in sides]) for c in ("node", "root", "n"))
+    firsts = np.concatenate([_padded(x["firsts"]) for x in sides])
+    raw = [text_bytes(x["sketch"]) for x in sides]
+    words = np.concatenate([x for x, _ in raw]).view(np.uint64)
+    begin = np.concatenate([raw[0][1][:-1], raw[0][1][-1] + raw[1][1][:-1]]) // 8
+    width = np.concatenate([np.diff(x) for _, x in raw]) // 8
+    mine, theirs = (x.value_lengths().fill_null(0).to_numpy().astype(np.int64) for x in (rows, others))
+    row, alone = np.repeat(np.arange(len(mine)), mine), others.is_null().to_numpy(zero_copy_only=False)
+    end = np.where(alone, np.cumsum(mine), mine.sum() + np.cumsum(theirs))
+    first = np.where(alone[row], np.arange(len(row)) + 1, end[row] - theirs[row])
+    many = end[row] - first
+    out, part = [np.zeros((2, 0), np.int64)], (np.cumsum(many) - many) // BLOCK
+    for k in np.flatnonzero(np.diff(part, prepend=-1)):
+        to = int(np.searchsorted(part, part[k], "right"))
+        p, q = np.repeat(np.arange(k, to), many[k:to]), _ranges(first[k:to], many[k:to])
+        ok = (root[p] != root[q]) & (node[p] != node[q]) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q]))
+        p, q = p[ok], q[ok]
+        ok = _near(_distances(words, begin, width, p, q), n[p] + n[q], percent)
+        p, q = p[ok], q[ok]
+        told = firsts[p][:, :, None] == firsts[q][:, None, :]
+        ok = ~(told & (firsts[p] < key[row[p]][:, None])[:, :, None]).any((1, 2))
+        x, y = node[p[ok]], node[q[ok]]
+        out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+    return tuple(np.unique(np.concatenate(out, axis=1), axis=1))
+
+
+def _distances(words: np.ndarray, begin: np.ndarray, width: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Hamming distances of the sketches p and q, which lie one after another in `words`, the longer of two folded to the other's length; parities add."""
+    out, least = np.zeros(len(p), np.int64), np.minimum(width[p], width[q])
+    for w in np.unique(least).tolist():
+        mine = np.flatnonzero(least == w)
+        used, place = np.unique(np.concatenate([p[mine], q[mine]]), return_inverse=True)
+        x = np.empty((len(used), w), np.uint64)
+        for v in np.unique(width[used]).tolist():
+            own = width[used] == v
+            x[own] = np.bitwise_xor.reduce(words[begin[used[own]][:, None] + np.arange(v)].reshape(-1, v // w, w), axis=1)
+        i, j = place[: len(mine)], place[len(mine) :]
+        step = max(BLOCK // w, 1)
+        for k in range(0, len(mine), step):
+            out[mine[k : k + step]] = np.bitwise_count(x[i[k : k + step]] ^ x[j[k : k + step]]).sum(1)
+    return out
 
 
 def _padded(firsts: pa.ListArray) -> np.ndarray:

@@ -29,6 +29,8 @@ LEAST = {"assign": 12, "access": 18, "hex": 16, "model": 12}
 SHARD, PLANTED, PER_PIECE, STEPS, PASSES = 1 << 14, 2, 600, 192, (3, 8)
 #: Pieces of a step, the first pass's rate; logits are counted by steps of 1 / BINS within -FAR and FAR, parameters are averaged in units of 1 / UNIT.
 BATCH, RATE, BINS, FAR, UNIT = 256, 0.02, 64, 200, 1 << 32
+#: Pieces that the network reads at once.
+AT_ONCE = 64
 INSIDE, AROUND, WIDTH, FILTERS, EMBED = 44, 12, 5, 16, 8
 #: NO_THRESHOLD: of a network that had nothing to learn or to hold out.
 RECALL, NO_THRESHOLD = 0.98, 0.5
@@ -157,45 +159,63 @@ class Network:
         self.p = {"E": r.normal(0, 0.5, (128, EMBED)), "W": r.normal(0, 0.25, (WIDTH, EMBED, FILTERS)), "b": np.zeros(FILTERS), "v": r.normal(0, 0.2, n), "c": np.zeros(1)}
         self.scale, self.shift, self.threshold = 1.0, 0.0, NO_THRESHOLD
 
-    def hidden(self, codes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        t = np.einsum("ve,kef->kvf", self.p["E"], self.p["W"])
-        m = codes.shape[1] - WIDTH + 1
-        z = self.p["b"] + sum(t[k][codes[:, k : k + m]] for k in range(WIDTH))
+    def columns(self, codes: np.ndarray) -> np.ndarray:
+        """(places, WIDTH * EMBED): what the convolution reads at each place of each row."""
+        e = np.take(self.p["E"], codes, 0)
+        n, m = len(codes), codes.shape[1] - WIDTH + 1
+        x = np.lib.stride_tricks.as_strided(e, (n, m, WIDTH * EMBED), (e.strides[0], e.strides[1], e.itemsize))
+        return x.reshape(-1, WIDTH * EMBED)
+
+    def hidden(self, x: np.ndarray, rows: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(FILTERS, rows, places) after the rectifier, from columns(), and what the output reads of each row."""
+        z = (self.p["W"].reshape(-1, FILTERS).T @ x.T).reshape(FILTERS, rows, -1)
+        z += self.p["b"][:, None, None]
         np.maximum(z, 0, out=z)
         a, b = AROUND - WIDTH // 2, AROUND + INSIDE - WIDTH // 2
-        return z, [z[:, a:b].max(1), z[:, a:b].mean(1), np.maximum(z[:, :a].max(1), z[:, b:].max(1))]
+        return z, [z[:, :, a:b].max(2).T, z[:, :, a:b].mean(2).T, np.maximum(z[:, :, :a].max(2), z[:, :, b:].max(2)).T]
 
-    def logits(self, codes: np.ndarray, block: int = 4096) -> np.ndarray:
-        out = [np.concatenate(self.hidden(codes[i : i + block])[1], 1) @ self.p["v"] + self.p["c"] for i in range(0, len(codes), block)]
+    def logits(self, codes: np.ndarray, block: int = AT_ONCE) -> np.ndarray:
+        blocks = (codes[i : i + block] for i in range(0, len(codes), block))
+        out = [np.concatenate(self.hidden(self.columns(c), len(c))[1], 1) @ self.p["v"] + self.p["c"] for c in blocks]
         return np.concatenate(out) if out else np.zeros(0)
 
     def probabilities(self, codes: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(codes) + self.shift, -40, 40)))
 
     def gradients(self, codes: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
-        z, parts = self.hidden(codes)
+        out: dict = {}
+        for k in range(0, len(codes), AT_ONCE):  # small enough for a core's cache
+            for name, g in self._gradients(codes[k : k + AT_ONCE], y[k : k + AT_ONCE], weight[k : k + AT_ONCE] / len(y)).items():
+                out[name] = out[name] + g if k else g
+        return out
+
+    def _gradients(self, codes: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
+        columns = self.columns(codes)
+        z, parts = self.hidden(columns, len(codes))
         x = np.concatenate(parts, 1)
-        d = (1 / (1 + np.exp(-np.clip(x @ self.p["v"] + self.p["c"], -40, 40))) - y) * weight / len(y)
+        d = (1 / (1 + np.exp(-np.clip(x @ self.p["v"] + self.p["c"], -40, 40))) - y) * weight
         d = d.astype(x.dtype)
-        g = {"v": x.T @ d, "c": np.array([d.sum()])}
-        dx = d[:, None] * self.p["v"][None, :]
+        g = {"v": x.T @ d, "c": d.sum(keepdims=True)}
+        dx = (d[:, None] * self.p["v"][None, :]).T
         a, b = AROUND - WIDTH // 2, AROUND + INSIDE - WIDTH // 2
-        dz, n, f = np.zeros_like(z), np.arange(len(z))[:, None], np.arange(FILTERS)[None, :]
-        dz[n, a + z[:, a:b].argmax(1), f] += dx[:, :FILTERS]
-        dz[:, a:b] += dx[:, None, FILTERS : 2 * FILTERS] / (b - a)
-        outer = np.concatenate([z[:, :a], z[:, b:]], 1)
-        at = outer.argmax(1)
-        dz[n, np.where(at < a, at, at - a + b), f] += dx[:, 2 * FILTERS :]
+        dz, f, n = np.zeros_like(z), np.arange(FILTERS)[:, None], np.arange(z.shape[1])[None, :]
+        dz[:, :, a:b] = dx[FILTERS : 2 * FILTERS, :, None] / (b - a)
+        dz[f, n, a + z[:, :, a:b].argmax(2)] += dx[:FILTERS]
+        outer = np.concatenate([z[:, :, :a], z[:, :, b:]], 2)
+        at = outer.argmax(2)
+        dz[f, n, np.where(at < a, at, at - a + b)] += dx[2 * FILTERS :]
         dz *= z > 0
-        g["b"] = dz.sum((0, 1))
-        m, e = z.shape[1], self.p["E"][codes]
-        de, flat = np.zeros_like(e), dz.reshape(-1, FILTERS)
-        g["W"] = np.empty_like(self.p["W"])
-        for k in range(WIDTH):
-            g["W"][k] = e[:, k : k + m].reshape(-1, EMBED).T @ flat
-            de[:, k : k + m] += dz @ self.p["W"][k].T
-        c, de = codes.reshape(-1), de.reshape(-1, EMBED)
-        g["E"] = np.stack([np.bincount(c, np.ascontiguousarray(de[:, j]), 128) for j in range(EMBED)], 1)
+        g["b"] = dz.sum((1, 2))
+        m, flat = z.shape[2], dz.reshape(FILTERS, -1)
+        g["W"] = (flat @ columns).T.reshape(self.p["W"].shape)
+        # what comes back to a character: from the WIDTH places that read it, with none beyond either end
+        side = WIDTH - 1
+        wide = np.zeros((len(codes), m + 2 * side, FILTERS), z.dtype)
+        wide[:, side : side + m] = dz.transpose(1, 2, 0)
+        back = np.lib.stride_tricks.as_strided(wide, (*codes.shape, WIDTH * FILTERS), (wide.strides[0], wide.strides[1], wide.itemsize)).reshape(-1, WIDTH * FILTERS)
+        back = back @ self.p["W"][::-1].transpose(0, 2, 1).reshape(-1, EMBED)
+        slot = (codes.astype(np.int64) * EMBED)[:, :, None] + np.arange(EMBED)
+        g["E"] = np.bincount(slot.reshape(-1), back.reshape(-1), 128 * EMBED).reshape(128, EMBED).astype(z.dtype)
         return g
 
     def train(self, codes: np.ndarray, y: np.ndarray, share: float, state: dict, rate: float = RATE) -> None:
@@ -351,7 +371,7 @@ def _lessons(docs: DataFrame, shards: int, id_col: str, text_col: str) -> DataFr
     d = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     found = d.mapInArrow(make, "h long, at long, codes binary, y binary")
     found = found.select(F.pmod(F.xxhash64("h", F.lit(1)), F.lit(shards)).alias("shard"), "h", "at", (F.pmod(F.xxhash64("h", F.lit(2)), F.lit(4)) == 0).alias("held"), "codes", "y")
-    tasks = min(shards, max(2 * docs.sparkSession.sparkContext.defaultParallelism, shards // 16))
+    tasks = min(shards, max(4 * docs.sparkSession.sparkContext.defaultParallelism, shards // 4))  # shards are dealt by hash, so small tasks even them out
     return written(found.repartition(tasks, "shard").sortWithinPartitions("shard", "h", "at"), "lessons")
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from swathlake.llm import jaccard
 from swathlake.llm.components import components
@@ -117,3 +118,33 @@ def test_components(spark):
         want.setdefault(label[n], set()).add(n)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pairs_of_many_keys_at_once_equal_brute_force():
+    """Rows of different sizes, with and without others, sketches of different lengths; a pair is told at its smallest carried key."""
+    r, rows, others, keys, want = random.Random(4), [], [], [], set()
+    percent, kind = 80, pa.list_(pa.struct([("node", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("firsts", pa.list_(pa.int64()))]))
+    base = {n: np.random.default_rng(n).integers(0, 1 << 63, n, np.uint64) for n in (400, 500, 530, 900, 1100)}
+
+    def member(key):
+        n = r.choice(list(base))
+        s = np.unique(np.concatenate([base[500][: min(n, 500)], base[n][500:]]) + np.where(np.arange(n) < r.randrange(90), np.uint64(r.randrange(50)), np.uint64(0)))
+        return {"node": r.randrange(1 << 40), "root": r.randrange(4), "n": len(s), "sketch": jaccard.bit_sketches(s, np.array([0, len(s)]))[0], "firsts": sorted({key, *(r.randrange(60) for _ in range(2))})[: jaccard.FIRST_KEYS]}
+
+    for k in range(40):
+        keys.append(30 + k % 20)
+        rows.append([member(keys[-1]) for _ in range(r.choice([0, 1, 2, 9, 40]))])
+        others.append([member(keys[-1]) for _ in range(30)] if k % 3 == 0 else None)
+        for i, x in enumerate(rows[-1]):
+            for y in rows[-1][i + 1 :] if others[-1] is None else others[-1]:
+                u, v = jaccard.folded([x["sketch"], y["sketch"]])
+                near = jaccard._near(int(np.bitwise_count(u ^ v).sum()), x["n"] + y["n"], percent) and 100 * min(x["n"], y["n"]) >= percent * max(x["n"], y["n"])
+                if near and x["root"] != y["root"] and min(set(x["firsts"]) & set(y["firsts"]), default=keys[-1]) >= keys[-1]:
+                    want.add((min(x["node"], y["node"]), max(x["node"], y["node"])))
+    for block in (jaccard.BLOCK, 7):
+        jaccard.BLOCK, before = block, jaccard.BLOCK
+        try:
+            a, b = jaccard._pairs(pa.array([[], *rows], kind)[1:], pa.array([None, *others], kind)[1:], percent, np.array(keys))
+        finally:
+            jaccard.BLOCK = before
+        assert set(zip(a.tolist(), b.tolist(), strict=True)) == want and len(a) == len(want) > 20

@@ -109,6 +109,14 @@ def test_gradients_match_differences():
         assert abs((up - down) / 2e-5 - g[k][at]) < 1e-5
 
 
+def test_steps_stay_in_single_precision():
+    r, net = np.random.default_rng(6), secrets.Network()
+    net.fill(net.flat().astype(np.float32))
+    codes = r.integers(0, 128, (600, 68)).astype(np.uint8)
+    net.train(codes, (np.arange(600) % 2).astype(float), 0.5, {})
+    assert {x.dtype for x in net.p.values()} == {np.dtype(np.float32)}
+
+
 def test_odd_rows(odd_docs, no_docs):
     net = secrets.fit(odd_docs)
     assert secrets.scan(odd_docs, net, redacted=True).count() == odd_docs.count()
