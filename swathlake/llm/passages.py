@@ -303,7 +303,7 @@ def _compared(members: DataFrame, stretches: DataFrame) -> DataFrame:
         near = words[:, REACH - RUN + 1 : REACH + RUN + SHINGLE - 1].copy()
         near[~there[:, REACH - RUN + 1 : REACH + RUN + SHINGLE - 1]] = 0
         shingles = _shingled_rows(words, there)
-        bits, least = _sketches(shingles)
+        bits, least, different = _sketches(shingles)
         mid, out, node, joined = RUN - 1, [], None, None
         ends = _run_ends(near, mid)
         for p, q, block in block_pairs(x):
@@ -328,7 +328,7 @@ def _compared(members: DataFrame, stretches: DataFrame) -> DataFrame:
                 apart = joined[node[a]] != joined[node[b]]
                 for shifted, ask in ((True, apart), (False, ~apart & (due[place[a]] | due[place[b]]))):
                     i, j = np.where(doc[a] > doc[b], a, b)[ask], np.where(doc[a] > doc[b], b, a)[ask]
-                    hits = verify_all(words[i], there[i], words[j], there[j], shifted, (shingles, i, j)) if len(i) else []
+                    hits = verify_all(words[i], there[i], words[j], there[j], shifted, (shingles, i, j, different)) if len(i) else []
                     for i, j, h in zip(i.tolist(), j.tolist(), hits, strict=True):  # noqa: B020
                         if h is not None and (joined[node[i]] != joined[node[j]] or due[place[i]] or due[place[j]]):
                             joined[joined == joined[node[i]]] = joined[node[j]]
@@ -527,18 +527,22 @@ def _around(words: pa.Array, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, there
 
 
-def verify_all(a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray, shifted: bool = True, shingles: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int, int] | None]:
-    """verify() for rows of words around an anchor in column REACH, with what there is of them: all rows at once where a run or a whole stretch decides, else row by row. `shingles` holds _shingled_rows() and which of them are a's and b's, where they are made already."""
+def verify_all(a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray, shifted: bool = True, shingles: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None] | None = None) -> list[tuple[int, int, int, int] | None]:
+    """verify() for rows of words around an anchor in column REACH, with what there is of them: all rows at once where a run or a whole stretch decides, else row by row. `shingles` holds _shingled_rows(), which of them are a's and b's, and how many different ones each has, where they are made already."""
     same = (a == b) & ra & rb
     n, width = same.shape
+    if shingles and shingles[3] is not None:
+        # rows with few different shingles have few in common, so that no stretches line up: only those whose line has a stretch are asked
+        many = np.minimum(*(shingles[3][k] for k in shingles[1:3])) >= SIMILARITY * (LEAST_WORDS - SHINGLE + 1)
+        ask = np.flatnonzero(same[:, REACH] & (many | (_same_within(same, *_limits(same))[1] >= LEAST_WORDS)))
+        out: list = [None] * n
+        if len(ask):
+            for k, h in zip(ask.tolist(), verify_all(a[ask], ra[ask], b[ask], rb[ask], shifted, (shingles[0], shingles[1][ask], shingles[2][ask], None)), strict=True):
+                out[k] = h
+        return out
     run = lambda x: np.logical_and.accumulate(x, axis=1).sum(1)
     begin, end = REACH + 1 - run(same[:, REACH::-1]), REACH + run(same[:, REACH:])
-    # stretches end where more than GAP words in a row differ
-    total = np.concatenate([np.zeros((n, 1), np.int32), np.cumsum(same, axis=1, dtype=np.int32)], axis=1)
-    empty = total[:, GAP + 1 :] == total[:, : -GAP - 1]  # [k, k + GAP + 1) has no match
-    left, right = empty[:, : REACH - GAP][:, ::-1], empty[:, REACH + 1 :]
-    p = np.where(left.any(1), REACH - left.argmax(1), 0)
-    q = np.where(right.any(1), REACH + 1 + right.argmax(1), width)
+    p, q = _limits(same)
     full = np.logical_and.reduce([same[:, d : width - SHINGLE + 1 + d] for d in range(SHINGLE)])
     column = np.arange(full.shape[1])
     inside = full & (column >= p[:, None]) & (column + SHINGLE <= q[:, None])
@@ -547,24 +551,25 @@ def verify_all(a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray, shi
     whole = inside.any(1) & (s <= REACH) & (t + SHINGLE > REACH) & (m + SHINGLE - 1 >= LEAST_WORDS) & (common * (1 + SIMILARITY) >= 2 * SIMILARITY * m)
     exact = end - begin >= LEAST_WORDS
     done = same[:, REACH] & (whole | exact & (m + SHINGLE - 1 <= end - begin))
-    out: list = [None] * n
+    out = [None] * n
     first = ra.argmax(1), rb.argmax(1)
     for k in np.flatnonzero(done).tolist():
         x, y = (int(s[k]), int(t[k]) + SHINGLE) if whole[k] else (int(begin[k]), int(end[k]))
         out[k] = (x - int(first[0][k]), y - int(first[0][k]), x - int(first[1][k]), y - int(first[1][k]))
     rest = np.flatnonzero(same[:, REACH] & ~done)
     if len(rest):
-        x, y = (shingles[0][k[rest]] for k in shingles[1:]) if shingles else (_shingled_rows(a[rest], ra[rest]), _shingled_rows(b[rest], rb[rest]))
-        alike, distinct = _common(x, y)
         in_line = _any_in_line(full[rest])
+        x, y = (shingles[0][k[rest]] for k in shingles[1:3]) if shingles else (_shingled_rows(a[rest], ra[rest]), _shingled_rows(b[rest], rb[rest]))
+        alike, distinct = _common(x, y)
         # where all that is common is in line, and no stretch of the line is alike, other lines have nothing to add
         more = exact[rest] | (alike >= SIMILARITY * (LEAST_WORDS - SHINGLE + 1)) & ((alike > full[rest].sum(1)) | in_line)
         # too few different shingles in common: no stretches line up, and what repeats shingles is alike on its own line or not at all
         sure = exact[rest] | in_line | (distinct >= SIMILARITY * (LEAST_WORDS - SHINGLE + 1))
-        ask = np.flatnonzero(more & ~sure)
-        sure[ask] = _alike_in_line(x[ask], y[ask], same[rest[ask]], p[rest[ask]], q[rest[ask]])
-        ask = np.flatnonzero(more & sure & ~exact[rest] & ~in_line)
-        ask = ask[~_alike_in_line(x[ask], y[ask], same[rest[ask]], p[rest[ask]], q[rest[ask]])]
+        ask = np.flatnonzero(more & ~exact[rest] & ~in_line)
+        met = _alike_in_line(x[ask], y[ask], same[rest[ask]], p[rest[ask]], q[rest[ask]])
+        sure[ask] |= met
+        ask = ask[~met]
+        ask = ask[sure[ask]]
         more[ask] = _may_line_up(x[ask], y[ask]) if shifted else False  # nothing but other lines is left for these
         rest = rest[more & sure]
     for k in rest.tolist():
@@ -581,20 +586,40 @@ def _common(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _alike_in_line(x: np.ndarray, y: np.ndarray, same: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Whether the words [p, q) of both rows, from the first equal word to the last, are LEAST_WORDS or more and have a Jaccard similarity of SIMILARITY in different shingles."""
-    column = np.arange(same.shape[1])
-    ok = same & (column >= p[:, None]) & (column < q[:, None])
-    p, q = ok.argmax(1), ok.shape[1] - ok[:, ::-1].argmax(1)
-    inside = (column[: x.shape[1]] >= p[:, None]) & (column[: x.shape[1]] + SHINGLE <= q[:, None])
+    p, size = _same_within(same, p, q)
+    out = size >= LEAST_WORDS
+    x, y, p, q = x[out], y[out], p[out], (p + size)[out]
+    column = np.arange(x.shape[1])
+    inside = (column >= p[:, None]) & (column + SHINGLE <= q[:, None])
     x, y = np.where(inside, x, 0), np.where(inside, y, 0)
     sizes = 0
     for z in (np.sort(x, axis=1), np.sort(y, axis=1)):
         sizes = sizes + (z[:, :1] > 0).sum(1) + ((z[:, 1:] != z[:, :-1]) & (z[:, 1:] > 0)).sum(1)
     common = _common(x, y)[1]
-    return (q - p >= LEAST_WORDS) & (common >= SIMILARITY * (sizes - common))
+    out[out] = common >= SIMILARITY * (sizes - common)
+    return out
+
+
+def _limits(same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each row's stretch around column REACH, which ends where more than GAP words in a row differ."""
+    total = np.concatenate([np.zeros((len(same), 1), np.int16), np.cumsum(same, axis=1, dtype=np.int16)], axis=1)
+    empty = total[:, GAP + 1 :] == total[:, : -GAP - 1]  # [k, k + GAP + 1) has no match
+    left, right = empty[:, : REACH - GAP][:, ::-1], empty[:, REACH + 1 :]
+    p = np.where(left.any(1), REACH - left.argmax(1), 0)
+    q = np.where(right.any(1), REACH + 1 + right.argmax(1), same.shape[1])
+    return p, q
+
+
+def _same_within(same: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first equal word of [p, q) of each row, and how many words it is from there to the last one's end."""
+    column = np.arange(same.shape[1])
+    ok = same & (column >= p[:, None]) & (column < q[:, None])
+    first = ok.argmax(1)
+    return first, ok.shape[1] - ok[:, ::-1].argmax(1) - first
 
 
-def _sketches(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """2048 bits of the shingles of each row, and how many of them every row must share that has an alike stretch: what is common there, less what repeats in the row or falls on one bit."""
+def _sketches(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """2048 bits of the shingles of each row, how many of them every row must share that has an alike stretch: what is common there, less what repeats in the row or falls on one bit; and how many different shingles it has."""
     n = LEAST_WORDS - SHINGLE + 1
     out = np.zeros((len(x), 2049), bool)
     out[np.arange(len(x))[:, None], np.where(x > 0, x >> np.uint64(53), np.uint64(2048)).astype(np.int64)] = True
@@ -603,15 +628,16 @@ def _sketches(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     different = (z[:, :1] > 0).sum(1) + ((z[:, 1:] != z[:, :-1]) & (z[:, 1:] > 0)).sum(1)
     again = (x > 0).sum(1) - different
     common = np.minimum(SIMILARITY * (n - again), 2 * SIMILARITY / (1 + SIMILARITY) * n - again)
-    return bits, common - (different - np.bitwise_count(bits).sum(1))
+    return bits, common - (different - np.bitwise_count(bits).sum(1)), different
 
 
 def _may_line_up(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether both rows of each pair have a stretch of LEAST_WORDS of whose shingles a share of SIMILARITY is in the other row, as stretches that line up have."""
+    """Whether both rows of each pair have a stretch of LEAST_WORDS of whose shingles a share of SIMILARITY is in the other row, and one of them such a stretch of the share that the shorter of two stretches that line up has."""
     out = np.zeros(len(x), bool)
     for k in range(0, len(x), 128):
         equal = (x[k : k + 128, :, None] == y[k : k + 128, None, :]) & (x[k : k + 128, :, None] > 0)
-        out[k : k + 128] = _any_in_line(equal.any(2), SIMILARITY) & _any_in_line(equal.any(1), SIMILARITY)
+        mine, theirs = equal.any(2), equal.any(1)
+        out[k : k + 128] = _any_in_line(mine, SIMILARITY) & _any_in_line(theirs, SIMILARITY) & (_any_in_line(mine) | _any_in_line(theirs))
     return out
 
 
