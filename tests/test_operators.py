@@ -393,6 +393,25 @@ def test_opposite_lines_meet_in_every_bucket_and_many_tasks(spark):
     assert {(r["a"], r["b"]) for r in got.collect()} == {(a, b) for a in range(360) for b in range(a + 1, 360) if abs((a - b) % 360 - 180) <= 7}
 
 
+def test_lines_of_one_track_are_moved_as_one(spark, monkeypatch):
+    """Tracks of many lines, split into rows of a few, and lines without ends or azimuth give what each line alone gives."""
+    from swathlake.functions import geo
+
+    monkeypatch.setattr(params, "TOGETHER", 3)
+    rows = [(k, a, k % 2 / 10, None if k % 11 == 0 else 0.2, k % 5 / 100, 0.5) for k, a in enumerate([0.0, 180.0, 170.5, 355.0, None, 0.0, 0.0, -180.0, 195.0, 540.0, 180.0, 0.0] * 3)]
+    lines = spark.createDataFrame(rows, "line long, azimuth double, start_lat double, start_lon double, end_lat double, end_lon double")
+    for tolerance in (15.0, 180.0):
+        a, b = (lines.toDF(*[f"{s}_{c}" for c in lines.columns]) for s in "ab")
+        km = F.least(*[geo.haversine_km(F.col(f"a_{p}_lon"), F.col(f"a_{p}_lat"), F.col(f"b_{q}_lon"), F.col(f"b_{q}_lat")) for p in ("start", "end") for q in ("start", "end")])
+        each = a.crossJoin(b).where((F.col("a_line") < F.col("b_line")) & (F.abs(F.pmod(F.col("a_azimuth") - F.col("b_azimuth"), F.lit(360.0)) - 180.0) <= tolerance))
+        want = sorted(map(repr, (tuple(r) for r in each.select("a_line", "b_line", F.bround(km, 6)).collect())))
+        found = params.patch_pairs(lines, tolerance)
+        assert sorted(map(repr, (tuple(r) for r in found.select("a", "b", F.bround("km", 6)).collect()))) == want and len(want) > 50
+    # a row of many lines is not made for each of them before the pairs are
+    moved = params.patch_pairs(lines, 15.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in moved and moved.index("Generate explode(a_lines") < moved.index("Join")
+
+
 def test_quadtree_keeps_points_beyond_the_first_square(spark):
     """Points on all sides of the first square, and one without a place, are counted in leaves of squares of their own."""
     from swathlake.operators import grid
