@@ -393,6 +393,20 @@ def test_opposite_lines_meet_in_every_bucket_and_many_tasks(spark):
     assert {(r["a"], r["b"]) for r in got.collect()} == {(a, b) for a in range(360) for b in range(a + 1, 360) if abs((a - b) % 360 - 180) <= 7}
 
 
+def test_few_casts_are_not_carried_by_soundings(spark):
+    """Casts that every task holds give what casts joined to each row give, also where a cast, its id or the waterline is missing; repeated ids are joined."""
+    from swathlake.operators import kernels
+
+    casts = spark.createDataFrame([(1, [(5.0, 1500.0), (20.0, 1480.0)]), (2, [(1.0, 1490.0)]), (3, None)], "cast_id long, layers array<struct<depth:double,sv:double>>")
+    rows = [(k, (1, 2, 3, 4, None)[k % 5], 0.01 * k, 0.02 + 0.001 * k, (0.0, 0.5, None)[k % 3]) for k in range(60)]
+    x = spark.createDataFrame(rows, "k long, cast_id long, corr_pointing_angle double, traveltime double, wl double").withColumns({"rel_azimuth": F.lit(0.3), "soundspeed": F.lit(1495.0)})
+    few = kernels.ray_trace(x, casts, F.col("wl"))
+    twice = kernels.ray_trace(x, casts.unionByName(spark.createDataFrame([(9, [(2.0, 1.0)]), (9, [(2.0, 1.0)])], casts.schema)), F.col("wl"))
+    got, want = (sorted(map(repr, (tuple(r) for r in t.select("k", "alongtrack", "acrosstrack", "depthoffset", "in_cast").collect()))) for t in (few, twice))
+    assert got == want and len(got) == 60 and few.where("in_cast").count() > 10
+    assert "__depths" not in few._jdf.queryExecution().optimizedPlan().toString() and "__depths" in twice._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_lines_of_one_track_are_moved_as_one(spark, monkeypatch):
     """Tracks of many lines, split into rows of a few, and lines without ends or azimuth give what each line alone gives."""
     from swathlake.functions import geo
