@@ -40,6 +40,22 @@ def test_only_stale_chunks_are_rewritten_and_equal_a_full_run(spark, tmp_path):
     assert runner.table(spark, a).where("processing_status <> 5").count() == 0 and not os.path.exists(f"{a}__stage")
 
 
+def test_recomputed_chunks_are_written_once(spark, tmp_path, monkeypatch):
+    """What stands beside the table is left alone: chunks that are read are replaced in one write, the others stay."""
+    path = f"{tmp_path}/once"
+    s, casts = Q.soundings(spark, SF), Q.casts(spark)
+    runner.store(s, path)
+    before, rows = files(path), s.count()
+    with open(f"{path}__stage", "w") as f:
+        f.write("not a folder of the run's")
+    monkeypatch.setattr(runner, "recomputed", lambda x, todo, *_: x.join(F.broadcast(todo.select(*runner.KEYS)), runner.KEYS, "left_semi").withColumn("processing_status", F.lit(5).cast("smallint")).select(*x.columns))
+    done = runner.run(spark, path, Q.settings(spark), None, casts, only=F.col("dataset") == "3")
+    assert {r["dataset"] for r in done.collect()} == {"3"} and os.path.isfile(f"{path}__stage")
+    t = runner.table(spark, path)
+    assert t.count() == rows and {r["dataset"] for r in t.where("processing_status = 5").select("dataset").distinct().collect()} == {"3"}
+    assert all((f in before) == ("dataset=3/" not in f) for f in files(path))
+
+
 def test_new_chunks_a_part_of_the_chunks_and_what_if(spark, tmp_path):
     path = f"{tmp_path}/t"
     s, att, casts = Q.soundings(spark, SF), Q.attitude(spark, SF), Q.casts(spark)
